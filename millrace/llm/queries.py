@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .mixing import ORACLE_OP6, op6_mix_pareto
+from .quality import op10_quality_rff
 from .sharding import op4_shard_two_pass
 
 
@@ -10,6 +11,7 @@ def queries():
     return {
         "op4_shard_two_pass": op4_shard_two_pass,
         "op6_mix_pareto": op6_mix_pareto,
+        "op10_quality_rff": op10_quality_rff,
     }
 
 
