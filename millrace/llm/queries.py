@@ -5,10 +5,12 @@ from __future__ import annotations
 from .mixing import ORACLE_OP6, op6_mix_pareto
 from .quality import op10_quality_rff
 from .sharding import op4_shard_two_pass
+from .toxicity import op2_toxicity_levenshtein
 
 
 def queries():
     return {
+        "op2_toxicity_levenshtein": op2_toxicity_levenshtein,
         "op4_shard_two_pass": op4_shard_two_pass,
         "op6_mix_pareto": op6_mix_pareto,
         "op10_quality_rff": op10_quality_rff,
