@@ -28,6 +28,8 @@ MODULUS, HELD_OUT, THRESHOLD, BOUND = 3, 1, 0.7, 20_000
 #: Least log-likelihood ratio (nats) of a term, fewest effective toxic documents, most terms.
 LEAST_LLR, LEAST_DOCS, MOST_TERMS = 12.0, 4.0, 5_000
 WINDOW = 6
+#: A term that is near so many ordinary tokens allows no edits.
+CROWD = 3
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = re.compile(r"[\"“”«»„]")
 #: Verbs of reporting, in the languages of the corpus.
@@ -40,16 +42,20 @@ def edits(term: str) -> int:
 
 
 class FuzzyLexicon:
-    """A lexicon trie and the automaton of all words within each term's edits; match(token) gives 0 (no), 1 (fuzzy), 2 (exact)."""
+    """A lexicon trie and the automaton of all words within each term's edits; match(token) gives 0 (no), 1 (fuzzy), 2 (exact).
 
-    def __init__(self, terms) -> None:
-        self.terms = frozenset(terms)
+    terms: each with the edits it allows. ordinary: tokens that are no misspellings, though near to a term.
+    """
+
+    def __init__(self, terms: dict[str, int], ordinary=()) -> None:
+        self.terms, self.ordinary = dict(terms), frozenset(ordinary)
+        self.ends: dict[int, str] = {}
         self.children: list[dict[str, int]] = [{}]
         self.allowed: list[int] = [-1]  # edits of the term that ends here
         self.most: list[int] = [0]  # the largest allowance below
         for term in sorted(self.terms):
             node = 0
-            self.most[0] = max(self.most[0], edits(term))
+            self.most[0] = max(self.most[0], terms[term])
             for c in term:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
@@ -57,12 +63,12 @@ class FuzzyLexicon:
                     self.allowed.append(-1)
                     self.most.append(0)
                 node = self.children[node][c]
-                self.most[node] = max(self.most[node], edits(term))
-            self.allowed[node] = edits(term)
+                self.most[node] = max(self.most[node], terms[term])
+            self.allowed[node], self.ends[node] = terms[term], term
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.next: list[dict[str, int]] = []
-        self.accepts: list[bool] = []
+        self.accepts: list[list[str]] = []
         self.start = self._id({(0, 0)})
 
     def _id(self, items: set[tuple[int, int]]) -> int:
@@ -81,7 +87,7 @@ class FuzzyLexicon:
             self.ids[key] = len(self.states)
             self.states.append(key)
             self.next.append({})
-            self.accepts.append(any(used <= self.allowed[node] for node, used in key))
+            self.accepts.append([self.ends[node] for node, used in key if used <= self.allowed[node]])
         return self.ids[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -93,16 +99,18 @@ class FuzzyLexicon:
         found = self.next[state][c] = self._id(items)
         return found
 
-    def match(self, token: str) -> int:
-        if token in self.terms:
-            return 2
+    def near(self, token: str) -> list[str]:
+        """The terms that the token may be a misspelling of."""
         state, tables = self.start, self.next
-        for c in token:
+        for c in token if state >= 0 else "":
             following = tables[state].get(c)
             state = self._step(state, c) if following is None else following
             if state < 0:
-                return 0
-        return int(self.accepts[state])
+                break
+        return self.accepts[state] if state >= 0 else []
+
+    def match(self, token: str) -> int:
+        return 2 if token in self.terms else int(token not in self.ordinary and bool(self.near(token)))
 
 
 def hits(text: str | None, lexicon: FuzzyLexicon, memo: dict[str, int]) -> tuple[float, float, float, int]:
@@ -193,14 +201,32 @@ def learn_lexicon(sample: DataFrame) -> list[str]:
     return sorted(out)
 
 
-def fit(documents: DataFrame, labels: DataFrame, seed: int = 3, bound: int = BOUND) -> tuple[list[str], np.ndarray]:
+def learn_edits(sample: DataFrame, terms: list[str]) -> FuzzyLexicon:
+    """The lexicon with edits: tokens near a term that clean documents use are ordinary, and a term among many of those allows no edits."""
+
+    def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon, rows = FuzzyLexicon({t: edits(t) for t in terms}), Counter()
+        for b in batches:
+            for text, y in zip(b.text, b.y):
+                rows.update((w, y) for w in set(TOKEN.findall((text or "").lower())) if lexicon.match(w) == 1)
+        yield pd.DataFrame([(w, y, n) for (w, y), n in rows.items()], columns=["word", "y", "n"])
+
+    wide = FuzzyLexicon({t: edits(t) for t in terms})
+    counted = sample.mapInPandas(near_words, "word string, y int, n long").groupBy("word").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("toxic"), F.sum(F.expr("if(y = 0, n, 0)")).alias("clean"))
+    ordinary = [r.word for r in counted.where("clean > 0 and clean >= toxic").orderBy(F.desc("clean"), "word").limit(4 * MOST_TERMS).collect()]
+    crowd = Counter(t for w in ordinary for t in wide.near(w))
+    return FuzzyLexicon({t: edits(t) if crowd[t] < CROWD else 0 for t in terms}, ordinary)
+
+
+def fit(documents: DataFrame, labels: DataFrame, seed: int = 3, bound: int = BOUND) -> tuple[FuzzyLexicon, np.ndarray]:
     """The lexicon and the weights of the logistic model, from at most ``bound`` labelled rows of the training fold."""
     chosen = F.broadcast(training_sample(labels, "toxic", MODULUS, HELD_OUT, bound, seed))
     sample = written(documents.join(chosen, "doc_id").select("text", "y"), "toxicity-sample")
-    terms = learn_lexicon(sample)
+    lexicon = learn_edits(sample, learn_lexicon(sample))
+    made = (lexicon.terms, lexicon.ordinary)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, memo = FuzzyLexicon(terms), {}
+        lexicon, memo = FuzzyLexicon(*made), {}
         for b in batches:
             yield pd.DataFrame([(*hits(t, lexicon, memo), y) for t, y in zip(b.text, b.y)], columns=["exact", "fuzzy", "quoted", "n", "y"])
 
@@ -212,17 +238,18 @@ def fit(documents: DataFrame, labels: DataFrame, seed: int = 3, bound: int = BOU
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + 0.5 * w
         w = w - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(w)), grad)
-    return terms, w
+    return lexicon, w
 
 
-def scored(documents: DataFrame, terms: list[str], weights: np.ndarray) -> DataFrame:
+def scored(documents: DataFrame, lexicon: FuzzyLexicon, weights: np.ndarray) -> DataFrame:
     """documents with ``score`` (double); a column of that name is replaced. A null text scores as an empty one."""
     state: dict = {}
+    made = (lexicon.terms, lexicon.ordinary)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         if not state:
-            state.update(lexicon=FuzzyLexicon(terms), memo={})
+            state.update(lexicon=FuzzyLexicon(*made), memo={})
         x = np.array([features(*hits(t, state["lexicon"], state["memo"])) for t in texts]).reshape(-1, len(weights))
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
