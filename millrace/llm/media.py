@@ -27,7 +27,7 @@ from .common import table
 
 UNIT = 192
 #: Payload bytes that are coded together; a longer document is a batch of its own.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 MCU_COLUMNS = 64
 #: Scans: components, first and last coefficient, high and low bit.
 SCANS = [((0, 1, 2), 0, 0, 0, 1)] + [((c,), a, b, 0, 1) for c in range(3) for a, b in ((1, 5), (6, 63))] + [((0, 1, 2), 0, 0, 1, 0)] + [((c,), 1, 63, 1, 0) for c in range(3)]
@@ -48,7 +48,7 @@ AC_SYMBOLS = [(s, 4) for s in range(1, 11)] + [(0, 4), (0xF0, 9)] + [(r << 4 | s
 
 def codes(symbols: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Canonical Huffman code and length of each symbol."""
-    code, length, at, last = np.zeros(256, np.int64), np.zeros(256, np.int64), 0, 0
+    code, length, at, last = np.zeros(256, np.int32), np.zeros(256, np.int32), 0, 0
     for symbol, n in symbols:
         at <<= n - last
         code[symbol], length[symbol], last = at, n, n
@@ -65,7 +65,7 @@ def bits_of(v: np.ndarray) -> np.ndarray:
     return _BITS[np.abs(v)]
 
 
-_BITS = np.array([int(i).bit_length() for i in range(1 << 12)], np.int64)
+_BITS = np.array([int(i).bit_length() for i in range(1 << 12)], np.int32)
 
 
 def low_bits(v: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -94,7 +94,7 @@ def join_bits(segment: np.ndarray, offset: np.ndarray, value: np.ndarray, length
     seg_bytes = (seg_bits + 7) // 8
     start = np.concatenate([[0], np.cumsum(seg_bytes)])
     at = start[segment] * 8 + offset
-    word = (value << (32 - length - (at & 7))).astype(np.int64)
+    word = value.astype(np.int64) << (32 - length - (at & 7))
     first = at >> 3
     out = np.zeros(start[-1] + 4)
     for j in range(4):
@@ -131,19 +131,19 @@ def encode_scan(blocks: np.ndarray, scan, groups: int) -> tuple[np.ndarray, ...]
             value, length = DC_CODE[size] << size | low_bits(diff, size), DC_LENGTH[size] + size
         ends = np.cumsum(length, axis=1)
         return np.repeat(np.arange(len(dc)), groups), (ends - length).ravel(), value.ravel(), length.ravel(), ends[:, -1]
-    v = blocks[:, a : b + 1].astype(np.int64)
+    v = blocks[:, a : b + 1].astype(np.int32)
     size = np.abs(v)
-    k = np.arange(b - a + 1)
+    k = np.arange(b - a + 1, dtype=np.int32)
     if not high:
         cut = np.sign(v) * (size >> low)
         some = cut != 0
         prior = np.maximum.accumulate(np.where(some, k, -1), axis=1)
-        prior = np.concatenate([np.full((n, 1), -1), prior[:, :-1]], axis=1)
+        prior = np.concatenate([np.full((n, 1), -1, np.int32), prior[:, :-1]], axis=1)
         run, bits = k - prior - 1, bits_of(cut)
         symbol = np.where(some, (run % 16) << 4 | bits, 0)
         skips = np.where(some, run // 16, 0)
         length = np.where(some, AC_LENGTH[symbol] + bits, 0)
-        ends = np.cumsum(length + 9 * skips, axis=1)
+        ends = np.cumsum(length + 9 * skips, axis=1, dtype=np.int32)
         row, col = np.nonzero(some)
         s, bit = symbol[row, col], bits[row, col]
         parts = [(row, ends[row, col] - length[row, col], AC_CODE[s] << bit | low_bits(cut[row, col], bit), length[row, col])]
@@ -159,20 +159,20 @@ def encode_scan(blocks: np.ndarray, scan, groups: int) -> tuple[np.ndarray, ...]
         total[open_end] += AC_LENGTH[0]
         return *(np.concatenate(x) for x in zip(*parts)), total
     new, zero, old = size == 1, size == 0, size > 1
-    zeros = np.cumsum(zero, axis=1)
+    zeros = np.cumsum(zero, axis=1, dtype=np.int32)
     since = zeros - np.maximum.accumulate(np.where(new, zeros, 0), axis=1)
     later = np.cumsum(new[:, ::-1], axis=1)[:, ::-1] - new > 0  # a new coefficient follows
     skip = zero & (since % 16 == 0) & later
-    before = zeros - np.concatenate([np.zeros((n, 1), np.int64), np.maximum.accumulate(np.where(new, zeros, 0), axis=1)[:, :-1]], axis=1)
+    before = zeros - np.concatenate([np.zeros((n, 1), np.int32), np.maximum.accumulate(np.where(new, zeros, 0), axis=1)[:, :-1]], axis=1)
     end = new | skip
     symbol = np.where(new, (before % 16) << 4 | 1, 0xF0)
     length = np.where(end, AC_LENGTH[symbol] + new, 0)
     final = ~end[:, -1]  # an end-of-block symbol covers the rest
-    done = np.cumsum(length, axis=1)  # symbol bits of the spans that end here or before
-    owed = np.cumsum(old, axis=1)
-    at_end = np.where(end, np.arange(b - a + 1), -1)
+    done = np.cumsum(length, axis=1, dtype=np.int32)  # symbol bits of the spans that end here or before
+    owed = np.cumsum(old, axis=1, dtype=np.int32)
+    at_end = np.where(end, k, -1)
     last_end = np.maximum.accumulate(at_end, axis=1)
-    last_end = np.concatenate([np.full((n, 1), -1), last_end[:, :-1]], axis=1)
+    last_end = np.concatenate([np.full((n, 1), -1, np.int32), last_end[:, :-1]], axis=1)
     row, col = np.nonzero(end)
     prior = last_end[row, col]
     corrected = np.where(prior >= 0, owed[row, np.maximum(prior, 0)], 0)
@@ -186,7 +186,7 @@ def encode_scan(blocks: np.ndarray, scan, groups: int) -> tuple[np.ndarray, ...]
     # a correction bit stands after its span's symbol: all symbols up to the next end count
     nxt = np.where(end, length, 0)
     covering = done - nxt  # symbol bits of spans that ended before k
-    upcoming = np.where(end, np.arange(b - a + 1), b - a + 1)
+    upcoming = np.where(end, k, b - a + 1)
     upcoming = np.minimum.accumulate(upcoming[:, ::-1], axis=1)[:, ::-1]
     own = np.where(upcoming <= b - a, np.take_along_axis(length, np.minimum(upcoming, b - a), axis=1), AC_LENGTH[0])
     row, col = np.nonzero(old)
@@ -200,6 +200,9 @@ def _table(kind: int, symbols) -> bytes:
     return struct.pack(">HHB16B", 0xFFC4, 19 + len(symbols), kind, *counts) + bytes(s for s, _ in symbols)
 
 
+_TABLES = _table(0, DC_SYMBOLS) + _table(0x10, AC_SYMBOLS)
+
+
 def _scan_header(scan) -> bytes:
     comps, a, b, high, low = scan
     return struct.pack(">HHB", 0xFFDA, 6 + 2 * len(comps), len(comps)) + b"".join(bytes((c + 1, 0)) for c in comps) + bytes((a, b, high << 4 | low))
@@ -208,7 +211,7 @@ def _scan_header(scan) -> bytes:
 def _header(columns: int, rows: int, n_payload: int) -> bytes:
     frame = struct.pack(">HHBHHB", 0xFFC2, 17, 8, rows * 16, columns * 16, 3) + b"".join(bytes((c + 1, h << 4 | v, 0)) for c, (h, v) in enumerate(SAMPLING))
     note = b"payload %d" % n_payload
-    return b"\xff\xd8" + struct.pack(">HH", 0xFFFE, 2 + len(note)) + note + struct.pack(">HHB", 0xFFDB, 67, 0) + b"\x01" * 64 + frame + _table(0, DC_SYMBOLS) + _table(0x10, AC_SYMBOLS) + struct.pack(">HHH", 0xFFDD, 4, 1)
+    return b"\xff\xd8" + struct.pack(">HH", 0xFFFE, 2 + len(note)) + note + struct.pack(">HHB", 0xFFDB, 67, 0) + b"\x01" * 64 + frame + _TABLES + struct.pack(">HHH", 0xFFDD, 4, 1)
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .media import op7_media_progressive_jpeg
 from .mixing import ORACLE_OP6, op6_mix_pareto
 from .quality import op10_quality_rff
 from .sharding import op4_shard_two_pass
@@ -13,6 +14,7 @@ def queries():
         "op2_toxicity_levenshtein": op2_toxicity_levenshtein,
         "op4_shard_two_pass": op4_shard_two_pass,
         "op6_mix_pareto": op6_mix_pareto,
+        "op7_media_progressive_jpeg": op7_media_progressive_jpeg,
         "op10_quality_rff": op10_quality_rff,
     }
 
