@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .media import op7_media_progressive_jpeg
 from .mixing import ORACLE_OP6, op6_mix_pareto
+from .pii import op1_pii_boosted
 from .quality import op10_quality_rff
 from .sharding import op4_shard_two_pass
 from .toxicity import op2_toxicity_levenshtein
@@ -11,6 +12,7 @@ from .toxicity import op2_toxicity_levenshtein
 
 def queries():
     return {
+        "op1_pii_boosted": op1_pii_boosted,
         "op2_toxicity_levenshtein": op2_toxicity_levenshtein,
         "op4_shard_two_pass": op4_shard_two_pass,
         "op6_mix_pareto": op6_mix_pareto,
