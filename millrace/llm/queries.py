@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontam import op9_decontaminate_spaced_seeds
 from .media import op7_media_progressive_jpeg
 from .mixing import ORACLE_OP6, op6_mix_pareto
 from .pii import op1_pii_boosted
@@ -17,6 +18,7 @@ def queries():
         "op4_shard_two_pass": op4_shard_two_pass,
         "op6_mix_pareto": op6_mix_pareto,
         "op7_media_progressive_jpeg": op7_media_progressive_jpeg,
+        "op9_decontaminate_spaced_seeds": op9_decontaminate_spaced_seeds,
         "op10_quality_rff": op10_quality_rff,
     }
 
