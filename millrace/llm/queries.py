@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op9_decontaminate_spaced_seeds
+from .jaccard import op8_jaccard_divideskip
 from .media import op7_media_progressive_jpeg
 from .mixing import ORACLE_OP6, op6_mix_pareto
 from .pii import op1_pii_boosted
@@ -18,6 +19,7 @@ def queries():
         "op4_shard_two_pass": op4_shard_two_pass,
         "op6_mix_pareto": op6_mix_pareto,
         "op7_media_progressive_jpeg": op7_media_progressive_jpeg,
+        "op8_jaccard_divideskip": op8_jaccard_divideskip,
         "op9_decontaminate_spaced_seeds": op9_decontaminate_spaced_seeds,
         "op10_quality_rff": op10_quality_rff,
     }
