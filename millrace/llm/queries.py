@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bwt_dedup import op5_suffix_dedup_bwt
 from .decontam import op9_decontaminate_spaced_seeds
 from .jaccard import op8_jaccard_divideskip
 from .media import op7_media_progressive_jpeg
@@ -17,6 +18,7 @@ def queries():
         "op1_pii_boosted": op1_pii_boosted,
         "op2_toxicity_levenshtein": op2_toxicity_levenshtein,
         "op4_shard_two_pass": op4_shard_two_pass,
+        "op5_suffix_dedup_bwt": op5_suffix_dedup_bwt,
         "op6_mix_pareto": op6_mix_pareto,
         "op7_media_progressive_jpeg": op7_media_progressive_jpeg,
         "op8_jaccard_divideskip": op8_jaccard_divideskip,
