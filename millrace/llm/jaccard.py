@@ -2,7 +2,7 @@
 
 Documents are sets of distinct word shingles. Equal sets form classes at once; one document stands for each class. The
 shingles of a set are ordered from rare to frequent, by a fixed-size sketch of all documents' counts, and two sets that reach
-the threshold share one of the first n - ceil(t n) + 1 of them (the prefix). Inverted lists of the prefixes give the
+the threshold share s of the first n - ceil(t n) + s of them (the prefix). Inverted lists of the prefixes give the
 candidates. Each query set is then searched in its candidates: DivideSkip heap-merges the short inverted lists, probes the
 long ones by binary search, and keeps the candidates that reach the overlap which the threshold requires.
 
@@ -35,21 +35,26 @@ MAX_BROADCAST_IDS = 500_000
 #: Members of a list that travel in one array, and candidates searched at a time.
 BLOCK, CHUNK = 2048, 2048
 ROUNDS = 2
+#: Lists that a pair must share. The prefix is longer by as many, less one, so that pairs that reach the threshold do.
+SHARED = 4
 
 
-def shingles(text: str | None, words: int, memo: dict[bytes, int]) -> np.ndarray:
+class Hashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+def shingles(text: str | None, words: int, memo: Hashes) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles of lower-cased words; one for the whole of a shorter text; none without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
         return np.zeros(0, np.uint64)
-    if len(memo) > 1_000_000:
-        memo.clear()
-    ids = np.empty(len(tokens), np.uint64)
-    for i, w in enumerate(tokens):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = xxhash.xxh64_intdigest(w)
-        ids[i] = h
+    ids = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
     k = min(words, len(ids))
     out = np.full(len(ids) - k + 1, k, np.uint64)
     for j in range(k):
@@ -66,7 +71,7 @@ def sketch(documents: DataFrame, words: int) -> np.ndarray:
     """Four times the logarithm of each cell's count of (document, shingle) pairs, over all documents."""
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros(2 * CELLS, np.int64), {}
+        total, memo = np.zeros(2 * CELLS, np.int64), Hashes()
         for f in frames:
             some = [s for s in (shingles(t, words, memo) for t in f.text) if len(s)]
             if some:
@@ -91,7 +96,7 @@ def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
     heat = sketch(documents, words)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
+        memo = Hashes()
         for f in frames:
             rows = []
             for t in f.text:
@@ -101,9 +106,10 @@ def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
                     rows.append((0, None, []))
                     continue
                 a, b = cells(s)
-                order = np.lexsort((s, np.minimum(heat[a], heat[b])))
-                p = n - -(-percent * n // 100) + 1
-                rows.append((n, hashlib.md5(s.tobytes()).digest(), s[order[:p]].view(np.int64)))
+                # a list's number: how frequent it is, then its hash
+                key = np.minimum(heat[a], heat[b]).astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+                key.sort()
+                rows.append((n, hashlib.md5(s.tobytes()).digest(), key[: n + SHARED - -(-percent * n // 100)].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "sig", "prefix"])
             out.insert(0, "doc_id", f.doc_id.to_numpy())
             yield out
@@ -143,9 +149,19 @@ def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int) -
     return sorted(out)
 
 
-def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(edges: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
     """Those of the candidate pairs (a, b) that are links."""
     edges = written(edges, "jaccard-pairs")
+    needed = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep"))).distinct()
+    needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST_IDS else needed
+
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Hashes()
+        for f in frames:
+            yield pd.DataFrame({"rep": f.rep, "set": [shingles(t, words, memo).tobytes() for t in f.text]})
+
+    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
+    sets = written(texts.mapInPandas(make, "rep long, set binary").dropDuplicates(["rep"]), "jaccard-sets")
     theirs = edges.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "b", "set")
     own = sets.join(edges.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "set")
 
@@ -202,17 +218,6 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
     size = F.count(F.lit(1)).over(Window.partitionBy("tok"))
     posted = written(posted.withColumn("size", size).where("size > 1"), "jaccard-lists")
 
-    needed = posted.select("rep").distinct()
-    needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST_IDS else needed
-
-    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[bytes, int] = {}
-        for f in frames:
-            yield pd.DataFrame({"rep": f.rep, "set": [shingles(t, words, memo).tobytes() for t in f.text]})
-
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
-    sets = written(texts.mapInPandas(make, "rep long, set binary").dropDuplicates(["rep"]), "jaccard-sets")
-
     links = documents.sparkSession.createDataFrame([], "a long, b long")
     labels = posted.select("rep", F.col("rep").alias("comp")).distinct()
     near = F.lit(percent) * F.col("n_a") <= F.lit(100) * F.col("n_b")
@@ -223,8 +228,8 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
         w = Window.partitionBy("tok", "band").orderBy("comp" if r == 0 else F.xxhash64("comp", F.lit(r)), "rep")
         chosen = posted.join(labels, "rep").withColumn("band", band).withColumn("star", F.first(F.struct("rep", "n", "comp")).over(w))
         pairs = chosen.where("star.comp <> comp").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("star.rep").alias("b"), F.col("star.n").alias("n_b")).where(near)
-        best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        links = written(links.unionByName(verified(best, sets, percent)), "jaccard-found")
+        best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 2).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+        links = written(links.unionByName(verified(best, documents, words, percent)), "jaccard-found")
         labels = written(merged_labels(posted, links), "jaccard-comps")
 
     # lists that still hold several components: their members by component, in blocks of bounded size
@@ -239,9 +244,18 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
     ordered = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.comp") < F.col("y.comp")))
     met = small.join(large, (F.col("x.tok") == F.col("y.tok")) & ordered)
     met = met.select(F.explode("x.members").alias("m"), F.col("y.comp").alias("other"), F.col("y.block").alias("block"), F.col("y.members").alias("theirs"))
-    met = met.groupBy(F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), "other", "block").agg(F.array_distinct(F.flatten(F.collect_list("theirs"))).alias("theirs"))
-    pairs = met.select("a", "n_a", F.explode("theirs").alias("t")).select("a", "n_a", F.col("t.rep").alias("b"), F.col("t.n").alias("n_b")).where(near)
-    links = written(links.unionByName(verified(pairs.select("a", "b").distinct(), sets, percent)), "jaccard-found")
+
+    met = met.groupBy(F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), "other", "block").agg(F.array_sort(F.flatten(F.collect_list("theirs"))).alias("theirs"))
+    # a member that comes SHARED times, or as often as the larger set requires if that is less, is a candidate
+    def candidate(t, i):
+        enough = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.greatest(F.col("n_a"), t["n"]) / 100)).cast("int")
+        last = F.coalesce(F.get("theirs", i + enough - 1) == t, F.lit(False))
+        first = F.coalesce(F.get("theirs", i - 1) != t, F.lit(True))
+        sized = (F.lit(percent) * F.col("n_a") <= F.lit(100) * t["n"]) & (F.lit(percent) * t["n"] <= F.lit(100) * F.col("n_a"))
+        return first & last & sized
+
+    pairs = met.select("a", F.explode(F.filter("theirs", candidate)).alias("t")).select("a", F.col("t.rep").alias("b"))
+    links = written(links.unionByName(verified(pairs.select("a", "b").distinct(), documents, words, percent)), "jaccard-found")
     joined = components(links)
     known = reps.select("sig", "rep").join(joined, "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     return tokens.select("doc_id", "n", "sig"), known
