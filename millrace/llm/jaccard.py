@@ -32,8 +32,8 @@ from .common import table, written
 CELLS = 1 << 17
 #: Up to so many ids are broadcast to filter the documents; beyond it, the join shuffles.
 MAX_BROADCAST_IDS = 500_000
-#: Members of a list that travel in one array, and candidates searched at a time.
-BLOCK, CHUNK = 2048, 2048
+#: Sets in a block that is indexed at a time, and queries that go to one copy of it.
+BLOCK, QUERIES = 1024, 4096
 ROUNDS = 2
 #: Lists that a pair must share. The prefix is longer by as many, less one, so that pairs that reach the threshold do.
 SHARED = 4
@@ -86,11 +86,6 @@ def sketch(documents: DataFrame, words: int) -> np.ndarray:
     return np.round(4 * np.log2(1 + out)).astype(np.uint8)
 
 
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """The smallest intersection of sets of sizes a and b with 100 * intersection >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
 def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, sig (of the whole set; null if empty), prefix (rare shingles first)."""
     heat = sketch(documents, words)
@@ -117,42 +112,55 @@ def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
     return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, sig binary, prefix array<long>")
 
 
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int) -> list[int]:
-    """Places of the candidates whose overlap with the query set reaches the threshold. All sets are sorted and distinct."""
-    needs = [least_overlap(len(query), len(c), percent) for c in candidates]
-    least = min(needs, default=0)
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    every = np.concatenate(candidates) if candidates else query[:0]
-    at = np.searchsorted(query, every)
-    hit = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == every)
-    at, owner = at[hit], owner[hit]
-    by_list = np.argsort(at, kind="stable")
-    lengths = np.bincount(at, minlength=len(query))
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    owner = owner[by_list]
-    n_long = min(least - 1, int(least / (0.01 * math.log2(2 + lengths.max(initial=1)) + 1)))
-    order = np.argsort(lengths, kind="stable")
-    short, long = order[: len(query) - n_long], np.sort(order[len(query) - n_long :])
-    merged = heapq.merge(*(owner[bounds[i] : bounds[i + 1]].tolist() for i in short if lengths[i]))
-    counts: dict[int, int] = {}
-    for c in merged:
-        counts[c] = counts.get(c, 0) + 1
-    out = []
-    for c, n in counts.items():
-        if n + n_long < needs[c]:
-            continue
-        own = candidates[c]
-        place = np.searchsorted(own, query[long])
-        n += int((own[np.minimum(place, len(own) - 1)] == query[long]).sum())
-        if n >= needs[c]:
-            out.append(c)
-    return sorted(out)
-
-
-def verified(edges: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) that are links."""
-    edges = written(edges, "jaccard-pairs")
-    needed = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep"))).distinct()
+class Index:
+    """Inverted lists of a few thousand sets, each sorted and distinct."""
+
+    def __init__(self, ids: list[tuple[int, int]], sets: list[np.ndarray]) -> None:
+        """ids: each set's document and component."""
+        self.ids, self.sets = ids, sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owner = tokens[order], owner[order]
+
+    def search(self, query: np.ndarray, comp: int, percent: int) -> list[int]:
+        """For each component but comp, a document whose overlap with the query reaches the threshold, by DivideSkip."""
+        needs = -(-percent * (len(query) + self.sizes) // (100 + percent))
+        fit = np.minimum(self.sizes, len(query)) >= needs
+        if not fit.any():
+            return []
+        least = int(needs[fit].min())
+        begin, end = np.searchsorted(self.tokens, query, "left"), np.searchsorted(self.tokens, query, "right")
+        lengths = end - begin
+        n_long = min(least - 1, int(least / (0.01 * math.log2(2 + lengths.max()) + 1)))
+        order = np.argsort(lengths, kind="stable")
+        short, long = order[: len(query) - n_long], np.sort(order[len(query) - n_long :])
+        counts: dict[int, int] = {}
+        for c in heapq.merge(*(self.owner[begin[i] : end[i]].tolist() for i in short if lengths[i])):
+            counts[c] = counts.get(c, 0) + 1
+        probes, out, done = query[long], [], {comp}
+        for c, n in counts.items():
+            if fit[c] and n + n_long >= needs[c] and self.ids[c][1] not in done:
+                own = self.sets[c]
+                at = np.searchsorted(own, probes)
+                if n + int((own[np.minimum(at, len(own) - 1)] == probes).sum()) >= needs[c]:
+                    out.append(self.ids[c][0])
+                    done.add(self.ids[c][1])
+        return sorted(out)
+
+
+def searched(queries: DataFrame, members: DataFrame, labels: DataFrame, documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of each query a of (g, k, a) to members b of (g, k, b), one for each other component; g, k is a block of bounded size.
+
+    The queries of a block are split into salts of bounded size, each with its own copy of the members.
+    """
+    queries = written(queries.select("g", "k", "a").distinct(), "jaccard-queries")
+    counts = queries.groupBy("g", "k").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
+    queries = queries.join(counts, ["g", "k"]).select("g", "k", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("s"), F.lit(1).alias("kind"), F.col("a").alias("rep"))
+    members = members.select("g", "k", "b").join(counts, ["g", "k"]).select("g", "k", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("s"), F.lit(0).alias("kind"), F.col("b").alias("rep"))
+    rows = written(queries.unionByName(members).join(labels, "rep"), "jaccard-rows")
+    needed = rows.select("rep").distinct()
     needed = F.broadcast(needed) if needed.count() <= MAX_BROADCAST_IDS else needed
 
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,37 +169,26 @@ def verified(edges: DataFrame, documents: DataFrame, words: int, percent: int) -
             yield pd.DataFrame({"rep": f.rep, "set": [shingles(t, words, memo).tobytes() for t in f.text]})
 
     texts = documents.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
-    sets = written(texts.mapInPandas(make, "rep long, set binary").dropDuplicates(["rep"]), "jaccard-sets")
-    theirs = edges.join(sets.withColumnRenamed("rep", "b"), "b").select("a", "b", "set")
-    own = sets.join(edges.select(F.col("a").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    sets = texts.mapInPandas(make, "rep long, set binary").dropDuplicates(["rep"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, query, held, found = None, None, [], []
-
-        def flush() -> None:
-            if held:
-                hits = divide_skip(query, [s for _, s in held], percent)
-                found.extend((a, held[i][0]) for i in hits)
-                held.clear()
-
+        block, index, ids, held = None, None, [], []
         for f in frames:
-            for x, b, s in zip(f.a, f.b, f.set):
-                if x != a:
-                    flush()
-                    a = x
-                if pd.isna(b):
-                    query = np.frombuffer(s, np.uint64)
+            found = []
+            for g, k, s, kind, rep, comp, packed in zip(f.g, f.k, f.s, f.kind, f.rep, f.comp, f.set):
+                if (g, k, s) != block:
+                    block, index, ids, held = (g, k, s), None, [], []
+                own = np.frombuffer(packed, np.uint64)
+                if kind == 0:
+                    ids.append((rep, comp))
+                    held.append(own)
                 else:
-                    held.append((int(b), np.frombuffer(s, np.uint64)))
-                    if len(held) >= CHUNK:
-                        flush()
+                    index = index or Index(ids, held)
+                    found += [(rep, b) for b in index.search(own, comp, percent)]
             yield pd.DataFrame(found, columns=["a", "b"])
-            found.clear()
-        flush()
-        yield pd.DataFrame(found, columns=["a", "b"])
 
-    # dealt by a hash of a: a union of sides that are both dealt by a could be taken as dealt already, and then be coalesced unlike
-    return own.unionByName(theirs).repartition(F.xxhash64("a")).sortWithinPartitions("a", F.col("b").asc_nulls_first()).mapInPandas(search, "a long, b long")
+    dealt = rows.join(sets, "rep").repartition(F.xxhash64("g", "k", "s")).sortWithinPartitions("g", "k", "s", "kind", "rep")
+    return dealt.mapInPandas(search, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -229,33 +226,26 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
         chosen = posted.join(labels, "rep").withColumn("band", band).withColumn("star", F.first(F.struct("rep", "n", "comp")).over(w))
         pairs = chosen.where("star.comp <> comp").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("star.rep").alias("b"), F.col("star.n").alias("n_b")).where(near)
         best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 2).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-        links = written(links.unionByName(verified(best, documents, words, percent)), "jaccard-found")
+        best = written(best.select(F.col("b").alias("g"), F.lit(0).alias("k"), "a", "b"), "jaccard-best")
+        links = written(links.unionByName(searched(best, best.select("g", "k", "b").distinct(), labels, documents, words, percent)), "jaccard-found")
         labels = written(merged_labels(posted, links), "jaccard-comps")
 
-    # lists that still hold several components: their members by component, in blocks of bounded size
+    # lists that still hold several components: each document searches the blocks that hold documents of larger ones.
+    # A large component has blocks of its own; the others are grouped by the longest list that a document is in.
     held = posted.join(labels, "rep")
     mixed = held.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    held = written(held.join(mixed, "tok"), "jaccard-mixed")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK))
-    packed = held.withColumn("block", block).groupBy("tok", "comp", "block").agg(F.collect_list(F.struct("rep", "n")).alias("members"))
-    totals = held.groupBy("comp").agg(F.countDistinct("rep").alias("total"))
-    packed = packed.join(totals, "comp")
-    small, large = packed.alias("x"), packed.alias("y")
-    ordered = (F.col("x.total") < F.col("y.total")) | ((F.col("x.total") == F.col("y.total")) & (F.col("x.comp") < F.col("y.comp")))
-    met = small.join(large, (F.col("x.tok") == F.col("y.tok")) & ordered)
-    met = met.select(F.explode("x.members").alias("m"), F.col("y.comp").alias("other"), F.col("y.block").alias("block"), F.col("y.members").alias("theirs"))
-
-    met = met.groupBy(F.col("m.rep").alias("a"), F.col("m.n").alias("n_a"), "other", "block").agg(F.array_sort(F.flatten(F.collect_list("theirs"))).alias("theirs"))
-    # a member that comes SHARED times, or as often as the larger set requires if that is less, is a candidate
-    def candidate(t, i):
-        enough = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.greatest(F.col("n_a"), t["n"]) / 100)).cast("int")
-        last = F.coalesce(F.get("theirs", i + enough - 1) == t, F.lit(False))
-        first = F.coalesce(F.get("theirs", i - 1) != t, F.lit(True))
-        sized = (F.lit(percent) * F.col("n_a") <= F.lit(100) * t["n"]) & (F.lit(percent) * t["n"] <= F.lit(100) * F.col("n_a"))
-        return first & last & sized
-
-    pairs = met.select("a", F.explode(F.filter("theirs", candidate)).alias("t")).select("a", F.col("t.rep").alias("b"))
-    links = written(links.unionByName(verified(pairs.select("a", "b").distinct(), documents, words, percent)), "jaccard-found")
+    totals = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("total"))
+    held = held.join(mixed, "tok").join(totals, "comp")
+    group = F.when(F.max("total") >= BLOCK // 8, F.max("comp")).otherwise(F.max_by("tok", F.struct("size", "tok")))
+    grouped = written(held.groupBy("rep").agg(group.alias("g")), "jaccard-groups")
+    members = grouped.join(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("g_total")), "g")
+    members = members.select("g", F.pmod(F.xxhash64("rep"), F.ceil(F.col("g_total") / BLOCK)).cast("int").alias("k"), F.col("rep").alias("b"))
+    held = written(held.join(members.withColumnRenamed("b", "rep"), "rep"), "jaccard-mixed")
+    blocks = held.groupBy("tok", "g", "k").agg(F.max(F.struct("total", "comp")).alias("top"))
+    met = held.drop("g", "k").join(blocks, "tok").where(F.struct("total", "comp") < F.col("top")).groupBy("rep", "n", "g", "k").agg(F.count(F.lit(1)).alias("shared"))
+    enough = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col("n") / 100))
+    queries = met.where(F.col("shared") >= enough).select("g", "k", F.col("rep").alias("a"))
+    links = written(links.unionByName(searched(queries, members, labels, documents, words, percent)), "jaccard-found")
     joined = components(links)
     known = reps.select("sig", "rep").join(joined, "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     return tokens.select("doc_id", "n", "sig"), known
