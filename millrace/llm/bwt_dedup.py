@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table
 
 LENGTH, K = 50, 16
 #: Columns left of the minimizer in which a window can start, and all columns of a segment.
@@ -33,6 +33,8 @@ LEFT = LENGTH - K
 WIDTH = LEFT + LENGTH
 #: Bytes that are hashed at a time, input bytes of a bucket of documents or minimizers, pairs that are packed at a time.
 STEP_BYTES, BUCKET_BYTES, PACK_PAIRS = 1 << 20, 16 << 20, 1 << 20
+#: Segments that are laid out in columns at a time.
+ROWS = 1 << 14
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -174,17 +176,32 @@ def variants(f: pd.DataFrame) -> list[tuple[int, int, bytes]]:
     return [(i, ranks[i][raw] if i in ranks else 0, raw) for i, raw in rows]
 
 
+def whole_copies(rows: DataFrame) -> DataFrame:
+    """(q, copy, digest) of the rows whose whole text a smaller document has; they need no comparison of windows."""
+    texts = rows.where(F.octet_length("text") >= LENGTH).select("q", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("copy"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
+    least = texts.groupBy("digest").agg(F.min("copy").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return texts.join(least, "digest").where(F.col("copy") > F.col("least")).select("q", "copy", "digest")
+
+
+def copies_in(found: pd.DataFrame) -> tuple[pd.DataFrame, set[tuple[int, bytes]]]:
+    """The packed rows of a bucket, and the (id, digest) of its copies."""
+    plain = found["copy"].isna()
+    marked = found[~plain]
+    return found[plain], {(int(c), bytes(d)) for c, d in zip(marked["copy"], marked.digest)}
+
+
 def pack_segments(documents: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, ids, variants, at, left, length, data): the segments of shared minimizers."""
+    """(bucket, ids, variants, at, left, length, data): the segments of shared minimizers, of documents that aren't copies."""
 
     def run(texts: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
         out = []
+        live, copies = copies_in(live)
         if len(live) and len(texts):
             ids = np.concatenate([np.frombuffer(x, np.int64) for x in live.ids])
             keys = np.concatenate([np.frombuffer(x, np.uint64) for x in live["keys"]])
             mixed = np.sort(mix(ids, keys))
             parts = []
-            for rows in steps(dict.fromkeys(variants(texts))):
+            for rows in steps(r for r in dict.fromkeys(variants(texts)) if (r[0], hashlib.md5(r[2]).digest()) not in copies):
                 text, h, at, lo, hi = segments([r[2] for r in rows])
                 doc = np.array([r[0] for r in rows], np.int64)[text]
                 want = mix(doc, h >> np.uint64(24))
@@ -195,7 +212,7 @@ def pack_segments(documents: DataFrame, shared: DataFrame, buckets: int) -> Data
                 length = hi[own] - lo[own] + LENGTH
                 data = raw[np.repeat(base + lo[own] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
                 variant = np.array([r[1] for r in rows], np.int32)[text[own]]
-                parts.append((h[own], doc[own], variant, at[own], (at[own] - lo[own]).astype(np.uint8), length.astype(np.uint8), data))
+                parts.append((h[own], doc[own], variant, at[own].astype(np.int32), (at[own] - lo[own]).astype(np.uint8), length.astype(np.uint8), data))
             if parts:
                 h, doc, variant, at, left, length, data = (np.concatenate(x) for x in zip(*parts))
                 ends = np.cumsum(length, dtype=np.int64)
@@ -223,12 +240,15 @@ def repeated_windows(doc: np.ndarray, left: np.ndarray, length: np.ndarray, data
     size = length.astype(np.int64)
     out = np.zeros((m, LEFT + 1), bool)
     with tempfile.TemporaryFile() as file:
-        row = np.repeat(np.arange(m), size)
-        col = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[row]
-        symbols = np.zeros((WIDTH, m), np.uint8)
-        symbols[col, row] = data
-        file.write(symbols[::-1].tobytes())
-        del symbols, row, col
+        symbols, ends = np.zeros((m, WIDTH), np.uint8), np.cumsum(size)
+        for a in range(0, m, ROWS):
+            n = size[a : a + ROWS]
+            begin = ends[a] - n[0]
+            flat = np.repeat(np.arange(len(n)) * WIDTH + first[a : a + ROWS] - (ends[a : a + ROWS] - n - begin), n) + np.arange(n.sum())
+            symbols[a : a + ROWS].reshape(-1)[flat] = data[begin : begin + n.sum()]
+        for c in range(WIDTH - 1, -1, -1):
+            file.write(symbols[:, c].tobytes())
+        del symbols
         file.seek(0)
         order = np.arange(m)
         common = np.zeros(m + 1, np.uint8)
@@ -255,8 +275,9 @@ def repeated_spans(packed: DataFrame, doc_buckets: int) -> DataFrame:
     def run(blobs: pd.DataFrame) -> pd.DataFrame:
         doc, variant, at, left, length, data = (
             np.concatenate([np.frombuffer(x, kind) for x in blobs[name]])
-            for name, kind in (("ids", np.int64), ("variants", np.int32), ("at", np.int64), ("left", np.uint8), ("length", np.uint8), ("data", np.uint8))
+            for name, kind in (("ids", np.int64), ("variants", np.int32), ("at", np.int32), ("left", np.uint8), ("length", np.uint8), ("data", np.uint8))
         )
+        at = at.astype(np.int64)
         hit = repeated_windows(doc, left, length, data)
         edge = np.zeros((len(doc), LEFT + 3), np.int8)
         edge[:, 1:-1] = hit
@@ -294,12 +315,15 @@ def remove_repeats(documents: DataFrame, texts: bool = False) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     rows = documents.select("doc_id", "text", F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))), F.lit(buckets)).cast("int").alias("q"))
-    shared = shared_minimizers(pack_pairs(documents, buckets), buckets)
-    spans = written(repeated_spans(pack_segments(rows, shared, buckets), buckets), "bwt-spans")
+    copies = whole_copies(rows)
+    shared = shared_minimizers(pack_pairs(documents, buckets), buckets).unionByName(copies, allowMissingColumns=True)
+    # one plan, so that the texts are dealt to buckets once and read twice
+    spans = repeated_spans(pack_segments(rows, shared, buckets), buckets).unionByName(copies, allowMissingColumns=True)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
 
     def run(texts_of: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         where: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        found, gone = copies_in(found)
         if len(found):
             ids, variant, starts, ends = (np.concatenate([np.frombuffer(x, np.int32 if n == "variants" else np.int64) for x in found[n]]) for n in ("ids", "variants", "starts", "ends"))
             order = np.lexsort((variant, ids))
@@ -308,7 +332,10 @@ def remove_repeats(documents: DataFrame, texts: bool = False) -> DataFrame:
             where = {(int(ids[a]), int(variant[a])): (starts[a:b], ends[a:b]) for a, b in zip(cut, cut[1:])}
         out = []
         for i, v, raw in variants(texts_of):
-            left, n = kept(raw, *where[i, v]) if (i, v) in where else (raw, 0)
+            if (i, hashlib.md5(raw).digest()) in gone:
+                left, n = b"", 1
+            else:
+                left, n = kept(raw, *where[i, v]) if (i, v) in where else (raw, 0)
             row = (None if i == NO_ID else i, len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest())
             out.append((*row, left) if texts else row)
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
