@@ -177,10 +177,10 @@ def variants(f: pd.DataFrame) -> list[tuple[int, int, bytes]]:
 
 
 def whole_copies(rows: DataFrame) -> DataFrame:
-    """(q, copy, digest) of the rows whose whole text a smaller document has; they need no comparison of windows."""
+    """(q, copy, digest, least) of the rows whose whole text a smaller document has (least); they need no comparison."""
     texts = rows.where(F.octet_length("text") >= LENGTH).select("q", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("copy"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"))
     least = texts.groupBy("digest").agg(F.min("copy").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return texts.join(least, "digest").where(F.col("copy") > F.col("least")).select("q", "copy", "digest")
+    return texts.join(least, "digest").where(F.col("copy") > F.col("least")).select("q", "copy", "digest", "least")
 
 
 def copies_in(found: pd.DataFrame) -> tuple[pd.DataFrame, set[tuple[int, bytes]]]:
@@ -315,7 +315,7 @@ def remove_repeats(documents: DataFrame, texts: bool = False) -> DataFrame:
     total = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     rows = documents.select("doc_id", "text", F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))), F.lit(buckets)).cast("int").alias("q"))
-    copies = whole_copies(rows)
+    copies = whole_copies(rows).drop("least")
     shared = shared_minimizers(pack_pairs(documents, buckets), buckets).unionByName(copies, allowMissingColumns=True)
     # one plan, so that the texts are dealt to buckets once and read twice
     spans = repeated_spans(pack_segments(rows, shared, buckets), buckets).unionByName(copies, allowMissingColumns=True)
