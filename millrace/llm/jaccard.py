@@ -1,9 +1,9 @@
 """N-gram Jaccard join by T-occurrence search.
 
 Documents are sets of distinct word shingles. Equal sets form classes at once; one document stands for each class. The
-shingles of a set are ordered from rare to frequent, by a fixed-size sketch of all documents' counts, and two sets that reach
-the threshold share s of the first n - ceil(t n) + s of them (the prefix). Inverted lists of the prefixes give the
-candidates. Each query set is then searched in its candidates: DivideSkip heap-merges the short inverted lists, probes the
+shingles of a set are ordered by hash, and two sets that reach the threshold t share s of the first n - ceil(t n) + s of
+them (the prefix), for any s up to the overlap. With s a tenth of the set, documents that share a passage or a line are
+no candidates. Inverted lists of the prefixes give the candidates. Each query set is then searched in its candidates: DivideSkip heap-merges the short inverted lists, probes the
 long ones by binary search, and keeps the candidates that reach the overlap which the threshold requires.
 
 Links only matter as far as they join components. So two rounds search each document in one candidate that shares most
@@ -28,14 +28,12 @@ from pyspark.sql.window import Window
 
 from .common import table, written
 
-#: Cells of each of the sketch's two rows.
-CELLS = 1 << 17
 #: Up to so many ids are broadcast to filter the documents; beyond it, the join shuffles.
 MAX_BROADCAST_IDS = 500_000
 #: Sets in a block that is indexed at a time, and queries that go to one copy of it.
 BLOCK, QUERIES = 1024, 4096
 ROUNDS = 2
-#: Lists that a pair must share. The prefix is longer by as many, less one, so that pairs that reach the threshold do.
+#: Lists that a pair must share besides a tenth of its shingles.
 SHARED = 4
 
 
@@ -63,32 +61,18 @@ def shingles(text: str | None, words: int, memo: Hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h % np.uint64(CELLS)).astype(np.int64), (h >> np.uint64(40)).astype(np.int64) % CELLS + CELLS
+def least_shared(n: int, percent: int) -> int:
+    """Lists that a set of n shingles must share with a set that isn't smaller, for the pair to be a candidate."""
+    return min(SHARED + n // 10, -(-percent * n // 100))
 
 
-def sketch(documents: DataFrame, words: int) -> np.ndarray:
-    """Four times the logarithm of each cell's count of (document, shingle) pairs, over all documents."""
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros(2 * CELLS, np.int64), Hashes()
-        for f in frames:
-            some = [s for s in (shingles(t, words, memo) for t in f.text) if len(s)]
-            if some:
-                a, b = cells(np.concatenate(some))
-                total += np.bincount(a, minlength=2 * CELLS) + np.bincount(b, minlength=2 * CELLS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"cell": at.astype(np.int32), "n": total[at]})
-
-    summed = documents.select("text").mapInPandas(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(2 * CELLS)
-    out[summed["cell"].to_numpy()] = summed["n"].to_numpy()
-    return np.round(4 * np.log2(1 + out)).astype(np.uint8)
+def enough(n, percent: int):
+    """least_shared as an expression."""
+    return F.least(F.lit(SHARED) + F.floor(n / 10), F.ceil(F.lit(percent) * n / 100))
 
 
 def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set; null if empty), prefix (rare shingles first)."""
-    heat = sketch(documents, words)
+    """doc_id, n, sig (of the whole set; null if empty), prefix (the shingles of smallest hash)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = Hashes()
@@ -100,11 +84,8 @@ def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
                 if not n:
                     rows.append((0, None, []))
                     continue
-                a, b = cells(s)
-                # a list's number: how frequent it is, then its hash
-                key = np.minimum(heat[a], heat[b]).astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
-                key.sort()
-                rows.append((n, hashlib.md5(s.tobytes()).digest(), key[: n + SHARED - -(-percent * n // 100)].view(np.int64)))
+                p = n - -(-percent * n // 100) + least_shared(n, percent)
+                rows.append((n, hashlib.md5(s.tobytes()).digest(), s[:p].view(np.int64)))
             out = pd.DataFrame(rows, columns=["n", "sig", "prefix"])
             out.insert(0, "doc_id", f.doc_id.to_numpy())
             yield out
@@ -206,14 +187,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def shared_lists(posted: DataFrame, percent: int) -> DataFrame:
+    """posted without lists of one member, and then without documents in too few lists to reach the threshold with any other."""
+    shared = posted.join(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "tok")
+    lists = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("size"))
+    able = lists.where(F.col("lists") >= enough(F.ceil(F.lit(percent) * F.col("size") / 100), percent)).select("rep")
+    return shared.join(able, "rep")
+
+
 def link_components(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) of all rows with an id, and (sig, component_id) of all sets."""
     tokens = written(tokenized(documents, words, percent), "jaccard-tokens")
-    reps = tokens.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = written(reps, "jaccard-reps")
-    posted = reps.select("rep", "n", F.explode("prefix").alias("tok"))
-    size = F.count(F.lit(1)).over(Window.partitionBy("tok"))
-    posted = written(posted.withColumn("size", size).where("size > 1"), "jaccard-lists")
+    reps = written(tokens.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    some = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_IDS else reps
+    posted = tokens.join(some, "sig").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", F.explode("prefix").alias("tok"))
+    posted = shared_lists(written(shared_lists(posted, percent), "jaccard-lists"), percent)
+    posted = written(posted.join(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("size")), "tok"), "jaccard-lists")
 
     links = documents.sparkSession.createDataFrame([], "a long, b long")
     labels = posted.select("rep", F.col("rep").alias("comp")).distinct()
@@ -243,8 +232,7 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
     held = written(held.join(members.withColumnRenamed("b", "rep"), "rep"), "jaccard-mixed")
     blocks = held.groupBy("tok", "g", "k").agg(F.max(F.struct("total", "comp")).alias("top"))
     met = held.drop("g", "k").join(blocks, "tok").where(F.struct("total", "comp") < F.col("top")).groupBy("rep", "n", "g", "k").agg(F.count(F.lit(1)).alias("shared"))
-    enough = F.least(F.lit(SHARED), F.ceil(F.lit(percent) * F.col("n") / 100))
-    queries = met.where(F.col("shared") >= enough).select("g", "k", F.col("rep").alias("a"))
+    queries = met.where(F.col("shared") >= enough(F.ceil(F.lit(percent) * F.col("n") / 100), percent)).select("g", "k", F.col("rep").alias("a"))
     links = written(links.unionByName(searched(queries, members, labels, documents, words, percent)), "jaccard-found")
     joined = components(links)
     known = reps.select("sig", "rep").join(joined, "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
