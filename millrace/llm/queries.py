@@ -6,6 +6,7 @@ from .bwt_dedup import op5_suffix_dedup_bwt
 from .decontam import op9_decontaminate_spaced_seeds
 from .jaccard import op8_jaccard_divideskip
 from .media import op7_media_progressive_jpeg
+from .chaining import op3_passages_chaining
 from .mixing import ORACLE_OP6, op6_mix_pareto
 from .pii import op1_pii_boosted
 from .quality import op10_quality_rff
@@ -17,6 +18,7 @@ def queries():
     return {
         "op1_pii_boosted": op1_pii_boosted,
         "op2_toxicity_levenshtein": op2_toxicity_levenshtein,
+        "op3_passages_chaining": op3_passages_chaining,
         "op4_shard_two_pass": op4_shard_two_pass,
         "op5_suffix_dedup_bwt": op5_suffix_dedup_bwt,
         "op6_mix_pareto": op6_mix_pareto,
