@@ -37,7 +37,8 @@ def targets(sizes: DataFrame, limit: int = 3) -> DataFrame:
 
     All sizes together are shared by weight; no target exceeds ``limit`` times its source, and the excess goes to the
     others by weight until none is above. With c the share of a unit of weight, a source is held at its limit if
-    limit * size / weight <= c, so one pass over the sources in the order of that ratio finds c.
+    limit * size / weight <= c. In the order of that ratio, c is what the sources from one on share after those before it
+    took their limits, at the first source that this share doesn't bring above its own limit.
     """
     every = Window.orderBy("ratio", "nth").rowsBetween(Window.unboundedPreceding, -1)
     numbered = sizes.withColumn("nth", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", (F.col("nth") - 1) % 3 + 1)
@@ -50,7 +51,7 @@ def targets(sizes: DataFrame, limit: int = 3) -> DataFrame:
         .join(F.broadcast(totals))
         .withColumn("unit", (F.col("all_size") - F.col("caps")).cast("double") / (F.col("all_weight") - F.col("weights")))
     )
-    unit = ordered.agg(F.min(F.when(F.col("unit") <= F.col("ratio"), F.col("unit"))).alias("c"))
+    unit = ordered.where(F.col("unit") <= F.col("ratio")).agg(F.min_by("unit", F.struct("ratio", "nth")).alias("c"))
     target = F.when(F.col("c").isNull() | (F.col("ratio") <= F.col("c")), F.col("cap").cast("double")).otherwise(F.col("c") * F.col("weight"))
     return ordered.join(F.broadcast(unit)).select("source", "source_size", target.alias("target"))
 
@@ -141,7 +142,7 @@ WITH d AS (
     CAST(coalesce(sum(cap) OVER (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS caps,
     CAST(coalesce(sum(weight) OVER (ORDER BY ratio, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS weights FROM o
 ), c AS (
-  SELECT min((all_size - caps) / (all_weight - weights)) AS unit FROM p WHERE (all_size - caps) / (all_weight - weights) <= ratio
+  SELECT (SELECT (all_size - caps) / (all_weight - weights) FROM p WHERE (all_size - caps) / (all_weight - weights) <= ratio ORDER BY ratio, nth LIMIT 1) AS unit
 ), t AS (
   SELECT source, source_size, CASE WHEN unit IS NULL OR ratio <= unit THEN CAST(cap AS DOUBLE) ELSE unit * weight END AS target FROM p, c
 ), r AS (
