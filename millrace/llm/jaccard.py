@@ -26,12 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bwt_dedup import BUCKET_BYTES, split
 from .common import table, written
 
 #: Up to so many ids are broadcast to filter the documents; beyond it, the join shuffles.
 MAX_BROADCAST_IDS = 500_000
 #: Sets in a block that is indexed at a time, and queries that go to one copy of it.
 BLOCK, QUERIES = 1024, 4096
+#: Pairs that are packed at a time.
+PACK = 1 << 20
 ROUNDS = 2
 #: Lists that a pair must share besides a tenth of its shingles.
 SHARED = 4
@@ -71,26 +74,80 @@ def enough(n, percent: int):
     return F.least(F.lit(SHARED) + F.floor(n / 10), F.ceil(F.lit(percent) * n / 100))
 
 
-def tokenized(documents: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of the whole set; null if empty), prefix (the shingles of smallest hash)."""
+def packed(documents: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
+    """(bucket, kind, ids, of, keys). Kind 1: distinct (shingle of a prefix, document) pairs by bucket of the shingle; keys are 5 bytes
+    of its hash, of are places in ids. Kind 0: documents, with their numbers of shingles in of and the digests of their sets in keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = Hashes()
+        memo, held, size, turn = Hashes(), [], 0, 0
+
+        def emit() -> list[tuple]:
+            h, doc = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order, bounds = split((h % np.uint64(buckets)).astype(np.int64), buckets)
+            out = []
+            for k in np.flatnonzero(np.diff(bounds)):
+                own = order[bounds[k] : bounds[k + 1]]
+                ids, of = np.unique(doc[own], return_inverse=True)
+                five = (h[own] >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+                out.append((k, 1, ids.tobytes(), of.astype(np.uint32).tobytes(), np.ascontiguousarray(five.T).tobytes()))
+            return out
+
         for f in frames:
-            rows = []
-            for t in f.text:
+            counts, digests, rows = [], [], []
+            for i, t in zip(f.doc_id, f.text):
                 s = shingles(t, words, memo)
                 n = len(s)
-                if not n:
-                    rows.append((0, None, []))
-                    continue
-                p = n - -(-percent * n // 100) + least_shared(n, percent)
-                rows.append((n, hashlib.md5(s.tobytes()).digest(), s[:p].view(np.int64)))
-            out = pd.DataFrame(rows, columns=["n", "sig", "prefix"])
-            out.insert(0, "doc_id", f.doc_id.to_numpy())
-            yield out
-
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, n long, sig binary, prefix array<long>")
+                counts.append(n)
+                digests.append(hashlib.md5(s.tobytes()).digest())
+                if n:
+                    p = n - -(-percent * n // 100) + least_shared(n, percent)
+                    held.append((s[:p], np.full(min(p, n), i, np.int64)))
+                    size += min(p, n)
+                if size >= PACK:
+                    rows += emit()
+                    size = 0
+            if len(f):
+                turn += 1
+                rows.append(((int(f.doc_id.iloc[0]) + turn) % buckets, 0, f.doc_id.to_numpy(np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(digests)))
+            yield pd.DataFrame(rows, columns=["bucket", "kind", "ids", "of", "keys"])
+        if size:
+            yield pd.DataFrame(emit(), columns=["bucket", "kind", "ids", "of", "keys"])
+
+    rows = documents.where("doc_id is not null").select("doc_id", "text")
+    return rows.mapInPandas(run, "bucket int, kind int, ids binary, of binary, keys binary")
+
+
+def unpacked(blobs: DataFrame, buckets: int) -> DataFrame:
+    """Rows with n: (doc_id, n, sig), sig null for an empty set. Rows with tok: (doc_id, tok), for lists of several documents."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        plain, pairs = rows[rows.kind == 0], rows[rows.kind == 1]
+        out = []
+        for ids, of, keys in zip(plain.ids, plain.of, plain["keys"]):
+            n = np.frombuffer(of, np.int32)
+            out.append(pd.DataFrame({"doc_id": np.frombuffer(ids, np.int64), "n": n, "sig": [keys[16 * i : 16 * i + 16] if c else None for i, c in enumerate(n)]}))
+        if len(pairs):
+            keys, docs = [], []
+            for ids, of, five in zip(pairs.ids, pairs.of, pairs["keys"]):
+                of = np.frombuffer(of, np.uint32)
+                wide = np.zeros((len(of), 8), np.uint8)
+                wide[:, :5] = np.frombuffer(five, np.uint8).reshape(5, -1).T
+                keys.append(wide.view("<u8").ravel())
+                docs.append(np.frombuffer(ids, np.int64)[of])
+            key, doc = np.concatenate(keys), np.concatenate(docs)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+            key, doc = key[new], doc[new]
+            same = key[1:] == key[:-1]
+            several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            tok = key[several].astype(np.int64) * buckets + int(rows.bucket.iloc[0])
+            out.append(pd.DataFrame({"doc_id": doc[several], "tok": tok}))
+        done = pd.concat(out) if out else pd.DataFrame()
+        return done.reindex(columns=["doc_id", "n", "sig", "tok"]).astype({"doc_id": "Int64", "n": "Int64", "tok": "Int64"})
+
+    return blobs.groupBy("bucket").applyInPandas(run, "doc_id long, n long, sig binary, tok long")
 
 
 class Index:
@@ -197,10 +254,13 @@ def shared_lists(posted: DataFrame, percent: int) -> DataFrame:
 
 def link_components(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, sig) of all rows with an id, and (sig, component_id) of all sets."""
-    tokens = written(tokenized(documents, words, percent), "jaccard-tokens")
-    reps = written(tokens.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    total = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    found = written(unpacked(packed(documents, words, percent, buckets), buckets), "jaccard-tokens")
+    tokens = found.where("n is not null").select("doc_id", "n", "sig")
+    reps = written(tokens.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-reps")
     some = F.broadcast(reps) if reps.count() <= MAX_BROADCAST_IDS else reps
-    posted = tokens.join(some, "sig").where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", F.explode("prefix").alias("tok"))
+    posted = found.where("tok is not null").select(F.col("doc_id").alias("rep"), "tok").join(some.select("rep", "n"), "rep")
     posted = shared_lists(written(shared_lists(posted, percent), "jaccard-lists"), percent)
     posted = written(posted.join(posted.groupBy("tok").agg(F.count(F.lit(1)).alias("size")), "tok"), "jaccard-lists")
 
@@ -249,7 +309,8 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. A text without words has an empty
     set and is linked with nothing. Rows that repeat a doc_id are rows of one document. Rows with a null doc_id are
-    left out, as they can't be named by a component.
+    left out, as they can't be named by a component. A shingle's occurrences in prefixes meet in one task, about 10 bytes for
+    each document that has it.
     """
     tokens, known = link_components(documents, words, percent)
     return tokens.join(known, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -257,7 +318,8 @@ def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90)
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """documents with one row of each component: that of the smallest doc_id. Rows with a null doc_id stay."""
-    dropped = jaccard_components(documents, words, percent).where("component_id <> doc_id").select("doc_id")
+    dropped = written(jaccard_components(documents, words, percent).where("component_id <> doc_id").select("doc_id"), "jaccard-dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= MAX_BROADCAST_IDS else dropped
     return documents.join(dropped, "doc_id", "left_anti").select(*documents.columns)
 
 
