@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from millrace.functions import scalars, text
 from millrace.operators import ann, chunks, graph, memory, search
-from millrace.plans.queries import C_BLOCKS, C_EDGES, C_VEC, L2, asked, blocks, edges, nodes, now, query, r6, vecs, weighted
+from millrace.plans.queries import C_BLOCKS, C_EDGES, C_VEC, L2, _clash, asked, blocks, edges, nodes, now, query, r6, vecs, weighted
 from millrace.sources import readers, sinks
 from millrace.streaming import pipelines
 
@@ -181,10 +181,10 @@ def memory_forget(spark, t):
     return memory.forget(blocks(t).withColumn("id", F.col("id").cast("string")), "signup").select(F.col("id").cast("long").alias("id"), "tier")
 
 
-@query(f"WITH {C_BLOCKS} SELECT id, CAST(conflicts + CASE WHEN tier = 'long' AND contains(content, 'click') AND (contains(content, 'should')) THEN 1 ELSE 0 END AS INTEGER) AS conflicts FROM b")
+@query(f"WITH {C_BLOCKS} SELECT id, CAST(conflicts + CASE WHEN tier = 'long' AND {_clash('one should not use click')} THEN 1 ELSE 0 END AS INTEGER) AS conflicts FROM b")
 def memory_remember_conflicts(spark, t):
-    rows = memory.remember(blocks(t), "one should not use click", "rule", now())
-    return rows.where("label <> 'rule'").select(F.col("id").try_cast("long").alias("id"), "conflicts")
+    rows = memory.remember(blocks(t).withColumn("id", F.col("id").cast("string")), "one should not use click", "rule", now())
+    return rows.where("label <> 'rule'").select(F.expr("try_cast(id AS BIGINT)").alias("id"), "conflicts")
 
 
 @query(f"WITH {C_BLOCKS} SELECT id, CASE WHEN id % 3 = 0 THEN 'long' ELSE tier END AS tier FROM b")
