@@ -44,7 +44,7 @@ class Hashes(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
