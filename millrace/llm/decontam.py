@@ -26,6 +26,8 @@ LEAST_TOKENS, LEAST_EQUAL, MISMATCH = 13, 0.8, 2
 #: Benchmark tokens that one pass over the documents holds in memory; a larger benchmark takes more passes.
 BLOCK_TOKENS = 2_000_000
 _BITS = 22
+#: Characters of documents that are hashed together.
+STEP_CHARS = 1 << 20
 
 
 def _constants(n: int) -> np.ndarray:
@@ -68,7 +70,20 @@ class Benchmark:
             self.tables.append((near, exact))
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
-        """(place of the text, item, first token in the text, first in the item, tokens, equal tokens); the best for each text and item."""
+        """(place of the text, item, first token in the text, first in the item, tokens, equal tokens); the best for each text and item.
+
+        Texts are searched together up to STEP_CHARS, so memory doesn't depend on how many there are.
+        """
+        out, part, size, begin = [], [], 0, 0
+        for i, text in enumerate(texts):
+            part.append(text)
+            size += len(text or "")
+            if size >= STEP_CHARS or i + 1 == len(texts):
+                out += [(t + begin, *rest) for t, *rest in self._search(part)]
+                part, size, begin = [], 0, i + 1
+        return out
+
+    def _search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         get, parts, lengths = self.vocabulary.get, [], []
         for text in texts:
             tokens = TOKEN.findall((text or "").lower())
