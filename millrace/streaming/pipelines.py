@@ -42,8 +42,8 @@ def upsert_stream(changes: DataFrame, table_path: str, checkpoint: str, extract:
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def rate_limited(requests: DataFrame, rate: float, burst: float, idle_ms: int = 600_000) -> DataFrame:
-    """(key, ts, allowed) of requests (key, ts): a token bucket for each key, forgotten after ten idle minutes."""
+def rate_limited(requests: DataFrame, rate: float, burst: float, idle_ms: int = 600_000, late: str = "10 minutes") -> DataFrame:
+    """(key, ts, allowed) of requests (key, ts): a token bucket for each key, forgotten after ten idle minutes of event time."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,9 +61,10 @@ def rate_limited(requests: DataFrame, rate: float, burst: float, idle_ms: int =
                 tokens -= 1 if tokens >= 1 else 0
             yield pd.DataFrame({"key": key[0], "ts": f.ts, "allowed": allowed})
         state.update((tokens, last))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + idle_ms)
 
-    return requests.select(F.col("key").cast("string").alias("key"), "ts").groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.select(F.col("key").cast("string").alias("key"), "ts").withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def rate_limited_batch(requests: DataFrame, rate: float, burst: float) -> DataFrame:
