@@ -32,7 +32,7 @@ def test_query(spark, duck, name):
     got = rows.select(*columns).collect()
     sql = entry.oracle_sql().get(name)
     if sql:
-        want = duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+        want = duck.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({sql})").fetchall()
         assert plain(got) == plain(want)
 
 
