@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +53,12 @@ def training_sample(labels: DataFrame, label: str, modulus: int, held_out: int,
         .orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")
         .limit(bound)
     )
+
+
+def release() -> None:
+    """Give memory that this Python worker has freed back to the system; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc: nothing to give back
+        return

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Fixed masks of weight 5 and 6; together they tolerate a substitution at any place of a window.
@@ -27,7 +27,7 @@ LEAST_TOKENS, LEAST_EQUAL, MISMATCH = 13, 0.8, 2
 BLOCK_TOKENS = 2_000_000
 _BITS = 22
 #: Characters of documents that are hashed together.
-STEP_CHARS = 1 << 20
+STEP_CHARS = 1 << 19
 
 
 def _constants(n: int) -> np.ndarray:
@@ -178,6 +178,7 @@ def _cleaner(items: list[tuple[int, str]]):
             held.append(Benchmark(items))
         out = np.ones(len(texts), bool)
         out[[r[0] for r in held[0].search(list(texts))]] = False
+        release()
         return pd.Series(out)
 
     return clean

@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bwt_dedup import BUCKET_BYTES, split
-from .common import table, written
+from .common import release, table, written
 
 #: Up to so many ids are broadcast to filter the documents; beyond it, the join shuffles.
 MAX_BROADCAST_IDS = 500_000
 #: Sets in a block that is indexed at a time, and queries that go to one copy of it.
 BLOCK, QUERIES = 1024, 4096
 #: Pairs that are packed at a time.
-PACK = 1 << 20
+PACK = 1 << 18
 ROUNDS = 2
 #: Lists that a pair must share besides a tenth of its shingles.
 SHARED = 4
@@ -102,7 +102,7 @@ def packed(documents: DataFrame, words: int, percent: int, buckets: int) -> Data
                 digests.append(hashlib.md5(s.tobytes()).digest())
                 if n:
                     p = n - -(-percent * n // 100) + least_shared(n, percent)
-                    held.append((s[:p], np.full(min(p, n), i, np.int64)))
+                    held.append((s[:p].copy(), np.full(min(p, n), i, np.int64)))
                     size += min(p, n)
                 if size >= PACK:
                     rows += emit()
@@ -111,8 +111,10 @@ def packed(documents: DataFrame, words: int, percent: int, buckets: int) -> Data
                 turn += 1
                 rows.append(((int(f.doc_id.iloc[0]) + turn) % buckets, 0, f.doc_id.to_numpy(np.int64).tobytes(), np.array(counts, np.int32).tobytes(), b"".join(digests)))
             yield pd.DataFrame(rows, columns=["bucket", "kind", "ids", "of", "keys"])
+            release()
         if size:
             yield pd.DataFrame(emit(), columns=["bucket", "kind", "ids", "of", "keys"])
+        release()
 
     rows = documents.where("doc_id is not null").select("doc_id", "text")
     return rows.mapInPandas(run, "bucket int, kind int, ids binary, of binary, keys binary")
@@ -144,6 +146,7 @@ def unpacked(blobs: DataFrame, buckets: int) -> DataFrame:
             several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             tok = key[several].astype(np.int64) * buckets + int(rows.bucket.iloc[0])
             out.append(pd.DataFrame({"doc_id": doc[several], "tok": tok}))
+        release()
         done = pd.concat(out) if out else pd.DataFrame()
         return done.reindex(columns=["doc_id", "n", "sig", "tok"]).astype({"doc_id": "Int64", "n": "Int64", "tok": "Int64"})
 
@@ -205,6 +208,7 @@ def searched(queries: DataFrame, members: DataFrame, labels: DataFrame, document
         memo = Hashes()
         for f in frames:
             yield pd.DataFrame({"rep": f.rep, "set": [shingles(t, words, memo).tobytes() for t in f.text]})
+            release()
 
     texts = documents.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep", "left_semi")
     sets = texts.mapInPandas(make, "rep long, set binary").dropDuplicates(["rep"])
@@ -224,6 +228,8 @@ def searched(queries: DataFrame, members: DataFrame, labels: DataFrame, document
                     index = index or Index(ids, held)
                     found += [(rep, b) for b in index.search(own, comp, percent)]
             yield pd.DataFrame(found, columns=["a", "b"])
+        index, held = None, []
+        release()
 
     dealt = rows.join(sets, "rep").repartition(F.xxhash64("g", "k", "s")).sortWithinPartitions("g", "k", "s", "kind", "rep")
     return dealt.mapInPandas(search, "a long, b long")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, table, training_sample, written
+from .common import release, remainder, table, training_sample, written
 
 MODULUS, HELD_OUT, THRESHOLD, BOUND = 5, 0, 0.3, 20_000
 FEATURES, SCALE, RIDGE, BINS = 160, 3.0, 1e-3, 400
@@ -152,7 +152,9 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.scores(matrix(texts)))
+        out = pd.Series(model.scores(matrix(texts)))
+        release()
+        return out
 
     return documents.withColumn("score", score("text"))
 
