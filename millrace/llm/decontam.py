@@ -2,8 +2,8 @@
 
 A mask selects some of the tokens in a window and ignores the others, so a substitution at an ignored place does no harm.
 Every window of the benchmark items and of the documents is hashed under each mask; equal hashes are hits. A hit fixes how
-the item lies over the document, and the best-scoring stretch around it (match 1, substitution -2) is the overlap.
-A document is contaminated by an item if the stretch is long enough and mostly equal.
+the item lies over the document. A document is contaminated by an item if any stretch there is long enough and mostly equal:
+the best-scoring one (match 1, substitution -2) is the overlap or, if that fails the thresholds, the longest that is mostly equal.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 from .common import release, table
 
 TOKEN = re.compile(r"[^\W_]+")
-#: Fixed masks of weight 5 and 6; together they tolerate a substitution at any place of a window.
-MASKS = ("111111", "1101100101", "1010011011", "110010111", "1110001011")
+#: Fixed masks of weight 6 and 8; every stretch of 13 tokens or more with 80 % equal ones has a window that one of them accepts.
+MASKS = ("111111", "1101100101", "1010011011", "110010111", "1110001011", "11011010111")
 #: Tokens of a reported overlap, at least (or the whole item, if shorter), and the share of them that are equal.
 LEAST_TOKENS, LEAST_EQUAL, MISMATCH = 13, 0.8, 2
+#: Equal tokens that one substitution needs at that share.
+AGAINST = 4
 #: Benchmark tokens that one pass over the documents holds in memory; a larger benchmark takes more passes.
 BLOCK_TOKENS = 2_000_000
 _BITS = 22
@@ -122,7 +124,14 @@ class Benchmark:
         start = int(np.flatnonzero(total[: stop + 1] == low[stop])[-1])
         n, same = stop - start, int(equal[start:stop].sum())
         if n < min(LEAST_TOKENS, len(item)) or same < LEAST_EQUAL * n:
-            return None
+            # the longest stretch whose share is met: its total of (equal ? 1 : -4) is 0 or more
+            total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -AGAINST))])
+            starts = np.searchsorted(-np.minimum.accumulate(total), -total)
+            stop = int(np.argmax(np.arange(len(total)) - starts))
+            start = int(starts[stop])
+            n, same = stop - start, int(equal[start:stop].sum())
+            if n < min(LEAST_TOKENS, len(item)):
+                return None
         return shift + a + start - begin, a + start, n, same
 
 

@@ -1,6 +1,7 @@
 """The registered queries against brute force on small tables, exact round trips, and held-out accuracy."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -276,6 +277,27 @@ def test_decontamination_tolerates_substitutions():
     assert found[0][4] >= 39 and found[0][5] >= 34
 
 
+def test_decontamination_finds_any_stretch():
+    rng = np.random.default_rng(5)
+    for n, rate in [(150, 0.25), (150, 0.22), (80, 0.22), (40, 0.3), (13, 0.15), (14, 0.15), (20, 0.2)] * 40:
+        same = rng.random(n) >= rate
+        total = np.concatenate([[0], np.cumsum(same)])
+        want = any(5 * (total[j] - total[i]) >= 4 * (j - i) for i in range(n) for j in range(i + 13, n + 1))
+        text = " ".join(f"t{i}" if s else "no" for i, s in enumerate(same))
+        found = decontam.Benchmark([(1, " ".join(f"t{i}" for i in range(n)))]).search([text])
+        assert bool(found) == want
+        for _, _, start, at, size, equal in found:
+            assert start == at and size >= 13 and 5 * equal >= 4 * size and equal == same[at : at + size].sum()
+
+
+def test_masks_meet_every_stretch():
+    # a stretch of 26 or more splits into some of 13 to 20, one of which has 80 % too
+    for n in range(13, 26):
+        for gone in itertools.combinations(range(n), n // 5):
+            bits = sum(1 << i for i in range(n) if i not in gone)
+            assert any(bits >> p & m == m for m in (int(x[::-1], 2) for x in decontam.MASKS) for p in range(n)), (n, gone)
+
+
 def test_oracles_name_queries():
     assert registered.oracle_sql().keys() <= registered.queries().keys()
     assert {k.split("_")[0] for k in registered.queries()} == {f"op{i}" for i in range(1, 11)}
