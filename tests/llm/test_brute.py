@@ -126,6 +126,16 @@ def test_passages_are_found(spark):
     assert found[30, 10].identity > 0.85
 
 
+def test_passages_of_frequent_lines(spark):
+    rng = np.random.default_rng(4)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    one, two = pick(30), pick(30)
+    held = {1: one, 2: two, 3: one + two, 4: one, 5: two, 6: one + two}
+    docs = spark.createDataFrame([(i, " ".join(pick(50) + w + pick(50))) for i, w in held.items()], "doc_id long, text string")
+    found = [(r.doc_id, r.other_id, r.n_equal >= 60) for r in chaining.shared_passages(docs).collect()]
+    assert found == [(6, 3, True)]
+
+
 def test_exact_passages_of_fifty_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seen, must = set(), set()
