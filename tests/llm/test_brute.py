@@ -136,6 +136,19 @@ def test_passages_of_frequent_lines(spark):
     assert found == [(6, 3, True)]
 
 
+def test_later_copies_of_a_passage(spark):
+    rng = np.random.default_rng(6)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    passage = pick(60)
+    fuzzy = [w if i % 15 else "typo" for i, w in enumerate(passage)]
+    texts = [(1, pick(30) + passage + pick(30)), (2, pick(20) + passage + pick(70) + passage + pick(50) + fuzzy + pick(20)), (3, ["same"] * 5000), (4, ["same"] * 6000)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    rows = chaining.shared_passages(docs).collect()
+    found = {r.start // 10: r.n_equal for r in rows if (r.doc_id, r.other_id) == (2, 1)}
+    assert {2, 15} <= found.keys() and any(s in (26, 27) for s in found) and min(found.values()) >= 50
+    assert 1 <= sum(r.doc_id == 4 for r in rows) <= 3
+
+
 def test_exact_passages_of_fifty_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seen, must = set(), set()
