@@ -3,7 +3,8 @@
 Base spans follow fixed patterns and validity rules and always stay. Generators of high recall also propose other
 spans (numbers without a country code, addresses with a bracketed "at", ...), which may overlap. A candidate that overlaps a
 base span of its kind is a positive example; one that overlaps a failed match of its kind, or a base span of another kind,
-is a negative one; the rest are unlabelled. Boosted trees of depth two are fitted on the labelled candidates' format and
+is a negative one; the rest are unlabelled. A failed match of a card counts only if it has 12 to 19 digits and covers the
+candidate: pieces of a card with dots or slashes are no failed cards. Boosted trees of depth two are fitted on the labelled candidates' format and
 context. For each kind, the lowest score whose examples in a held-out fold reach the wished precision is the threshold;
 unlabelled candidates at or above it are added.
 
@@ -38,7 +39,7 @@ WIDE = {
 #: What a text must contain for a pattern to be tried.
 NEEDS = {"email": r"[@＠]|[(\[{]at[)\]}]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CUES = r"(?i)\b(?:e-?mail|contact|tel|telephone|phone|call|fax|mobile|ip|host|server|address|card|visa|account|pay(?:ment)?)\b"
-#: Features of a candidate besides its kind, with the number of values of each.
+#: Features of a candidate besides its kind and Luhn check, with the number of values of each.
 FEATURES = {"digits": 8, "separator": 5, "parens": 2, "before": 5, "after": 5, "cue": 2, "varied": 2}
 ROUNDS, RATE, PRECISION, LEAST_EXAMPLES, CONTEXT = 24, 0.4, 0.95, 20, 32
 
@@ -116,6 +117,7 @@ def described(text: Column, x: Column) -> list[Column]:
         character(F.substring(text, x["e"] + 1, F.lit(1))).alias("after"),
         before.rlike(CUES).cast("int").alias("cue"),
         (F.size(F.array_distinct(F.split(digits(x["m"]), ""))) > 3).cast("int").alias("varied"),
+        valid("card", x["m"]).cast("int").alias("luhn"),
     ]
 
 
@@ -123,6 +125,10 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["s"] < b["e"]) & (b["s"] < a["e"])
 
 
+def covers(a: Column, b: Column) -> Column:
+    return (a["s"] <= b["s"]) & (b["e"] <= a["e"])
+
+
 def generate(documents: DataFrame) -> DataFrame:
     """doc_id, fold, base spans (s, k, e) and candidates (s, k, e, y, features); y is -1 where unlabelled.
 
@@ -138,7 +144,7 @@ def generate(documents: DataFrame) -> DataFrame:
     def of(kind: str, k: int) -> Column:
         def one(x):
             same = F.exists(f"ok_{kind}", lambda o: overlaps(o, x))
-            failed = F.exists(f"all_{kind}", lambda o: overlaps(o, x))
+            failed = F.exists(f"all_{kind}", lambda o: covers(o, x) & F.length(digits(o["m"])).between(12, 19) if kind == "card" else overlaps(o, x))
             other = F.lit(False)
             for name in KINDS:
                 if name != kind:
@@ -213,7 +219,7 @@ class Trees:
 
 def fit(generated: DataFrame) -> tuple[Trees, list[float]]:
     """The trees, and the threshold of each kind (infinite where the held-out examples don't support one)."""
-    names = ["k", *FEATURES]
+    names = ["k", *FEATURES, "luhn"]
     counted = generated.select("fold", F.explode("wide").alias("c")).where("c.y >= 0").groupBy("fold", *[F.col(f"c.{n}").alias(n) for n in names]).agg(F.sum("c.y").alias("up"), F.count(F.lit(1)).alias("n"))
     counts = [(r.fold, tuple(r[n] for n in names), r.up, r.n - r.up) for r in counted.orderBy("fold", *names).collect()]
     trees = Trees([(x, a, b) for fold, x, a, b in counts if not fold], names)

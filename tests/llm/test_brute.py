@@ -58,6 +58,22 @@ def test_pii_hard_texts(spark):
         assert [(x.s, x.k, x.e) for x in r.base] == base_spans(hard[r.doc_id])
 
 
+def test_pii_separated_cards(spark):
+    def number(i, good):
+        head = f"4{i * 7919 % 10**14:014d}"
+        return next(head + c for c in "0123456789" if passes("card", head + c) == good)
+
+    def cut(d, sep):
+        return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+    texts = [f"my card is {cut(number(i, i % 2 == 0), '- '[i % 4 // 2])} thanks" for i in range(1, 401)]
+    texts += [f"my card is {cut(number(i, good), sep)} thanks" for i in (1001, 1002) for sep in "./·" for good in (True, False)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id: [(x.s, x.k, x.e) for x in r.added] for r in pii.find(rows).collect()}
+    for i in range(400, len(texts)):
+        assert ((11, 2, 30) in added[i]) == (i % 2 == 0), texts[i]
+
+
 def test_pii_trees_learn():
     rows = [((0, d, 0, 0, 1, 1, c, 1), 50.0 * (d == 3), 50.0 * (d != 3)) for d in range(6) for c in (0, 1)]
     trees = pii.Trees(rows, ["k", *pii.FEATURES])
