@@ -74,10 +74,30 @@ def test_pii_separated_cards(spark):
         assert ((11, 2, 30) in added[i]) == (i % 2 == 0), texts[i]
 
 
+def test_pii_adds_and_rejects(spark):
+    texts = {
+        "call (415) 555-0123 or 415-555-0124 now": ["(415) 555-0123", "415-555-0124"], "isbn 415-555-0124 ok": [], "in the years 1999-2003-2010": [],
+        "write to anna.berg (at) mail7 (dot) com today": ["anna.berg (at) mail7 (dot) com"], "e-mail j.smith[at]uni3.de please": ["j.smith[at]uni3.de"], "we look (at) noon. Then go": [],
+        "host 10[.]2[.]3[.]44 ok": ["10[.]2[.]3[.]44"], "version 1[.]2[.]3[.]4 ok": [], "pages 12, 31, 4, 77": [], "tel 0049 30 123 4567": ["0049 30 123 4567"],
+        "card 4111/1111/1111/1111 end": ["4111/1111/1111/1111"], "card 4111/1111/1111/1112 end": [], "a@b.de and 10.0.0.1": [],
+    }
+    names = list(texts)
+    for r in pii.find(spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")).collect():
+        assert [names[r.doc_id][x.s : x.e] for x in r.added] == texts[names[r.doc_id]], names[r.doc_id]
+
+
+def test_pii_dense_text(spark):
+    text = "".join(f"10.0.{i % 256}.{i % 200} a{i}@b.de 415-555-0{i % 900 + 100} call 415-555-0{i % 900 + 100}, " for i in range(2000))
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.s, x.k, x.e) for x in r.base] == base_spans(text)
+    assert all(a.e <= b.s for a, b in zip(r.added, r.added[1:])) and len(r.added) >= 1000
+
+
 def test_pii_trees_learn():
-    rows = [((0, d, 0, 0, 1, 1, c, 1), 50.0 * (d == 3), 50.0 * (d != 3)) for d in range(6) for c in (0, 1)]
-    trees = pii.Trees(rows, ["k", *pii.FEATURES])
-    assert trees.score(rows[6][0]) > 2 > -2 > trees.score(rows[0][0])
+    x = lambda d, c: (0, 1, d, 0, 1, 1, c, 0, 1, 0, 0, 0)
+    rows = [(x(d, c), 50.0 * (d == 3), 50.0 * (d != 3)) for d in range(6) for c in (0, 1)]
+    trees = pii.Trees(rows, pii.NAMES)
+    assert trees.score(x(3, 0)) > 2 > -2 > trees.score(x(0, 0))
 
 
 def test_toxicity_held_out(spark):
