@@ -78,17 +78,23 @@ def raw(pattern: str) -> str:
 
 def matches(text: str, pattern: str, g: int = 0) -> str:
     """SQL for the leftmost non-overlapping matches as (s, e, m, b, a, g): code points, end exclusive; the match, the text before it as far
-    as the match before, at most CONTEXT characters, and the character after it. Places are added up in chunks, so many matches stay cheap."""
-    found, pieces = f"regexp_extract_all({text}, {raw(pattern)}, 0)", f"split({text}, {raw(pattern)}, -1)"
-    s = "z.at + length(get(z.pieces, i))"
-    one = f"named_struct('s', {s}, 'e', {s} + length(get(z.found, i)), 'm', get(z.found, i), 'b', right(get(z.pieces, i), {CONTEXT}), 'a', left(get(z.pieces, i + 1), 1), 'g', {g})"
-    step = f"(z, i) -> named_struct('at', {s} + length(get(z.found, i)), 'out', concat(z.out, array({one})), 'found', z.found, 'pieces', z.pieces, 'head', z.head)"
-    join = "z -> named_struct('at', z.at, 'out', concat(z.head, z.out), 'found', z.found, 'pieces', z.pieces)"
-    begin = f"named_struct('at', y.at, 'out', {EMPTY}, 'found', y.found, 'pieces', y.pieces, 'head', y.out)"
-    chunk = f"(y, c) -> aggregate(sequence(c, least(c + {CHUNK}, size(y.found)) - 1), {begin}, {step}, {join})"
-    start = f"named_struct('at', 0, 'out', {EMPTY}, 'found', w.found, 'pieces', w.pieces)"
-    walk = f"aggregate(sequence(0, size(w.found) - 1, {CHUNK}), {start}, {chunk}, y -> y.out)"
-    return f"get(transform(array(named_struct('found', {found}, 'pieces', {pieces})), w -> CASE WHEN size(w.found) > 0 THEN {walk} ELSE {EMPTY} END), 0)"
+    as the match before, at most CONTEXT characters, and the character after it.
+
+    An aggregate copies what it holds at each step, so it holds numbers only, and adds them up in chunks: many matches stay cheap.
+    """
+    with_lengths = "named_struct('found', u.found, 'pieces', u.pieces, 'size', zip_with(u.pieces, u.found, (p, m) -> length(p) + coalesce(length(m), 0)))"
+    chunk = f"aggregate(slice(v.size, c + 1, {CHUNK}), array(element_at(y, -1)), (z, n) -> concat(z, array(element_at(z, -1) + n)))"
+    ends = f"aggregate(sequence(0, size(v.found), {CHUNK}), array(0), (y, c) -> concat(y, slice({chunk}, 2, {CHUNK})))"
+    placed = f"named_struct('found', v.found, 'pieces', v.pieces, 'ends', {ends})"
+    span = f"named_struct('s', get(w.ends, i) + length(get(w.pieces, i)), 'e', get(w.ends, i + 1), 'm', m, 'b', right(get(w.pieces, i), {CONTEXT}), 'a', left(get(w.pieces, i + 1), 1), 'g', {g})"
+    walk = let("v", with_lengths, let("w", placed, f"transform(w.found, (m, i) -> {span})"))
+    both = f"named_struct('found', regexp_extract_all({text}, {raw(pattern)}, 0), 'pieces', split({text}, {raw(pattern)}, -1))"
+    return let("u", both, f"CASE WHEN size(u.found) > 0 THEN {walk} ELSE {EMPTY} END")
+
+
+def let(name: str, value: str, result: str) -> str:
+    """SQL for the result with the name bound to the value, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {result}), 0)"
 
 
 def digits(m: str) -> str:
