@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -36,6 +36,8 @@ STEP_BYTES, BUCKET_BYTES, PACK_PAIRS = 1 << 20, 16 << 20, 1 << 20
 #: Segments that are laid out in columns at a time.
 ROWS = 1 << 14
 NO_ID = np.iinfo(np.int64).max
+#: Ids are hashed by a product modulo a prime; all stays below 2**62.
+PRIME, SPREAD = (1 << 31) - 1, 1_640_531_527
 
 
 def segments(raw: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -133,8 +135,14 @@ def pack_pairs(documents: DataFrame, buckets: int) -> DataFrame:
 
 
 def place_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of documents that an id belongs to; q in remove_repeats is the same."""
-    return np.mod(ids, buckets)
+    """The bucket of documents that an id belongs to. The id is hashed, so ids with a common stride spread as well."""
+    return np.mod(np.mod(np.mod(ids, PRIME) * SPREAD, PRIME), buckets)
+
+
+def place(doc_id: str, buckets: int) -> Column:
+    """place_of as an expression."""
+    i = F.coalesce(F.col(doc_id), F.lit(int(NO_ID)))
+    return F.pmod(F.pmod(F.pmod(i, F.lit(PRIME)) * F.lit(SPREAD), F.lit(PRIME)), F.lit(buckets)).cast("int")
 
 
 def shared_minimizers(pairs: DataFrame, doc_buckets: int) -> DataFrame:
@@ -314,7 +322,7 @@ def remove_repeats(documents: DataFrame, texts: bool = False) -> DataFrame:
     """
     total = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
-    rows = documents.select("doc_id", "text", F.pmod(F.coalesce("doc_id", F.lit(int(NO_ID))), F.lit(buckets)).cast("int").alias("q"))
+    rows = documents.select("doc_id", "text", place("doc_id", buckets).alias("q"))
     copies = whole_copies(rows).drop("least")
     shared = shared_minimizers(pack_pairs(documents, buckets), buckets).unionByName(copies, allowMissingColumns=True)
     # one plan, so that the texts are dealt to buckets once and read twice
