@@ -29,6 +29,8 @@ UNIT = 192
 #: Payload bytes that are coded together; a longer document is a batch of its own.
 BATCH_BYTES = 1 << 20
 MCU_COLUMNS = 64
+#: Payload bytes of a row of MCUs, and rows of a file: a longer payload is stored as several files of nearly equal size, one after another.
+ROW_BYTES, PART_ROWS = MCU_COLUMNS * 6 * 64, 85
 #: Scans: components, first and last coefficient, high and low bit.
 SCANS = [((0, 1, 2), 0, 0, 0, 1)] + [((c,), a, b, 0, 1) for c in range(3) for a, b in ((1, 5), (6, 63))] + [((0, 1, 2), 0, 0, 1, 0)] + [((c,), 1, 63, 1, 0) for c in range(3)]
 #: Horizontal and vertical sampling of the components.
@@ -428,10 +430,40 @@ def payload_of(coefficients: np.ndarray, head: dict) -> bytes:
     return (coefficients.reshape(-1)[:n] + 128).astype(np.uint8).tobytes()
 
 
-def feature(tensor: np.ndarray) -> str:
-    """Mean and mean square of each channel, in exact integers over the number of pixels."""
+def moments(tensor: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     flat = tensor.reshape(-1, 3).astype(np.int64)
-    return ",".join(f"{a / len(flat):.4f}:{b / len(flat):.3f}" for a, b in zip(flat.sum(0), (flat * flat).sum(0)))
+    return len(flat), flat.sum(0), (flat * flat).sum(0)
+
+
+def feature(sums: list[tuple[int, np.ndarray, np.ndarray]]) -> str:
+    """Mean and mean square of each channel, in exact integers over the number of pixels of all parts."""
+    n, total, squares = (sum(x) for x in zip(*sums))
+    return ",".join(f"{a / n:.4f}:{b / n:.3f}" for a, b in zip(total, squares))
+
+
+def parts_of(payload: bytes) -> list[bytes]:
+    """The payload cut at rows of MCUs into parts of at most PART_ROWS rows, as even as can be."""
+    rows = -(-len(payload) // ROW_BYTES)
+    n = -(-rows // PART_ROWS)
+    cuts = [rows * i // n * ROW_BYTES for i in range(n)] + [len(payload)]
+    return [payload[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def files_of(media: bytes) -> list[bytes]:
+    """The files that a stored form consists of. An end marker with a start marker after it occurs nowhere inside one."""
+    return re.split(rb"(?<=\xff\xd9)(?=\xff\xd8)", media)
+
+
+def read_back(media: bytes, tensors: bool) -> tuple[bytes, str, list[np.ndarray]]:
+    """(payload, feature, tensors) of a stored form, part by part."""
+    payload, sums, kept = [], [], []
+    for f in files_of(media):
+        [(c, head)] = decode([f])
+        payload.append(payload_of(c, head))
+        tensor = rgb(c, head)
+        sums.append(moments(tensor))
+        kept += [tensor] if tensors else []
+    return b"".join(payload), feature(sums), kept
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -444,18 +476,27 @@ def store(documents: DataFrame, tensors: bool = False) -> DataFrame:
     """doc_id with the stored file (``media``) and what reading it back gives; with tensors, also ``height``, ``width`` and ``rgb``.
 
     A null or empty text is 192 bytes of padding. Each row depends on its text alone, so equal texts give equal values.
+    Beyond 2 MB, ``media`` is several files of equal width, one after another; their tensors are stacked.
     """
     extra = ", height int, width int, rgb binary" if tensors else ""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary" + extra
 
     def run(ids: list, texts: list) -> pd.DataFrame:
         sized = [padded(t) for t in texts]
-        files = encode([p for _, p in sized])
+        if len(sized) == 1 and len(sized[0][1]) > BATCH_BYTES:  # part by part, so memory doesn't grow with the text
+            f = b"".join(encode([p])[0] for p in parts_of(sized[0][1]))
+            payload, features, planes = read_back(f, tensors)
+            done = [(f, payload, features, planes)]
+        else:
+            files = encode([p for _, p in sized])
+            done = []
+            for f, (c, head) in zip(files, decode(files)):
+                tensor = rgb(c, head)
+                done.append((f, payload_of(c, head), feature([moments(tensor)]), [tensor]))
         rows = []
-        for i, (n, _), f, (c, head) in zip(ids, sized, files, decode(files)):
-            payload, tensor = payload_of(c, head), rgb(c, head)
-            row = [i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), feature(tensor), f]
-            rows.append(row + ([*tensor.shape[:2], tensor.tobytes()] if tensors else []))
+        for i, (n, _), (f, payload, features, planes) in zip(ids, sized, done):
+            row = [i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(f), hashlib.sha256(f).hexdigest(), features, f]
+            rows.append(row + ([sum(p.shape[0] for p in planes), planes[0].shape[1], b"".join(p.tobytes() for p in planes)] if tensors else []))
         return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")]).astype({"doc_id": "Int64"})
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
