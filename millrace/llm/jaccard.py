@@ -24,7 +24,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .bwt_dedup import BUCKET_BYTES, split
 from .common import release, table, written
@@ -116,8 +115,7 @@ def packed(documents: DataFrame, words: int, percent: int, buckets: int) -> Data
             yield pd.DataFrame(emit(), columns=["bucket", "kind", "ids", "of", "keys"])
         release()
 
-    rows = documents.where("doc_id is not null").select("doc_id", "text")
-    return rows.mapInPandas(run, "bucket int, kind int, ids binary, of binary, keys binary")
+    return documents.select("doc_id", "text").mapInPandas(run, "bucket int, kind int, ids binary, of binary, keys binary")
 
 
 def unpacked(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -258,8 +256,8 @@ def shared_lists(posted: DataFrame, percent: int) -> DataFrame:
     return shared.join(able, "rep")
 
 
-def link_components(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sig) of all rows with an id, and (sig, component_id) of all sets."""
+def link_components(documents: DataFrame, words: int, percent: int, same: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, sig) of all rows, and (sig, component_id) of all sets. same: (doc_id, of), rows that belong together by name."""
     total = documents.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     found = written(unpacked(packed(documents, words, percent, buckets), buckets), "jaccard-tokens")
@@ -277,8 +275,10 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
     for r in range(ROUNDS):
         # the candidate of a list: in each band of sizes, one document, another one in each round
         band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100))
-        w = Window.partitionBy("tok", "band").orderBy("comp" if r == 0 else F.xxhash64("comp", F.lit(r)), "rep")
-        chosen = posted.join(labels, "rep").withColumn("band", band).withColumn("star", F.first(F.struct("rep", "n", "comp")).over(w))
+        first = F.struct(F.col("comp") if r == 0 else F.xxhash64("comp", F.lit(r)), "rep")
+        placed = posted.join(labels, "rep").withColumn("band", band)
+        stars = placed.groupBy("tok", "band").agg(F.min_by(F.struct("rep", "n", "comp"), first).alias("star"))
+        chosen = placed.join(stars, ["tok", "band"])
         pairs = chosen.where("star.comp <> comp").select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("star.rep").alias("b"), F.col("star.n").alias("n_b")).where(near)
         best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 2).groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
         best = written(best.select(F.col("b").alias("g"), F.lit(0).alias("k"), "a", "b"), "jaccard-best")
@@ -300,6 +300,10 @@ def link_components(documents: DataFrame, words: int, percent: int) -> tuple[Dat
     met = held.drop("g", "k").join(blocks, "tok").where(F.struct("total", "comp") < F.col("top")).groupBy("rep", "n", "g", "k").agg(F.count(F.lit(1)).alias("shared"))
     queries = met.where(F.col("shared") >= enough(F.ceil(F.lit(percent) * F.col("n") / 100), percent)).select("g", "k", F.col("rep").alias("a"))
     links = written(links.unionByName(searched(queries, members, labels, documents, words, percent)), "jaccard-found")
+    if same is not None:
+        named = same.where("of is not null").join(tokens, "doc_id").join(reps.select("sig", "rep"), "sig").select("of", "rep").distinct()
+        least = named.groupBy("of").agg(F.min("rep").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        links = links.unionByName(named.join(least, "of").where("rep <> b").select(F.col("rep").alias("a"), "b"))
     joined = components(links)
     known = reps.select("sig", "rep").join(joined, "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     return tokens.select("doc_id", "n", "sig"), known
@@ -311,15 +315,26 @@ def merged_labels(posted: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(documents: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row with a doc_id.
+    """doc_id, n_shingles, component_id for each row.
 
     Two documents link when 100 * intersection >= percent * union of their shingle sets. A text without words has an empty
-    set and is linked with nothing. Rows that repeat a doc_id are rows of one document. Rows with a null doc_id are
-    left out, as they can't be named by a component. A shingle's occurrences in prefixes meet in one task, about 10 bytes for
+    set and is linked with nothing. Rows that repeat a doc_id are rows of one document: each keeps its own set, and all are in the
+    component that any of them reaches. A row with a null doc_id links like any other, but doesn't name a component: that is
+    null where no row of it has an id. A shingle's occurrences in prefixes meet in one task, about 10 bytes for
     each document that has it.
     """
-    tokens, known = link_components(documents, words, percent)
-    return tokens.join(known, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    unclear = documents.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not unclear:
+        tokens, known = link_components(documents, words, percent)
+        return tokens.join(known, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    # rows get numbers of their own, and a component the smallest doc_id of its rows
+    rows = written(documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "jaccard-numbered")
+    named = rows.select("row", "doc_id")
+    tokens, known = link_components(rows.select(F.col("row").alias("doc_id"), "text"), words, percent, named.select(F.col("row").alias("doc_id"), F.col("doc_id").alias("of")))
+    rooted = tokens.join(known, "sig", "left").select(F.col("doc_id").alias("row"), "n", F.coalesce("component_id", "doc_id").alias("root")).join(named, "row")
+    found = rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
+    least = found.where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"))
+    return found.join(least, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "component_id").alias("component_id"))
 
 
 def keep_one(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
