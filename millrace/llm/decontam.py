@@ -27,7 +27,6 @@ LEAST_TOKENS, LEAST_EQUAL, MISMATCH = 13, 0.8, 2
 AGAINST = 4
 #: Benchmark tokens that one pass over the documents holds in memory; a larger benchmark takes more passes.
 BLOCK_TOKENS = 2_000_000
-_BITS = 22
 #: Characters of documents that are hashed together.
 STEP_CHARS = 1 << 19
 
@@ -50,7 +49,10 @@ def hashes(ids: np.ndarray, mask: str) -> np.ndarray:
 
 
 class Benchmark:
-    """The items' windows. Tokens that no item has share the number 0, which no item window contains."""
+    """The items' windows. Tokens that no item has share the number 0, which no item window contains.
+
+    For each mask: a bitmap of the windows' hashes, the hashes in order, and each one's item and place; 16 bytes a window.
+    """
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
@@ -59,17 +61,35 @@ class Benchmark:
             tokens = TOKEN.findall((text or "").lower())
             if tokens:
                 self.items.append((item, np.array([self.vocabulary.setdefault(t, len(self.vocabulary) + 1) for t in tokens], np.uint64)))
-        short = {len(ids) for _, ids in self.items if len(ids) < min(map(len, MASKS))}
+        sizes = np.array([len(ids) for _, ids in self.items], np.int64)
+        ids = np.concatenate([ids for _, ids in self.items]) if self.items else np.zeros(0, np.uint64)
+        owner, ends = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), np.cumsum(sizes)
+        short = set(sizes[sizes < min(map(len, MASKS))].tolist())
         self.masks = [*MASKS, *("1" * n for n in sorted(short))]
-        self.tables: list[tuple[np.ndarray, dict[int, list[tuple[int, int]]]]] = []
+        self.shift = 64 - max(16, int(len(ids)).bit_length() + 4)
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for mask in self.masks:
-            near, exact = np.zeros(1 << _BITS, bool), {}
-            for k, (_, ids) in enumerate(self.items):
-                if mask in MASKS or len(ids) == len(mask):
-                    for at, h in enumerate(hashes(ids, mask).tolist()):
-                        exact.setdefault(h, []).append((k, at))
-                        near[h >> (64 - _BITS)] = True
-            self.tables.append((near, exact))
+            h = hashes(ids, mask)
+            item = owner[: len(h)]
+            inside = np.arange(len(h)) + len(mask) <= ends[item]
+            if mask not in MASKS:
+                inside &= sizes[item] == len(mask)
+            at = np.flatnonzero(inside)
+            order = at[np.argsort(h[at], kind="stable")]
+            bits = np.zeros(1 << (64 - self.shift - 3), np.uint8)
+            cell = h[order] >> np.uint64(self.shift)
+            np.bitwise_or.at(bits, (cell >> np.uint64(3)).astype(np.int64), np.uint8(1) << (cell & np.uint64(7)).astype(np.uint8))
+            self.tables.append((bits, h[order], owner[order], (order - (ends - sizes)[owner[order]]).astype(np.int32)))
+
+    def hits(self, h: np.ndarray, table) -> Iterator[tuple[int, int, int]]:
+        """(place, item, place in the item) of each hash that an item has."""
+        bits, keys, item, at = table
+        cell = h >> np.uint64(self.shift)
+        maybe = np.flatnonzero(bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+        left, right = np.searchsorted(keys, h[maybe], "left"), np.searchsorted(keys, h[maybe], "right")
+        for p, a, b in zip(maybe.tolist(), left.tolist(), right.tolist()):
+            for i in range(a, b):
+                yield p, int(item[i]), int(at[i])
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
         """(place of the text, item, first token in the text, first in the item, tokens, equal tokens); the best for each text and item.
@@ -97,19 +117,17 @@ class Benchmark:
         ends = np.cumsum(lengths)
         done: set[tuple[int, int, int]] = set()
         best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-        for mask, (near, exact) in zip(self.masks, self.tables):
-            h = hashes(ids, mask)
-            for p in np.flatnonzero(near[h >> np.uint64(64 - _BITS)]).tolist():
-                for k, at in exact.get(int(h[p]), ()):
-                    t = int(np.searchsorted(ends, p, side="right"))
-                    key = (t, k, p - at)
-                    if key in done:
-                        continue
-                    done.add(key)
-                    begin = int(ends[t]) - lengths[t]
-                    found = self._stretch(ids, begin, int(ends[t]), k, p - at, at, len(mask))
-                    if found and found[3] > best.get((t, k), (0, 0, 0, 0))[3]:
-                        best[t, k] = found
+        for mask, table in zip(self.masks, self.tables):
+            for p, k, at in self.hits(hashes(ids, mask), table):
+                t = int(np.searchsorted(ends, p, side="right"))
+                key = (t, k, p - at)
+                if key in done:
+                    continue
+                done.add(key)
+                begin = int(ends[t]) - lengths[t]
+                found = self._stretch(ids, begin, int(ends[t]), k, p - at, at, len(mask))
+                if found and found[3] > best.get((t, k), (0, 0, 0, 0))[3]:
+                    best[t, k] = found
         return [(t, self.items[k][0], *v) for (t, k), v in sorted(best.items())]
 
     def _stretch(self, ids, begin, end, k, shift, at, span):
