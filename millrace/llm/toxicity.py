@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from .common import remainder, table, training_sample, written
 
 MODULUS, HELD_OUT, THRESHOLD, BOUND = 3, 1, 0.7, 20_000
-#: Least log-likelihood ratio (nats) of a term, fewest effective toxic documents, most terms.
-LEAST_LLR, LEAST_DOCS, MOST_TERMS = 12.0, 4.0, 5_000
+#: Least log-likelihood ratio (nats) of a term, fewest effective toxic documents.
+LEAST_LLR, LEAST_DOCS = 12.0, 4.0
 WINDOW = 6
-#: A term that is near so many ordinary tokens allows no edits.
-CROWD = 3
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = re.compile(r"[\"“”«»„]")
 #: Verbs of reporting, in the languages of the corpus.
@@ -162,47 +160,32 @@ def minimum_hash(words: list[str]) -> int:
 
 
 def learn_lexicon(sample: DataFrame) -> list[str]:
-    """Terms from (text, y). The driver gets at most MOST_TERMS candidate words."""
+    """Terms from (text, y): all words of the sample are compared, and the driver gets those that pass."""
 
-    def toxic_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = Counter()
         for b in batches:
-            for text in b.text:
+            for text, y in zip(b.text, b.y):
                 words = TOKEN.findall((text or "").lower())
-                key = minimum_hash(words)
-                rows.update((w, key) for w in set(words) if 3 <= len(w) <= 40)
-        yield pd.DataFrame([(w, k, n) for (w, k), n in rows.items()], columns=["word", "key", "n"])
+                key = minimum_hash(words) if y else 0
+                rows.update((w, y, key) for w in set(words))
+        yield pd.DataFrame([(*k, n) for k, n in rows.items()], columns=["word", "y", "key", "n"])
 
     counts = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("toxic")).first()
     if not counts.toxic or counts.toxic == counts.n:
         return []
-    words = sample.where("y = 1").mapInPandas(toxic_words, "word string, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
-    words = words.groupBy("word").agg(F.sum("n").alias("docs"), (F.pow(F.sum("n"), F.lit(2)) / F.sum(F.col("n") * F.col("n"))).alias("eff")).where(F.col("eff") >= LEAST_DOCS)
-    toxic = {r.word: (r.docs, r.eff) for r in words.orderBy(F.desc("eff"), "word").limit(MOST_TERMS).collect()}
-
-    def clean_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = Counter()
-        for b in batches:
-            for text in b.text:
-                rows.update(toxic.keys() & set(TOKEN.findall((text or "").lower())))
-        yield pd.DataFrame(list(rows.items()), columns=["word", "n"])
-
-    clean = {r.word: r.n for r in sample.where("y = 0").mapInPandas(clean_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    base = counts.toxic / counts.n
-    out = []
-    for word, (docs, eff) in toxic.items():
-        rate = (eff + 0.0) / (eff + clean.get(word, 0) * eff / docs)
-        if rate <= base:
-            continue
-        n = eff / rate
-        llr = n * (rate * np.log(rate / base) + (0 if rate >= 1 else (1 - rate) * np.log((1 - rate) / (1 - base))))
-        if llr >= LEAST_LLR and rate >= 0.6:
-            out.append(word)
-    return sorted(out)
+    words = sample.mapInPandas(words_of, "word string, y int, key long, n long").groupBy("word", "y", "key").agg(F.sum("n").alias("n"))
+    toxic = lambda c: F.sum(F.when(F.col("y") == 1, c))
+    found = words.groupBy("word").agg(toxic(F.col("n")).alias("docs"), (F.pow(toxic(F.col("n")), F.lit(2)) / toxic(F.col("n") * F.col("n"))).alias("eff"), F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("clean"))
+    base = F.lit(counts.toxic / counts.n)
+    rate = F.col("docs") / (F.col("docs") + F.col("clean"))
+    gain = F.col("rate") * F.log(F.col("rate") / base) + F.when(F.col("rate") < 1, (1 - F.col("rate")) * F.log((1 - F.col("rate")) / (1 - base))).otherwise(0.0)
+    passed = found.where(F.col("eff") >= LEAST_DOCS).withColumn("rate", rate).where((F.col("rate") > base) & (F.col("rate") >= 0.6)).where(F.col("eff") / F.col("rate") * gain >= LEAST_LLR)
+    return sorted(r.word for r in passed.select("word").collect())
 
 
 def learn_edits(sample: DataFrame, terms: list[str]) -> FuzzyLexicon:
-    """The lexicon with edits: tokens near a term that clean documents use are ordinary, and a term among many of those allows no edits."""
+    """The lexicon with edits: tokens near a term that clean documents use are ordinary."""
 
     def near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, rows = FuzzyLexicon({t: edits(t) for t in terms}), Counter()
@@ -211,11 +194,9 @@ def learn_edits(sample: DataFrame, terms: list[str]) -> FuzzyLexicon:
                 rows.update((w, y) for w in set(TOKEN.findall((text or "").lower())) if lexicon.match(w) == 1)
         yield pd.DataFrame([(w, y, n) for (w, y), n in rows.items()], columns=["word", "y", "n"])
 
-    wide = FuzzyLexicon({t: edits(t) for t in terms})
     counted = sample.mapInPandas(near_words, "word string, y int, n long").groupBy("word").agg(F.sum(F.expr("if(y = 1, n, 0)")).alias("toxic"), F.sum(F.expr("if(y = 0, n, 0)")).alias("clean"))
-    ordinary = [r.word for r in counted.where("clean > 0 and clean >= toxic").orderBy(F.desc("clean"), "word").limit(4 * MOST_TERMS).collect()]
-    crowd = Counter(t for w in ordinary for t in wide.near(w))
-    return FuzzyLexicon({t: edits(t) if crowd[t] < CROWD else 0 for t in terms}, ordinary)
+    ordinary = [r.word for r in counted.where("clean > 0 and clean >= toxic").select("word").collect()]
+    return FuzzyLexicon({t: edits(t) for t in terms}, ordinary)
 
 
 def fit(documents: DataFrame, labels: DataFrame, seed: int = 3, bound: int = BOUND) -> tuple[FuzzyLexicon, np.ndarray]:
