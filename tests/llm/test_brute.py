@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -185,6 +186,51 @@ def test_later_copies_of_a_passage(spark):
     assert 1 <= sum(r.doc_id == 4 for r in rows) <= 3
 
 
+@pytest.mark.parametrize("size", [120, 400])
+def test_passages_in_pieces_elsewhere(spark, size):
+    rng = np.random.default_rng(8)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
+    passage = pick(size)
+    held = {200: pick(30) + passage + pick(30), 400: pick(20) + passage + pick(40)}
+    for k in range(27):
+        at = k * (size - 30) // 26
+        held |= {100 + k: pick(20) + passage[at : at + 30] + pick(20), 300 + k: pick(20) + passage[at : at + 30] + pick(20)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in held.items()], "doc_id long, text string")
+    rows = [r for r in chaining.shared_passages(docs).collect() if (r.doc_id, r.other_id) == (400, 200)]
+    assert any((r.start, r.end, r.n_equal) == (20, 20 + size, size) for r in rows)
+
+
+def test_fuzzy_passages_recall(spark):
+    rng = np.random.default_rng(9)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
+    rows, wanted = [], []
+    for i in range(150):
+        n, rate = (50, 60, 80, 120)[i % 4], (0.05, 0.1, 0.15)[i % 3]
+        one = pick(n)
+        two = [w if rng.random() >= rate else "x" + w for w in one]
+        rows += [(2 * i, " ".join(pick(40) + one + pick(40))), (2 * i + 1, " ".join(pick(30) + two + pick(50)))]
+        if sum(a == b for a, b in zip(one, two)) >= 0.83 * n:
+            wanted.append(2 * i + 1)
+    found = {(r.doc_id, r.other_id) for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum((i, i - 1) in found for i in wanted) >= 0.9 * len(wanted) and all(a == b + 1 for a, b in found)
+
+
+def test_passage_recall_by_words(spark):
+    """Of the words in 50-word runs that a smaller document has too, the reported passages cover nine in ten."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen, must = set(), {}
+    for r in docs.orderBy("doc_id").collect():
+        w = (r.text or "").encode().lower().split()
+        own = [hash(tuple(w[i : i + 50])) for i in range(len(w) - 49)]
+        must[r.doc_id] = {j for i, h in enumerate(own) if h in seen for j in range(i, i + 50)}
+        seen.update(own)
+    got = {}
+    for r in chaining.shared_passages(docs).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start, r.end))
+    total = sum(map(len, must.values()))
+    assert total and sum(len(m & got.get(d, set())) for d, m in must.items()) >= 0.9 * total
+
+
 def test_exact_passages_of_fifty_words(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seen, must = set(), set()
@@ -221,6 +267,11 @@ def test_sharding(spark, texts):
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
 
 
+def test_sharding_digest(spark, texts):
+    for r in run(spark, "op4_shard_two_pass").collect():
+        assert (r.text_crc32, r.law, r.grown_shard) == (zlib.crc32(texts[r.doc_id].encode()), "rows", None)
+
+
 def test_fisher_yates_permutes(spark):
     from pyspark.sql import functions as F
 
@@ -285,6 +336,29 @@ def test_media_round_trip():
         assert media.rgb(c, head).shape == (head["height"], head["width"], 3)
 
 
+def test_media_query(spark, texts):
+    by_text = {}
+    for r in run(spark, "op7_media_progressive_jpeg").collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        rest = (r.media_bytes, r.media_sha256, r.feature)
+        assert by_text.setdefault(raw, rest) == rest
+
+
+def test_media_of_long_texts(spark):
+    assert [len(p) for p in media.parts_of(b"x" * 192)] == [192]
+    parts = media.parts_of(bytes(192 * 700_000))
+    assert sum(map(len, parts)) == 192 * 700_000 and max(map(len, parts)) <= media.ROW_BYTES * media.PART_ROWS and all(len(p) % media.ROW_BYTES == 0 for p in parts[:-1])
+    text = "0123456789abcdefghijklmnopqrstuvwxyz " * 70_000
+    r = media.store(spark.createDataFrame([(1, text)], "doc_id long, text string"), tensors=True).first()
+    payload = text.encode().ljust(r.payload_bytes)
+    assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(r.media).hexdigest()
+    assert len(media.files_of(r.media)) == 2 and len(r.rgb) == r.height * r.width * 3
+    assert media.read_back(bytes(r.media), False)[:2] == (payload, r.feature)
+
+
 def test_media_transform():
     c = np.zeros((6, 64), np.int16)
     c[:, 0] = [80, 80, 80, 80, 0, 0]
@@ -319,6 +393,54 @@ def test_jaccard(spark, words, percent):
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def test_jaccard_of_repeated_ids(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (4, "alone"), (None, a), (None, "apart from all"), (1, "")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (0, 58, 1), (1, 0, 1), (1, 58, 1), (1, 58, 1), (2, 59, 1), (3, 59, 1), (4, 1, 4)]
+
+
+def overlaps_by_brute_force(doc, item):
+    """Any stretch of a diagonal of 13 tokens (or the whole of a shorter item) with 80 % equal ones."""
+    places = {}
+    for j, w in enumerate(item):
+        places.setdefault(w, []).append(j)
+    diagonals = {}
+    for p, w in enumerate(doc):
+        for j in places.get(w, ()):
+            diagonals.setdefault(p - j, []).append(j)
+    least = min(13, len(item))
+    for js in diagonals.values():
+        if len(item) < 13:
+            if len(js) == len(item):
+                return True
+        elif any(b - a + 1 >= least and 5 * (y - x + 1) >= 4 * (b - a + 1) for x, a in enumerate(js) for y, b in enumerate(js[x:], x)):
+            return True
+        elif len(js) * 5 >= 4 * least:  # a stretch may end beside its last equal token
+            same = [0] * len(item)
+            for j in js:
+                same[j] = 1
+            if any(sum(same[a : a + 13]) * 5 >= 52 for a in range(len(item) - 12)):
+                return True
+    return False
+
+
+def test_decontamination_by_brute_force(spark, texts):
+    items = {r.item_id: decontam.TOKEN.findall((r.text or "").lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    docs = {d: decontam.TOKEN.findall(t.lower()) for d, t in texts.items()}
+    want = {(d, i) for d, t in docs.items() for i, x in items.items() if x and set(x) & set(t) and overlaps_by_brute_force(t, x)}
+    got = {(r.doc_id, r.item_id) for r in run(spark, "op9_decontaminate_spaced_seeds").collect()}
+    assert got == want
+
+
+def test_decontamination_memory_of_a_block():
+    """About 16 bytes a window and mask, whatever the tokens."""
+    rng = np.random.default_rng(2)
+    held = decontam.Benchmark([(i, " ".join(f"t{x}" for x in rng.integers(0, 3000, 100))) for i in range(1000)])
+    n = sum(len(keys) for _, keys, _, _ in held.tables)
+    assert sum(x.nbytes for t in held.tables for x in t) <= 24 * n
+
+
 def test_decontamination(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()}
