@@ -18,8 +18,16 @@ MARKDOWN = ("md", "markdown", "mdx", "mkd", "mdown", "rst")
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits of more than one byte, without stop words; null gives none."""
     raw = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(raw, lambda w: (F.octet_length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(raw, lambda w: (F.octet_length(w) > 1) & ~w.isin(*STOP_WORDS))
+
+
+def term_rows(text: Column) -> Column:
+    """The same words before the filter, to be exploded; ``is_term`` then picks them in generated code."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+")
+
+
+def is_term(term: Column) -> Column:
+    return (F.octet_length(term) > 1) & ~term.isin(*STOP_WORDS)
 
 
 def fields(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Approximate search: inverted cells (IVF), product quantization (PQ) with exact reranking, scalar quantization, pruning, HNSW.
+"""Approximate search: inverted cells (IVF), product quantization (PQ) with exact reranking, scalar quantization, pruning, stored HNSW.
 
 Fitting uses a bounded sample; every vector is indexed. Centroids and codebooks are a few thousand rows and are sent to
 the tasks; the index tables are plain tables, partitioned by cell, so a probe reads only its cells.
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,34 @@ from millrace.functions.vectors import squared_l2
 SAMPLE = 20_000
 
 
+#: Queries that one pass holds, and vectors of a graph that one task builds and holds.
+MAX_QUERIES, PART_ROWS = 4096, 10_000
+
+
+def query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
+    """The queries (qid, vec) in blocks of bounded size, read one after another; one empty block if there are none."""
+    block, some = [], False
+    for r in queries.select("qid", "vec").orderBy("qid").toLocalIterator():
+        block.append((r.qid, list(r.vec)))
+        if len(block) == MAX_QUERIES:
+            yield block
+            block, some = [], True
+    if block or not some:
+        yield block
+
+
+def nearest(rows: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query by (dist, id), with their rank."""
+    w = Window.partitionBy("qid").orderBy("dist", "id")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def parts_of(vectors: DataFrame, part_rows: int) -> DataFrame:
+    """vectors (id, vec) with their part; a part has about part_rows vectors."""
+    n = max(1, math.ceil(vectors.count() / part_rows))
+    return vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"))
+
+
 def _sample(vectors: DataFrame, bound: int, seed: int) -> np.ndarray:
     rows = vectors.select("vec").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(bound).collect()
     return np.array([r.vec for r in rows], np.float64)
@@ -116,6 +144,35 @@ class Pq:
         """Squared distances of the query's parts to all centroids."""
         return [((book - part) ** 2).sum(1).tolist() for part, book in zip(np.split(q, len(self.books)), self.books)]
 
+    def search_batch(self, encoded: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
+        """(qid, id, dist, rank): each query's best ``rerank`` by table distance, then the k nearest of them by exact distance.
+
+        Queries go to the tasks in bounded blocks; a task keeps ``rerank`` candidates for each, so codes are never shuffled.
+        """
+        books = np.stack([np.pad(b, ((0, 0), (0, 0))) for b in self.books])
+        rough = None
+        for block in query_blocks(queries):
+            qids, q = np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)
+            tables = ((books[None] - q.reshape(len(q), len(books), 1, -1)) ** 2).sum(-1)
+
+            def run(frames: Iterator[pd.DataFrame], qids=qids, tables=tables) -> Iterator[pd.DataFrame]:
+                ids, best = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+                for f in frames:
+                    if len(f):
+                        codes = np.stack(f.codes)
+                        d = np.stack([t[np.arange(codes.shape[1]), codes].sum(1) for t in tables])
+                        d, own = np.hstack([best, d]), np.hstack([ids, np.broadcast_to(f.id.to_numpy(), d.shape)])
+                        order = np.lexsort((own, d), axis=1)[:, :rerank]
+                        best, ids = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
+                yield pd.DataFrame({"qid": np.repeat(qids, ids.shape[1]), "id": ids.ravel(), "rough": best.ravel()})
+
+            part = encoded.select("id", "codes").mapInPandas(run, "qid long, id long, rough double")
+            rough = part if rough is None else rough.unionByName(part)
+        w = Window.partitionBy("qid").orderBy("rough", "id")
+        near = rough.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank).select("qid", "id")
+        met = near.join(vectors.select("id", "vec"), "id").join(queries.select("qid", F.col("vec").alias("q")), "qid")
+        return nearest(met.select("qid", "id", squared_l2(F.col("vec"), F.col("q")).alias("dist")), k)
+
     def search(self, encoded: DataFrame, vectors: DataFrame, query: list[float], k: int, rerank: int) -> DataFrame:
         """(id, dist): the best ``rerank`` by table distance, then the k nearest of them by exact distance."""
         tables = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.tables(np.asarray(query, np.float64))])
@@ -157,12 +214,18 @@ class Hnsw:
     def __init__(self, m: int = 16, ef: int = 100, seed: int = 42) -> None:
         self.m, self.ef, self.rng = m, ef, np.random.default_rng(seed)
         self.ids: list[int] = []
-        self.x: list[np.ndarray] = []
+        self.x: list[np.ndarray | None] = []  # None: pruned, to be fetched
+        self.fetch = None
         self.links: list[list[list[int]]] = []
         self.entry = -1
 
     def _far(self, q: np.ndarray, i: int) -> float:
-        d = self.x[i] - q
+        x = self.x[i]
+        if x is None:
+            x = self.fetched.get(i)
+            if x is None:
+                x = self.fetched[i] = np.asarray(self.fetch(self.ids[i]), np.float64)
+        d = x - q
         return float(d @ d)
 
     def _beam(self, q: np.ndarray, starts: list[int], ef: int, level: int) -> list[tuple[float, int]]:
@@ -218,7 +281,9 @@ class Hnsw:
         if level > top:
             self.entry = me
 
-    def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[float, int]]:
+    def search(self, q: np.ndarray, k: int, ef: int, fetch=None) -> list[tuple[float, int]]:
+        """fetch(id) gives a pruned vector; what a query fetches is kept till it ends."""
+        self.fetch, self.fetched = fetch, {}
         if self.entry < 0:
             return []
         starts = [self.entry]
@@ -226,16 +291,93 @@ class Hnsw:
             starts = [i for _, i in self._beam(q, starts, 1, lev)]
         return [(d, self.ids[i]) for d, i in self._beam(q, starts, max(ef, k), 0)[:k]]
 
+    def to_csr(self, keep: float = 1.0) -> bytes:
+        """Ids, levels, one offset for each list and all targets as places, then the vectors; keep: the share of vectors, by degree, that stays."""
+        lists = [own for levels in self.links for own in levels]
+        targets = np.array([j for own in lists for j in own], np.int32)
+        offsets = np.concatenate([[0], np.cumsum([len(own) for own in lists])]).astype(np.int64)
+        degree = np.array([len(levels[0]) for levels in self.links], np.int64)
+        kept = np.zeros(len(self.ids), bool)
+        kept[np.argsort(-degree, kind="stable")[: math.ceil(keep * len(self.ids))]] = True
+        if self.entry >= 0:
+            kept[self.entry] = True
+        x = np.array([v for v, k in zip(self.x, kept) if k], np.float32).reshape(int(kept.sum()), len(self.x[0]) if self.x else 0)
+        head = np.array([len(self.ids), len(offsets), len(targets), x.shape[1] if len(x) else 0, self.entry, self.m], np.int64)
+        parts = (head, np.array(self.ids, np.int64), np.array([len(v) for v in self.links], np.int32), offsets, targets, kept.astype(np.uint8), x)
+        return b"".join(p.tobytes() for p in parts)
+
+    @staticmethod
+    def from_csr(blob: bytes) -> Hnsw:
+        n, n_offsets, n_targets, width, entry, m = np.frombuffer(blob, np.int64, 6).tolist()
+        at = 48
 
-def hnsw_search(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int, parts: int, m: int = 16, ef: int = 128) -> DataFrame:
-    """(qid, id, dist, rank): a graph for each of ``parts`` partitions, searched by each query; the best k of all."""
+        def take(kind, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(blob, kind, count, at)
+            at += out.nbytes
+            return out
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
         g = Hnsw(m)
-        for key, vec in zip(f.id, f.vec):
-            g.add(int(key), np.asarray(vec, np.float64))
-        return pd.DataFrame([(qid, i, d) for qid, q in queries for d, i in g.search(np.asarray(q, np.float64), k, ef)], columns=["qid", "id", "dist"])
+        g.ids, levels, offsets, targets, kept = take(np.int64, n).tolist(), take(np.int32, n).tolist(), take(np.int64, n_offsets).tolist(), take(np.int32, n_targets).tolist(), take(np.uint8, n).tolist()
+        x = iter(take(np.float32, sum(kept) * width).reshape(-1, max(width, 1)).astype(np.float64))
+        g.x, g.entry, i = [next(x) if k else None for k in kept], entry, 0
+        for count in levels:
+            g.links.append([targets[offsets[i + j] : offsets[i + j + 1]] for j in range(count)])
+            i += count
+        return g
 
-    found = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).groupBy("part").applyInPandas(run, "qid long, id long, dist double")
-    w = Window.partitionBy("qid").orderBy("dist", "id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+class StoredHnsw:
+    """Small-world graphs in a folder, one for each part of the vectors, each a compressed-sparse-row blob.
+
+    They are built once; a search reads the blobs where they lie and sends the queries to them in bounded blocks.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def build(vectors: DataFrame, path: str, m: int = 16, ef: int = 100, part_rows: int = PART_ROWS, keep: float = 1.0) -> StoredHnsw:
+        def run(f: pd.DataFrame) -> pd.DataFrame:
+            g = Hnsw(m, ef)
+            f = f.sort_values("id")
+            for key, vec in zip(f.id, f.vec):
+                g.add(int(key), np.asarray(vec, np.float64))
+            return pd.DataFrame({"part": f.part.iloc[:1], "csr": [g.to_csr(keep)]})
+
+        parts_of(vectors, part_rows).groupBy("part").applyInPandas(run, "part int, csr binary").write.mode("overwrite").parquet(path)
+        return StoredHnsw(vectors.sparkSession, path)
+
+    def parts(self) -> DataFrame:
+        return self.spark.read.schema("part int, csr binary").parquet(self.path)
+
+    def search(self, queries: DataFrame, k: int, ef: int = 128, fetch=None) -> DataFrame:
+        """(qid, id, dist, rank). fetch(id): the vector of a pruned node, a function that the tasks can run."""
+        found = None
+        for block in query_blocks(queries):
+
+            def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+                for f in frames:
+                    for blob in f.csr:
+                        g = Hnsw.from_csr(blob)
+                        yield pd.DataFrame([(qid, i, d) for qid, q in block for d, i in g.search(np.asarray(q, np.float64), k, ef, fetch)], columns=["qid", "id", "dist"])
+
+            part = self.parts().mapInPandas(run, "qid long, id long, dist double")
+            found = part if found is None else found.unionByName(part)
+        return nearest(found, k)
+
+    def links(self) -> DataFrame:
+        """(part, id, level, neighbors)."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for part, blob in zip(f.part, f.csr):
+                    g = Hnsw.from_csr(blob)
+                    yield pd.DataFrame([(part, i, level, [g.ids[j] for j in own]) for i, levels in zip(g.ids, g.links) for level, own in enumerate(levels)], columns=["part", "id", "level", "neighbors"])
+
+        return self.parts().mapInPandas(run, "part int, id long, level int, neighbors array<long>")
+
+    def stats(self) -> DataFrame:
+        """One row: nodes, edges, bytes as offsets and targets, and as lists of ids with a pointer, a length and a capacity each."""
+        rows = self.links().agg(F.countDistinct("part", "id").alias("nodes"), F.sum(F.size("neighbors")).alias("edges"), F.count(F.lit(1)).alias("lists"))
+        return rows.select("nodes", "edges", (F.col("edges") * 4 + F.col("lists") * 8 + F.col("nodes") * 12).alias("csr_bytes"), (F.col("edges") * 8 + F.col("lists") * 24 + F.col("nodes") * 8).alias("list_bytes"))

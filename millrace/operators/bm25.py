@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.functions.text import tokens
+from millrace.functions.text import is_term, term_rows, tokens
+from millrace.session import written
 
 
 @dataclass(frozen=True)
@@ -35,19 +36,82 @@ def statistics(tokenized: DataFrame) -> DataFrame:
 def score(tokenized: DataFrame, queries: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """(qid, id, score) of all passages with a query term; each occurrence of a term in a query counts.
 
-    queries: (qid, text). Postings are made for the queries' terms only, so the shuffle carries matches and not the corpus.
+    queries: (qid, text). Postings are made for the queries' terms only, so the shuffle carries matches and not the corpus. This
+    reads all passages for each call; ``Index`` keeps postings in a table instead.
     """
-    asked = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
-    wanted = asked.select("term").distinct()
-    found = tokenized.select("id", "len", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    asked = asked_terms(queries)
+    found = tokenized.select("id", "len", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return weighed(found, asked, statistics(tokenized), params)
+
+
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(qid, term, times)."""
+    return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def weighed(found: DataFrame, asked: DataFrame, stats: DataFrame, params: Bm25) -> DataFrame:
+    """(qid, id, score) from all postings (term, id, len, tf) of the asked terms and one row (n, avgdl)."""
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(statistics(tokenized))  # one row
-    rows = found.join(df, "term").join(asked, "term").join(stats)
+    rows = found.join(df, "term").join(asked, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("len") / F.col("avgdl")))
     return rows.groupBy("qid", "id").agg(F.sum(part * F.col("times")).alias("score")).where("score > 0")
 
 
+class Index:
+    """Postings in a folder: (term, id, tf) by bucket of the term and sorted in it, and (id, len) of the passages.
+
+    A search reads the buckets of its terms, and in them the row groups whose range of terms fits; passages aren't read. Appending
+    writes further files. Document frequencies come from the postings that are read, so they need no upkeep.
+    """
+
+    #: Terms of one search up to which they are sent to the tasks to prune buckets; more are joined by shuffle.
+    MAX_TERMS = 100_000
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def build(passages: DataFrame, path: str, buckets: int = 16) -> Index:
+        """An index of passages (id, text); buckets: about one for each GB of postings on a cluster."""
+        index = Index(passages.sparkSession, path)
+        passages.sparkSession.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/meta")
+        index._write(passages, "overwrite", buckets)
+        return index
+
+    def _write(self, passages: DataFrame, mode: str, buckets: int) -> None:
+        words = passages.select("id", F.explode(term_rows(F.col("text"))).alias("term")).where(is_term(F.col("term")))
+        counted = words.groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        spread = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id")
+        spread.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
+        passages.select("id", F.size(tokens(F.col("text"))).alias("len")).write.mode(mode).parquet(f"{self.path}/lengths")
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.schema("id long, term string, tf int, bucket int").parquet(f"{self.path}/postings")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.schema("id long, len int").parquet(f"{self.path}/lengths")
+
+    def buckets(self) -> int:
+        return self.spark.read.parquet(f"{self.path}/meta").first().buckets
+
+    def append(self, passages: DataFrame) -> None:
+        """Add the passages whose id the index doesn't have yet."""
+        new = written(passages.join(self.lengths().select("id"), "id", "left_anti").dropDuplicates(["id"]), "bm25-new")
+        self._write(new, "append", self.buckets())
+
+    def statistics(self) -> DataFrame:
+        return statistics(self.lengths())
+
+    def score(self, queries: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
+        """(qid, id, score), as ``score`` gives."""
+        asked = asked_terms(queries)
+        wanted = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets())).cast("int"))
+        few = wanted.limit(self.MAX_TERMS + 1).count() <= self.MAX_TERMS
+        found = self.postings().join(F.broadcast(wanted) if few else wanted, ["bucket", "term"]).join(self.lengths(), "id").select("term", "id", "len", "tf")
+        return weighed(found, asked, self.statistics(), params)
+
+
 def top_k(scores: DataFrame, k: int, order: str = "score", ascending: bool = False) -> DataFrame:
     """The best k of each query, ties by id, with their rank."""
     w = Window.partitionBy("qid").orderBy(F.col(order).asc() if ascending else F.col(order).desc(), "id")
@@ -56,7 +120,11 @@ def top_k(scores: DataFrame, k: int, order: str = "score", ascending: bool = Fal
 
 def score_ids(tokenized: DataFrame, query: DataFrame, ids: DataFrame, params: Bm25 = Bm25()) -> DataFrame:
     """Scores of given (id); 0 for passages without a query term."""
-    return ids.join(score(tokenized, query, params).select("id", "score"), "id", "left").fillna(0.0, ["score"])
+    return scores_of(score(tokenized, query, params), ids)
+
+
+def scores_of(scores: DataFrame, ids: DataFrame) -> DataFrame:
+    return ids.join(scores.select("id", "score"), "id", "left").fillna(0.0, ["score"])
 
 
 def normalized(scores: DataFrame) -> DataFrame:

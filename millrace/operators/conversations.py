@@ -58,3 +58,20 @@ def conversation_id(indexes: Column, title: Column, messages: Column, at: Column
 def indexes_of_model(model: Column) -> Column:
     """The index names in a model string of the form prefix/a,b."""
     return F.transform(F.split(F.regexp_extract(model, r"^[^/]*/(.*)$", 1), ","), F.trim)
+
+
+def saved(turns: DataFrame, indexes: DataFrame, at: Column) -> DataFrame:
+    """(id, conv_id, title, indexes, messages, updated_at), one row a conversation, ready for write.json; indexes (conv_id, indexes)."""
+    messages = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))))
+    rows = turns.groupBy("conv_id").agg(messages.alias("messages")).join(titles(turns), "conv_id", "left").join(indexes, "conv_id", "left")
+    key = conversation_id(F.coalesce("indexes", F.array().cast("array<string>")), F.coalesce("title", F.lit("")), F.col("messages"), at)
+    return rows.select(key.alias("id"), "conv_id", "title", "indexes", "messages", at.alias("updated_at"))
+
+
+def deleted(conversations: DataFrame, name: str) -> DataFrame:
+    """conversations without the one that ``find`` gives for the name."""
+    return conversations.join(find(conversations, name).select("id"), "id", "left_anti")
+
+
+def index_label(indexes: Column) -> Column:
+    return F.array_join(indexes, ",")

@@ -1,22 +1,55 @@
 """Property-graph operators over edges (src, dst[, weight, type]) and nodes (id, ...).
 
-Walks are frontier joins with a bounded number of rounds; each round's frontier is distinct, so it never holds more rows than
-nodes. Long iterations are cut by ``checkpoint`` where the cluster names a folder for it.
+Walks are frontier joins with a bounded number of rounds. Each round is written to the shared folder, so a plan never holds more
+than one round, whatever the depth. Iterations over a graph that a count shows to be small (LOCAL_EDGES) run
+in one task on arrays; larger graphs are joined round by round.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalars import risk_level
+from millrace.operators.incremental import with_ids
+from millrace.session import written
+
+#: Edges (and nodes) up to which a graph is held in one task: 24 bytes an edge.
+LOCAL_EDGES = 2_000_000
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint if the session has a folder for it; else the plan as it is."""
-    spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    return written(df, "graph")
+
+
+def is_local(nodes: DataFrame, edges: DataFrame, bound: int = LOCAL_EDGES) -> bool:
+    return edges.limit(bound + 1).count() <= bound and nodes.limit(bound + 1).count() <= bound
+
+
+def in_one_task(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
+    """run(ids, src, dst, weight) on arrays; ids ascend, src and dst are places in them or -1. The caller has checked the size."""
+    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
+    rows = nodes.select(F.col("id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("weight")).unionByName(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight")))
+
+    def hold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = pd.concat(frames) if (frames := list(frames)) else pd.DataFrame({"src": [], "dst": [], "weight": []})
+        plain = f.dst.isna()
+        ids = np.unique(f.src[plain].to_numpy(np.int64))
+        src, dst, w = f.src[~plain].to_numpy(np.int64), f.dst[~plain].to_numpy(np.int64), f.weight[~plain].to_numpy(np.float64)
+        order = np.lexsort((dst, src))
+
+        def place(x: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
+            return np.where(ids[at] == x, at, -1) if len(ids) else np.full(len(x), -1)
+
+        yield run(ids, place(src[order]), place(dst[order]), w[order])
+
+    return rows.repartition(1).mapInPandas(hold, schema)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -46,16 +79,16 @@ def edge_pairs(edges: DataFrame) -> DataFrame:
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
-    """(id, depth): ids within ``depth`` steps of starts (id), with the fewest steps. Starts have 0."""
+    """(id, depth): ids within ``depth`` steps of starts (id), with the fewest steps. Starts have 0. Each round is one join, written."""
     steps = edges.select("src", "dst")
     steps = steps.unionByName(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both_ways else steps
-    steps = steps.distinct()
     seen = starts.select("id", F.lit(0).alias("depth")).distinct()
-    front = seen
     for d in range(1, depth + 1):
-        new = front.join(steps, front.id == steps.src).select(F.col("dst").alias("id")).distinct()
-        front = new.join(seen, "id", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(front)
+        front = seen.where(F.col("depth") == d - 1)
+        new = front.join(steps, front.id == steps.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        seen = cut_lineage(seen.unionByName(new.select("id", F.lit(d).alias("depth"))))
+        if not seen.where(F.col("depth") == d).limit(1).count():
+            break
     return seen
 
 
@@ -103,19 +136,30 @@ def shortest_path(edges: DataFrame, start: int, goal: int, limit: int = 10, both
     return front.where("false").select("path", (F.size("path") - 1).alias("steps"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, rank) after a fixed number of rounds; the rank of nodes without out-edges is shared by all."""
+
+    def ranks_of(ids, src, dst, _) -> pd.DataFrame:
+        n = len(ids)
+        rank, outs = np.full(n, 1.0 / max(n, 1)), np.bincount(src[src >= 0], minlength=n).astype(float)
+        inner = (src >= 0) & (dst >= 0)
+        a, b = src[inner], dst[inner]
+        for _ in range(rounds if n else 0):
+            given = np.bincount(b, weights=rank[a] / outs[a], minlength=n)
+            rank = (1 - damping) / n + damping * (given + rank[outs == 0].sum() / n)
+        return pd.DataFrame({"id": ids, "rank": rank})
+
+    if is_local(nodes, edges, local_edges):
+        return in_one_task(nodes, edges.select("src", "dst"), ranks_of, "id long, rank double")
     n = nodes.count()
-    links = edges.select("src", "dst")
-    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
-    links = links.join(out, "src")
-    ranks = nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
-        loose = ranks.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose"))
+    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
+    links = cut_lineage(edges.select("src", "dst").join(out, "src"))
+    ranks = cut_lineage(nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / max(n, 1))))
+    for _ in range(rounds):
+        loose = ranks.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")).first().loose
         given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
-        new = (1 - damping) / n + damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
-        ranks = ranks.drop("rank").join(given, "id", "left").join(F.broadcast(loose)).select("id", "outs", new.alias("rank"))  # loose: one row
-        ranks = cut_lineage(ranks) if (i + 1) % cut_every == 0 else ranks
+        new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))
+        ranks = cut_lineage(ranks.drop("rank").join(given, "id", "left").select("id", "outs", new.alias("rank")))
     return ranks.select("id", "rank")
 
 
@@ -126,14 +170,45 @@ def blast_radius(edges: DataFrame, start: int, ranks: DataFrame, depth: int = 3)
     return near.join(ranks, "id").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass")).join(F.broadcast(total)).select("nodes", (F.col("mass") / F.col("total")).alias("share"))
 
 
-def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3) -> DataFrame:
-    """(id, blast) for all nodes: the rank within depth steps either way. Neighbour sets grow, so keep depth small."""
+def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, blast) for all nodes of ranks: the share of all rank within depth steps either way.
+
+    A small graph is sent to the tasks, which walk from their nodes. In a larger one, each round joins every node's set with
+    its neighbours; such sets grow with the depth, so ask for few nodes there (blast_radius) or a small depth.
+    """
+    if is_local(ranks, edges, local_edges):
+        held = edges.select("src", "dst").where("src <> dst").toPandas()
+        by = ranks.select("id", "rank").toPandas()
+        ids = np.unique(np.concatenate([by.id, held.src, held.dst]).astype(np.int64))  # a walk may pass ends that have no rank
+        rank = np.zeros(len(ids))
+        rank[np.searchsorted(ids, by.id)] = by["rank"]
+        a, b = np.searchsorted(ids, held.src), np.searchsorted(ids, held.dst)
+        pairs = np.unique(np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+        begin, to, total = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1)), pairs[:, 1], rank.sum()
+
+        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                out = []
+                for i in np.searchsorted(ids, f.id.to_numpy(np.int64)).tolist():
+                    seen = np.zeros(len(ids), bool)
+                    seen[i] = True
+                    front = np.array([i])
+                    for _ in range(depth):
+                        sizes = begin[front + 1] - begin[front]
+                        near = to[np.repeat(begin[front + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())] if sizes.sum() else np.zeros(0, np.int64)
+                        front = np.unique(near[~seen[near]])
+                        seen[front] = True
+                    seen[i] = False
+                    out.append(rank[seen].sum() / total if total else 0.0)
+                yield pd.DataFrame({"id": f.id, "blast": out})
+
+        return ranks.select(F.col("id").cast("long").alias("id")).repartition(max(1, min(64, len(ids) // 256))).mapInPandas(walk, "id long, blast double")
     step = edges.select("src", "dst").where("src <> dst")
-    step = step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    step = cut_lineage(step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     pairs = step
     for _ in range(depth - 1):
         further = pairs.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        pairs = pairs.unionByName(further).where("src <> dst").distinct()
+        pairs = cut_lineage(pairs.unionByName(further).where("src <> dst").distinct())
     total = ranks.agg(F.sum("rank").alias("total"))
     mass = pairs.join(ranks.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("rank").alias("mass"))
     return ranks.select("id").join(mass, "id", "left").join(F.broadcast(total)).select("id", (F.coalesce("mass", F.lit(0.0)) / F.col("total")).alias("blast"))
@@ -156,6 +231,64 @@ def god_nodes(edges: DataFrame, threshold: int = 5, k: int = 20) -> DataFrame:
     return degrees(edges).where(F.col("degree") >= threshold).orderBy(F.desc("degree"), "id").limit(k)
 
 
+def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 50, least: float = 1e-10, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(id, community) by local moving: nodes in order of id join the neighbouring community of largest modularity gain, pass
+    after pass, till none moves. Ties go to the smaller community; communities are numbered by their smallest member.
+
+    One node's move changes the next one's choice, so this runs in one task and only up to ``local_edges``; larger graphs
+    take label propagation (``communities``), as a sequential pass over them isn't distributed.
+    """
+    if not is_local(nodes, edges, local_edges):
+        return communities(nodes, edges)
+
+    def moved(ids, src, dst, weight) -> pd.DataFrame:
+        inner = (src >= 0) & (dst >= 0)
+        a, b, w = np.concatenate([src[inner], dst[inner]]), np.concatenate([dst[inner], src[inner]]), np.concatenate([weight[inner]] * 2)
+        order = np.argsort(a, kind="stable")
+        begin, to, w = np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist(), b[order].tolist(), w[order].tolist()
+        strength = np.bincount(a[order], weights=w, minlength=len(ids)).tolist() if len(a) else [0.0] * len(ids)
+        comm, total, m2 = list(range(len(ids))), list(strength), sum(strength)
+        for _ in range(passes if m2 else 0):
+            quiet = True
+            for i in range(len(ids)):
+                near: dict[int, float] = {}
+                for j in range(begin[i], begin[i + 1]):
+                    near[comm[to[j]]] = near.get(comm[to[j]], 0.0) + w[j]
+                own, k = comm[i], strength[i]
+                stay = near.get(own, 0.0) - (total[own] - k) * k / m2
+                best, gain = own, 0.0
+                for c in sorted(near):
+                    delta = 2.0 * (near[c] - total[c] * k / m2 - stay) / m2
+                    if c != own and delta > gain:
+                        best, gain = c, delta
+                if best != own and gain > least:
+                    total[own] -= k
+                    total[best] += k
+                    comm[i], quiet = best, False
+            if quiet:
+                break
+        first: dict[int, int] = {}
+        for i, c in enumerate(comm):
+            first.setdefault(c, int(ids[i]))
+        return pd.DataFrame({"id": ids, "community": [first[c] for c in comm]})
+
+    return in_one_task(nodes, edges, moved, "id long, community long")
+
+
+def improvable(edges: DataFrame, labels: DataFrame, least: float = 1e-9) -> DataFrame:
+    """(id, community, gain): nodes that would raise modularity by moving to a neighbour's community. edges: each undirected edge once."""
+    links = undirected(edges)
+    strength = links.groupBy("a").agg(F.sum("weight").alias("k"))
+    named = labels.select(F.col("id").alias("a"), "community").join(strength, "a")
+    totals = named.groupBy("community").agg(F.sum("k").alias("total"))
+    m2 = F.broadcast(links.agg(F.sum("weight").alias("m2")))  # one row
+    near = links.join(labels.select(F.col("id").alias("b"), F.col("community").alias("to")), "b").groupBy("a", "to").agg(F.sum("weight").alias("w"))
+    own = near.select("a", F.col("to").alias("community"), F.col("w").alias("own"))
+    rows = near.join(named, "a").where("to <> community").join(own, ["a", "community"], "left").join(totals, "community").join(totals.select(F.col("community").alias("to"), F.col("total").alias("to_total")), "to").join(m2)
+    gain = 2 * (F.col("w") - F.col("to_total") * F.col("k") / F.col("m2") - F.coalesce("own", F.lit(0.0)) + (F.col("total") - F.col("k")) * F.col("k") / F.col("m2")) / F.col("m2")
+    return rows.select(F.col("a").alias("id"), F.col("to").alias("community"), gain.alias("gain")).where(F.col("gain") > least)
+
+
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(id, community) by weighted label propagation; ties go to the smaller label, and nodes of odd hash move in odd rounds.
 
@@ -172,10 +305,10 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFra
 
 
 def renumbered(labels: DataFrame) -> DataFrame:
-    """(id, community, rank): communities numbered from 0 by size, ties by smallest member. One row a community is windowed."""
-    sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-    order = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1)
-    return labels.join(order.select("community", "rank"), "community")
+    """(id, community, rank): communities numbered from 0 by size, ties by smallest member. The sizes are ranked by a range sort."""
+    sizes = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).withColumn("few", -F.col("n"))
+    order = with_ids(sizes, ["few", "least"])
+    return labels.join(order.select("community", F.col("id").alias("rank")), "community")
 
 
 def community_labels(members: DataFrame) -> DataFrame:
@@ -224,7 +357,9 @@ def surprise(weight: Column, src_package: Column, dst_package: Column, src_commu
 def repo_map(nodes: DataFrame, scores: DataFrame, budget: int = 2000) -> DataFrame:
     """Files by total score, as far as the running length of their lines / 4 stays within the budget. nodes: id, name, file."""
     files = nodes.join(scores, "id").groupBy("file").agg(F.sum("score").alias("score"), F.sum(F.length("name") + 1).alias("chars"), F.count(F.lit(1)).alias("symbols"))
+    # a file takes a quarter of a token at least for each letter of its path, so the best 4 * budget files hold all that fit
     w = Window.orderBy(F.desc("score"), "file").rowsBetween(Window.unboundedPreceding, 0)
+    files = files.orderBy(F.desc("score"), "file").limit(4 * budget)
     return files.withColumn("tokens", F.sum((F.col("chars") + F.length("file")) / 4).over(w)).where(F.col("tokens") <= budget)
 
 

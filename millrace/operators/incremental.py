@@ -100,3 +100,28 @@ def changed(tracked: DataFrame, scanned: DataFrame) -> DataFrame:
     both = tracked.select("path", F.col("hash").alias("old")).join(scanned.select("path", F.col("hash").alias("new")), "path", "full")
     kind = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
     return both.withColumn("change", kind).where("change is not null").select("path", "change")
+
+
+def memo_record(memo: DataFrame, batch: DataFrame) -> DataFrame:
+    """memo (text_hash, model, source, ...) with the batch's fingerprints; those it has are kept."""
+    return insert_missing(memo, batch, ["text_hash", "model"])
+
+
+def memo_without(memo: DataFrame, sources: DataFrame | None = None, model: str | None = None) -> DataFrame:
+    """memo without the fingerprints of some sources, or of a model."""
+    rows = delete_sources(memo, sources) if sources is not None else memo
+    return rows.where(F.col("model") != model) if model else rows
+
+
+def tasks_left(tasks: DataFrame, now, days: float) -> DataFrame:
+    """tasks (status, updated_at) without the finished ones older than ``days``."""
+    finished = F.col("status").isin("COMPLETED", "FAILED", "CANCELLED")
+    return tasks.where(~(finished & (F.unix_timestamp("updated_at") < F.unix_timestamp(now) - days * 86400)))
+
+
+def index_of_paths(changes: DataFrame, roots: DataFrame) -> DataFrame:
+    """changes (path) with the index whose root (index, root) the path begins with; of several, the longest root. At most 10,000 roots."""
+    if roots.limit(10_001).count() > 10_000:
+        raise ValueError("more than 10,000 index roots")
+    rows = changes.join(F.broadcast(roots), F.startswith(F.col("path"), F.col("root")))
+    return rows.groupBy(*changes.columns).agg(F.max_by("index", F.length("root")).alias("index"))

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from millrace.functions.scalars import block_id, expired, stale, validity
 
 #: Pairs of phrases that negate each other.
-NEGATIONS = [("is", "is not"), ("should", "should not"), ("can", "cannot"), ("will", "will not"), ("does", "does not"), ("always", "never"), ("enable", "disable"), ("use", "avoid"), ("prefer", "avoid"), ("true", "false")]
+NEGATIONS = [("is not", "is"), ("should not", "should"), ("does not", "does"), ("cannot", "can"), ("never", "always"), ("disable", "enable"), ("false", "true"), ("deprecated", "recommended"), ("removed", "added"), ("don't", "do")]
 
 
 def live(blocks: DataFrame, now: Column) -> DataFrame:
@@ -140,3 +140,31 @@ def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The newest row of each key."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def clear_tier(blocks: DataFrame, tier: str | None = None) -> DataFrame:
+    """blocks without a tier, or none at all."""
+    return blocks.where(F.col("tier") != tier) if tier else blocks.limit(0)
+
+
+def older_gone(rows: DataFrame, now: Column, days: float, at: str = "created_at") -> DataFrame:
+    """Summaries or conversations without those of an age beyond ``days``."""
+    return rows.where(F.unix_timestamp(at) >= F.unix_timestamp(now) - days * 86400)
+
+
+def lookup(blocks: DataFrame, block: str) -> DataFrame:
+    """The block of that id; a short-term one goes before a stored one."""
+    return blocks.where(F.col("id") == block).orderBy(F.when(F.col("tier") == "short", 0).otherwise(1)).limit(1)
+
+
+def with_summary(summaries: DataFrame, conversation: str, text: str, at: Column) -> DataFrame:
+    """summaries (key, conv_id, text, created_at) with one more; its key is the time and the conversation."""
+    row = summaries.sparkSession.range(1).select(F.concat_ws("_", F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(conversation)).alias("key"), F.lit(conversation).alias("conv_id"), F.lit(text).alias("text"), at.alias("created_at"))
+    return summaries.unionByName(row)
+
+
+def limited(blocks: DataFrame, limit: int, enforce: bool = True) -> DataFrame:
+    """blocks with char_limit where it is missing; content beyond it is cut if enforced."""
+    bound = F.when(F.coalesce("char_limit", F.lit(0)) > 0, F.col("char_limit")).otherwise(F.lit(limit))
+    rows = blocks.withColumn("char_limit", bound.cast("int"))
+    return rows.withColumn("content", F.expr("left(content, char_limit)")) if enforce else rows

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from millrace.functions import scalars, text, vectors
 from millrace.operators import bm25, conversations, filters, graph, incremental, memory, search
 from millrace.operators.filters import Filter
+from millrace.session import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -89,7 +92,7 @@ C_EDGES = "e AS (SELECT o_custkey AS src, o_orderkey % 1500 + 1 AS dst FROM orde
 C_UNDIR = C_EDGES + ", u AS (SELECT a, b, sum(weight) AS weight FROM (SELECT src AS a, dst AS b, weight FROM w UNION ALL SELECT dst, src, weight FROM w) GROUP BY ALL)"
 C_LABELS = "l AS (SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS community FROM customer)"
 C_TOKENS = rf"""t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{Nd}}]+'), lambda x: strlen(x) > 1 AND x NOT IN ({STOP})) AS tokens FROM documents),
- q AS (SELECT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda x: strlen(x) > 1 AND x NOT IN ({STOP}))) AS term FROM benchmark WHERE item_id < 5),
+ q AS (SELECT item_id * 100 AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda x: strlen(x) > 1 AND x NOT IN ({STOP}))) AS term FROM benchmark),
  p AS (SELECT id, len(tokens) AS dl, unnest(tokens) AS term FROM t), tf AS (SELECT id, dl, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
  st AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM t), qt AS (SELECT qid, term, count(*) AS times FROM q GROUP BY ALL),
  s AS (SELECT qid, id, sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), st GROUP BY ALL)"""
@@ -98,12 +101,29 @@ L2 = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
 
 
-def queries5(t) -> DataFrame:
-    return t("benchmark").where("item_id < 5").select(F.col("item_id").alias("qid"), "text")
+def lexical(t) -> DataFrame:
+    """All benchmark items as text queries; item i has the qid 100 i, that of the vector query it is fused with."""
+    return t("benchmark").select((F.col("item_id") * 100).alias("qid"), "text")
+
+
+def asked(t) -> DataFrame:
+    """The query set: every vector whose id is divisible by 100."""
+    return vecs(t).where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "vec")
+
+
+_INDEXES: dict = {}
+
 
+def stored(spark, t, name: str, build):
+    """What build(path) wrote for this session and these tables; it is built once and then read."""
+    key = (spark.sparkContext.applicationId, t("documents").inputFiles()[0], name)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}")
+    return _INDEXES[key]
 
-def asked(t, n: int = 10) -> DataFrame:
-    return vecs(t).where(F.col("id") < n).select(F.col("id").alias("qid"), "vec")
+
+def index(spark, t) -> bm25.Index:
+    return stored(spark, t, "bm25", lambda path: bm25.Index.build(passages(t), path))
 
 
 # --- filters ---------------------------------------------------------------------------------------------------------
@@ -134,62 +154,66 @@ def filter_nin_contains(spark, t):
 
 @query(f"WITH {C_TOKENS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM tf GROUP BY term")
 def bm25_index_stats(spark, t):
-    posted = bm25.postings(bm25.lengths(passages(t)))
+    posted = index(spark, t).postings()
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 @query(f"WITH {C_TOKENS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
 def bm25_corpus_stats(spark, t):
-    return bm25.statistics(bm25.lengths(passages(t))).select("n", r6("avgdl").alias("avgdl"))
+    return index(spark, t).statistics().select("n", r6("avgdl").alias("avgdl"))
 
 
 @query(f"WITH {C_TOKENS} SELECT id, round(score, 6) AS score FROM s WHERE qid = 0 ORDER BY round(score, 6) DESC, id LIMIT 10")
 def bm25_topk(spark, t):
-    s = bm25.score(bm25.lengths(passages(t)), queries5(t).where("qid = 0"))
+    s = index(spark, t).score(lexical(t).where("qid = 0"))
     return s.select("id", r6("score").alias("score")).orderBy(F.desc("score"), "id").limit(10)
 
 
 @query(f"WITH {C_TOKENS} SELECT qid, id, score, rank FROM (SELECT qid, id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, id) AS rank FROM s) WHERE rank <= 10")
 def bm25_batch_topk(spark, t):
-    s = bm25.score(bm25.lengths(passages(t)), queries5(t)).withColumn("score", r6("score"))
+    s = index(spark, t).score(lexical(t)).withColumn("score", r6("score"))
     return bm25.top_k(s, 10)
 
 
 @query(f"WITH {C_TOKENS} SELECT qid, id, round(score / max(score) OVER (PARTITION BY qid), 6) AS score FROM s")
 def bm25_normalized(spark, t):
-    return bm25.normalized(bm25.score(bm25.lengths(passages(t)), queries5(t))).select("qid", "id", r6("score").alias("score"))
+    return bm25.normalized(index(spark, t).score(lexical(t))).select("qid", "id", r6("score").alias("score"))
 
 
-@query(f"WITH {C_TOKENS} SELECT doc_id AS id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN (SELECT * FROM s WHERE qid = 1) s ON s.id = doc_id WHERE doc_id % 10 = 0")
+@query(f"WITH {C_TOKENS} SELECT doc_id AS id, round(coalesce(score, 0), 6) AS score FROM documents LEFT JOIN (SELECT * FROM s WHERE qid = 100) s ON s.id = doc_id WHERE doc_id % 100 = 0")
 def bm25_score_ids(spark, t):
-    ids = t("documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"))
-    return bm25.score_ids(bm25.lengths(passages(t)), queries5(t).where("qid = 1"), ids).select("id", r6("score").alias("score"))
+    ids = t("documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("id"))
+    return bm25.scores_of(index(spark, t).score(lexical(t).where("qid = 100")), ids).select("id", r6("score").alias("score"))
 
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
 
-def _knn(spark, t, name):
-    q = vecs(t).where("id = 0").first().vec
-    return search.knn(vecs(t), q, 10, name).select("id", r6("dist").alias("dist"))
+def _knn_sql(dist: str) -> str:
+    return f"WITH {C_VEC}, k AS (SELECT q.id AS qid, v.id, {dist} AS dist FROM v, v q WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dist, 6), id) AS rank FROM k) SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 10"
+
+
+def _knn(t, name):
+    found = search.knn_batch(vecs(t), asked(t), 12, name).withColumn("dist", r6("dist"))
+    return bm25.top_k(found, 10, "dist", ascending=True).select("qid", "id", "dist", "rank")
 
 
-@query(f"WITH {C_VEC} SELECT v.id, round({L2.format(a='v.vec', b='q.vec')}, 6) AS dist FROM v, (SELECT vec FROM v WHERE id = 0) q ORDER BY {L2.format(a='v.vec', b='q.vec')}, v.id LIMIT 10")
+@query(_knn_sql(L2.format(a="v.vec", b="q.vec")))
 def knn_l2(spark, t):
-    return _knn(spark, t, "l2")
+    return _knn(t, "l2")
 
 
-@query(f"WITH {C_VEC} SELECT v.id, round(1 - list_cosine_similarity(v.vec, q.vec), 6) AS dist FROM v, (SELECT vec FROM v WHERE id = 0) q ORDER BY 1 - list_cosine_similarity(v.vec, q.vec), v.id LIMIT 10")
+@query(_knn_sql("1 - list_cosine_similarity(v.vec, q.vec)"))
 def knn_cosine(spark, t):
-    return _knn(spark, t, "cosine")
+    return _knn(t, "cosine")
 
 
-@query(f"WITH {C_VEC} SELECT v.id, round(-{DOT.format(a='v.vec', b='q.vec')}, 6) AS dist FROM v, (SELECT vec FROM v WHERE id = 0) q ORDER BY -{DOT.format(a='v.vec', b='q.vec')}, v.id LIMIT 10")
+@query(_knn_sql("-" + DOT.format(a="v.vec", b="q.vec")))
 def knn_ip(spark, t):
-    return _knn(spark, t, "ip")
+    return _knn(t, "ip")
 
 
-C_KNN = f"{C_VEC}, k AS (SELECT q.id AS qid, v.id, {L2.format(a='v.vec', b='q.vec')} AS dist FROM v, v q WHERE q.id < 10), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM k)"
+C_KNN = f"{C_VEC}, k AS (SELECT q.id AS qid, v.id, {L2.format(a='v.vec', b='q.vec')} AS dist FROM v, v q WHERE q.id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM k)"
 
 
 @query(f"WITH {C_KNN} SELECT qid, id, round(dist, 6) AS dist, rank FROM r WHERE rank <= 10")
@@ -203,25 +227,25 @@ def distance_normalize(spark, t):
 
 
 C_FUSE = (
-    f"{C_KNN}, {C_TOKENS}, c AS (SELECT qid, id, 1 - dist / max(dist) OVER (PARTITION BY qid) AS sim FROM r WHERE rank <= 50 AND qid < 5), "
+    f"{C_KNN}, {C_TOKENS}, c AS (SELECT qid, id, 1 - dist / max(dist) OVER (PARTITION BY qid) AS sim FROM r WHERE rank <= 50), "
     "j AS (SELECT c.qid, c.id, sim, coalesce(s.score, 0) AS lex FROM c LEFT JOIN s ON s.qid = c.qid AND s.id = c.id), "
     "f AS (SELECT qid, id, round(0.7::DOUBLE * sim + 0.3::DOUBLE * CASE WHEN max(lex) OVER (PARTITION BY qid) > 0 THEN lex / max(lex) OVER (PARTITION BY qid) ELSE 0 END, 6) AS score FROM j)"
 )
 
 
-def _fused(t):
-    found = search.similarity(search.knn_batch(vecs(t), asked(t, 5), 50)).drop("rank", "dist")
-    return search.fuse(found, bm25.score(bm25.lengths(passages(t)), queries5(t))).withColumn("score", r6("score"))
+def _fused(spark, t):
+    found = search.similarity(search.knn_batch(vecs(t), asked(t), 50)).drop("rank", "dist")
+    return search.fuse(found, index(spark, t).score(lexical(t))).withColumn("score", r6("score"))
 
 
 @query(f"WITH {C_FUSE} SELECT qid, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f) WHERE rank <= 10")
 def hybrid_fuse(spark, t):
-    return bm25.top_k(_fused(t), 10)
+    return bm25.top_k(_fused(spark, t), 10)
 
 
 @query(f"WITH {C_FUSE} SELECT f.qid, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM f WHERE score >= 0.3) f JOIN documents ON doc_id = id WHERE rank <= 20 AND lang = 'en'")
 def hybrid_filtered(spark, t):
-    best = bm25.top_k(_fused(t).where("score >= 0.3"), 20).join(passages(t), "id")
+    best = bm25.top_k(_fused(spark, t).where("score >= 0.3"), 20).join(passages(t), "id")
     return best.where(filters.condition([Filter("lang", "eq", "en")], F.col("metadata"))).select("qid", "id", "score")
 
 
@@ -236,7 +260,7 @@ def multi_index_topk(spark, t):
 @query(f"WITH {C_KNN}, c AS (SELECT r.qid, r.id, list_cosine_similarity(list_reverse(v.vec), list_reverse(q.vec)) AS score FROM r JOIN v ON v.id = r.id JOIN v q ON q.id = r.qid WHERE rank <= 50) SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM c) WHERE rank <= 5")
 def rerank_cosine(spark, t):
     second = vecs(t).select("id", F.reverse("vec").alias("vec"))
-    return search.rerank(search.knn_batch(vecs(t), asked(t), 50), second, second.where("id < 10").select(F.col("id").alias("qid"), "vec"), 5).withColumn("score", r6("score"))
+    return search.rerank(search.knn_batch(vecs(t), asked(t), 50), second, second.where("id % 100 = 0").select(F.col("id").alias("qid"), "vec"), 5).withColumn("score", r6("score"))
 
 
 @query("SELECT 'docs:' || doc_id AS ref, CAST(n_chars AS DOUBLE) AS score, left(text, 120) AS peek FROM documents")
@@ -255,14 +279,14 @@ def passage_multi_get(spark, t):
     return search.multi_get(t("documents").select(F.col("doc_id").alias("id"), "n_chars"), [7, 3, 11, 3])
 
 
-@query(f"WITH {C_KNN}, n AS (SELECT q.id AS qid, v.id, 1 - list_cosine_similarity(v.vec, q.vec) AS dist FROM v, v q WHERE q.id < 10), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM n) SELECT r.qid, count(m.id) / 10.0::DOUBLE AS recall FROM (SELECT * FROM r WHERE rank <= 10) r LEFT JOIN (SELECT * FROM m WHERE rank <= 10) m ON m.qid = r.qid AND m.id = r.id GROUP BY r.qid")
+@query(f"WITH {C_KNN}, n AS (SELECT q.id AS qid, v.id, 1 - list_cosine_similarity(v.vec, q.vec) AS dist FROM v, v q WHERE q.id % 100 = 0), m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM n) SELECT r.qid, count(m.id) / 10.0::DOUBLE AS recall FROM (SELECT * FROM r WHERE rank <= 10) r LEFT JOIN (SELECT * FROM m WHERE rank <= 10) m ON m.qid = r.qid AND m.id = r.id GROUP BY r.qid")
 def recall_at_k(spark, t):
     return search.recall(search.knn_batch(vecs(t), asked(t), 10, "cosine"), search.knn_batch(vecs(t), asked(t), 10), 10)
 
 
 @query("SELECT qid, id, round(dist, 6) AS dist FROM (SELECT NULL::BIGINT AS qid, NULL::BIGINT AS id, NULL::DOUBLE AS dist) WHERE false")
 def knn_empty_query_set(spark, t):
-    return search.knn_batch(vecs(t), asked(t, 0), 10).select("qid", "id", r6("dist").alias("dist"))
+    return search.knn_batch(vecs(t), asked(t).limit(0), 10).select("qid", "id", r6("dist").alias("dist"))
 
 
 @query(f"WITH {C_VEC} SELECT a.id, round({L2.format(a='a.vec', b='b.vec')}, 6) AS l2, round(1 - list_cosine_similarity(a.vec, b.vec), 6) AS cosine, round(-{DOT.format(a='a.vec', b='b.vec')}, 6) AS ip FROM v a JOIN v b ON b.id = a.id + 1")
@@ -305,14 +329,14 @@ def graph_neighborhood(spark, t):
     return graph.induced(edges(t), near)
 
 
-@query(f"WITH RECURSIVE {C_EDGES}, r(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN d ON dst = id WHERE depth < 2) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
+@query(f"WITH RECURSIVE {C_EDGES}, r(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN d ON dst = id WHERE depth < 5) SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0")
 def graph_impact(spark, t):
-    return graph.impact(edges(t), 7, 2)
+    return graph.impact(edges(t), 7)
 
 
-@query(f"WITH RECURSIVE {C_EDGES}, r(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN d ON dst = id WHERE depth < 2) SELECT DISTINCT c_mktsegment AS path FROM customer WHERE c_custkey IN (SELECT id FROM r GROUP BY id HAVING min(depth) > 0)")
+@query(f"WITH RECURSIVE {C_EDGES}, r(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT src, depth + 1 FROM r JOIN d ON dst = id WHERE depth < 5) SELECT DISTINCT c_mktsegment AS path FROM customer WHERE c_custkey IN (SELECT id FROM r GROUP BY id HAVING min(depth) > 0)")
 def affected_files(spark, t):
-    return graph.affected_files(nodes(t).select(F.col("kind").alias("path"), "id"), graph.impact(edges(t), 7, 2))
+    return graph.affected_files(nodes(t).select(F.col("kind").alias("path"), "id"), graph.impact(edges(t), 7))
 
 
 @query(f"WITH RECURSIVE {C_EDGES}, s AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), r(id, path, n) AS (SELECT 7::BIGINT, [7::BIGINT], 0 UNION ALL SELECT dst, list_append(path, dst), n + 1 FROM r JOIN s ON src = id WHERE n < 3 AND NOT list_contains(path, dst) AND NOT list_contains(path, 1234::BIGINT)) SELECT CAST(r.path AS VARCHAR) AS path, n AS steps FROM r WHERE id = 1234 ORDER BY n, r.path LIMIT 1")
@@ -322,36 +346,37 @@ def graph_shortest_path(spark, t):
 
 
 def _pagerank_sql(rounds: int) -> str:
-    out = f"WITH {C_EDGES}, n AS (SELECT c_custkey AS id FROM customer), z AS (SELECT count(*) AS n FROM n), o AS (SELECT src, count(*) AS outs FROM d GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / z.n AS rank FROM n, z)"
+    out = f"WITH {C_EDGES}, n AS (SELECT c_custkey AS id FROM customer), z AS (SELECT count(*) AS n FROM n), o AS (SELECT src, count(*) AS outs FROM d GROUP BY src), r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / z.n AS rank FROM n, z)"
     for i in range(1, rounds + 1):
         p = f"r{i - 1}"
-        out += f", g{i} AS (SELECT dst AS id, sum(rank / outs) AS g FROM d JOIN o USING (src) JOIN {p} ON {p}.id = d.src GROUP BY dst), x{i} AS (SELECT coalesce(sum(rank), 0) AS loose FROM {p} WHERE id NOT IN (SELECT src FROM o)), r{i} AS (SELECT n.id, 0.15::DOUBLE / z.n + 0.85::DOUBLE * (coalesce(g, 0) + loose / z.n) AS rank FROM n LEFT JOIN g{i} ON g{i}.id = n.id, z, x{i})"
+        out += f", g{i} AS (SELECT dst AS id, sum(rank / outs) AS g FROM d JOIN o USING (src) JOIN {p} ON {p}.id = d.src GROUP BY dst), x{i} AS (SELECT coalesce(sum(rank), 0) AS loose FROM {p} WHERE id NOT IN (SELECT src FROM o)), r{i} AS MATERIALIZED (SELECT n.id, 0.15::DOUBLE / z.n + 0.85::DOUBLE * (coalesce(g, 0) + loose / z.n) AS rank FROM n LEFT JOIN g{i} ON g{i}.id = n.id, z, x{i})"
     return out
 
 
-def _ranks(t, rounds=5):
-    return graph.pagerank(nodes(t), edges(t).distinct(), rounds=rounds)
+def _ranks(t):
+    return graph.pagerank(nodes(t), edges(t).distinct())
 
 
-@query(_pagerank_sql(5) + " SELECT id, round(rank, 9) AS rank FROM r5")
+@query(_pagerank_sql(30) + " SELECT id, round(rank, 9) AS rank FROM r30")
 def graph_pagerank(spark, t):
     return _ranks(t).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(_pagerank_sql(5) + " SELECT id, round(rank, 9) AS rank FROM r5 ORDER BY round(rank, 9) DESC, id LIMIT 20")
+@query(_pagerank_sql(30) + " SELECT id, round(rank, 9) AS rank FROM r30 ORDER BY round(rank, 9) DESC, id LIMIT 20")
 def graph_pagerank_topk(spark, t):
     return graph.top(_ranks(t).select("id", F.round("rank", 9).alias("rank")), 20, "rank")
 
 
-@query(_pagerank_sql(3).replace("WITH ", "WITH RECURSIVE ", 1) + ", s AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), b(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT dst, depth + 1 FROM b JOIN s ON src = id WHERE depth < 2) SELECT count(*) AS nodes, round(sum(rank) / (SELECT sum(rank) FROM r3), 6) AS share FROM r3 WHERE id IN (SELECT id FROM b) AND id <> 7")
+@query(_pagerank_sql(30).replace("WITH ", "WITH RECURSIVE ", 1) + ", s AS (SELECT src, dst FROM d UNION SELECT dst, src FROM d), b(id, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT dst, depth + 1 FROM b JOIN s ON src = id WHERE depth < 3) SELECT count(*) AS nodes, round(sum(rank) / (SELECT sum(rank) FROM r30), 6) AS share FROM r30 WHERE id IN (SELECT id FROM b) AND id <> 7")
 def graph_blast_radius(spark, t):
-    return graph.blast_radius(edges(t), 7, _ranks(t, 3), 2).select("nodes", r6("share").alias("share"))
+    return graph.blast_radius(edges(t), 7, _ranks(t)).select("nodes", r6("share").alias("share"))
 
 
-@query(_pagerank_sql(3) + ", s AS (SELECT src, dst FROM d WHERE src <> dst UNION SELECT dst, src FROM d WHERE src <> dst), bl AS (SELECT src AS id, sum(rank) / (SELECT sum(rank) FROM r3) AS blast FROM s JOIN r3 ON r3.id = dst GROUP BY src), deg AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM d UNION ALL SELECT dst, 0, 1 FROM d) GROUP BY id), j AS (SELECT r3.id, rank, coalesce(o, 0) * coalesce(i, 0) AS c, coalesce(blast, 0) AS blast FROM r3 LEFT JOIN deg USING (id) LEFT JOIN bl USING (id)), k AS (SELECT id, round(least(1.0::DOUBLE, 0.35::DOUBLE * rank / max(rank) OVER () + 0.30::DOUBLE * c / max(c) OVER () + 0.35::DOUBLE * blast), 6) AS score FROM j) SELECT id, score, CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM k")
+@query(_pagerank_sql(30) + ", s AS (SELECT src, dst FROM d WHERE src <> dst UNION SELECT dst, src FROM d WHERE src <> dst), s2 AS (SELECT DISTINCT a.src, b.dst FROM s a JOIN s b ON a.dst = b.src), s3 AS (SELECT DISTINCT a.src, b.dst FROM s2 a JOIN s b ON a.dst = b.src), al AS (SELECT src, dst FROM s UNION SELECT src, dst FROM s2 UNION SELECT src, dst FROM s3), bl AS (SELECT src AS id, sum(rank) / (SELECT sum(rank) FROM r30) AS blast FROM al JOIN r30 ON r30.id = dst WHERE src <> dst GROUP BY src), deg AS (SELECT id, sum(o) AS o, sum(i) AS i FROM (SELECT src AS id, 1 AS o, 0 AS i FROM d UNION ALL SELECT dst, 0, 1 FROM d) GROUP BY id), j AS (SELECT r30.id, rank, coalesce(o, 0) * coalesce(i, 0) AS c, coalesce(blast, 0) AS blast FROM r30 LEFT JOIN deg USING (id) LEFT JOIN bl USING (id)), k AS (SELECT id, round(least(1.0::DOUBLE, 0.35::DOUBLE * rank / max(rank) OVER () + 0.30::DOUBLE * c / max(c) OVER () + 0.35::DOUBLE * blast), 6) AS score FROM j) SELECT id, score, CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.5 THEN 'high' WHEN score >= 0.25 THEN 'medium' ELSE 'low' END AS level FROM k")
 def graph_risk(spark, t):
-    ranks, links = _ranks(t, 3), edges(t).distinct()
-    scored = graph.risk(ranks, links, graph.blast_shares(links, ranks, 1))
+    links = edges(t).distinct()
+    ranks = graph.cut_lineage(_ranks(t))
+    scored = graph.risk(ranks, links, graph.blast_shares(links, ranks))
     return scored.select("id", r6("score").alias("score")).withColumn("level", scalars.risk_level(F.col("score")))
 
 
@@ -392,13 +417,21 @@ def graph_community_labels(spark, t):
 
 @query()
 def graph_communities(spark, t):
-    return graph.communities(nodes(t), weighted(t), 6)
+    return graph.communities(nodes(t), weighted(t))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS nodes, 0::BIGINT AS improvable")
+def graph_louvain(spark, t):
+    """Local moving ends where no node gains by a move; checked by another plan over the result."""
+    found = graph.cut_lineage(graph.louvain(nodes(t), weighted(t)))
+    known = weighted(t).join(nodes(t).select(F.col("id").alias("src")), "src", "left_semi").join(nodes(t).select(F.col("id").alias("dst")), "dst", "left_semi")
+    return found.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(graph.improvable(known, found).agg(F.count(F.lit(1)).alias("improvable")))  # one row each
 
 
 @query("SELECT p_partkey AS id, p_brand || '.' || p_name AS fqn, p_name AS name FROM part WHERE p_name LIKE '%bolt%' OR lower(p_brand || '.' || p_name) LIKE '%bolt%' ORDER BY fqn, id LIMIT 50")
 def symbol_search(spark, t):
     symbols = t("part").select(F.col("p_partkey").alias("id"), F.concat_ws(".", "p_brand", "p_name").alias("fqn"), F.col("p_name").alias("name"))
-    return symbols.where(F.lower("fqn").contains("bolt") | F.lower("name").contains("bolt")).orderBy("fqn", "id").limit(50)
+    return graph.symbol_search(symbols, "bolt")
 
 
 @query("WITH s AS (SELECT p_brand AS file, sum(p_retailprice) AS score, sum(length(p_name) + 1) AS chars, count(*) AS symbols FROM part GROUP BY ALL), c AS (SELECT *, sum((chars + length(file)) / 4.0::DOUBLE) OVER (ORDER BY round(score, 2) DESC, file ROWS UNBOUNDED PRECEDING) AS tokens FROM s) SELECT file, symbols, round(tokens, 4) AS tokens FROM c WHERE tokens <= 2000")
@@ -461,7 +494,11 @@ def memory_tier_stats(spark, t):
 
 
 def _clash(new: str) -> str:
-    pairs = [f"(contains(lower(content), '{a}') AND {b in new}) OR (contains(lower(content), '{b}') AND {a in new})" for a, b in memory.NEGATIONS]
+    literal = "is not=is,should not=should,does not=does,cannot=can,never=always,disable=enable,false=true,deprecated=recommended,removed=added,don't=do"
+    pairs = []
+    for a, b in (pair.split("=") for pair in literal.split(",")):
+        x, y = a.replace("'", "''"), b.replace("'", "''")
+        pairs.append(f"(contains(lower(content), '{x}') AND {b in new}) OR (contains(lower(content), '{y}') AND {a in new})")
     long = ", ".join(f"'{w}'" for w in new.split() if len(w) > 4)
     return f"({' OR '.join(pairs)}) AND len(list_intersect(list_filter(string_split(lower(content), ' '), lambda x: strlen(x) > 4), [{long}])) > 0"
 

@@ -85,3 +85,25 @@ def webhooks(events: DataFrame, hooks: list[dict]) -> DataFrame:
 def metrics(counters: DataFrame) -> DataFrame:
     """Lines of the text exposition format from (name, n, total_ms)."""
     return counters.select(F.explode(F.array(F.format_string("%s_total %d", "name", "n"), F.format_string("%s_avg_ms %.3f", "name", F.when(F.col("n") > 0, F.col("total_ms") / F.col("n")).otherwise(0.0)))).alias("line"))
+
+
+def drop_index(spark: SparkSession, root: str, name: str) -> bool:
+    """Remove the folder of an index below root, with what belongs to it; False if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def graph_csv(tables: dict[str, DataFrame], path: str) -> None:
+    """Nodes and edges as CSV folders with headers, one for each name (files, symbols, declares, calls, folders, documents, headings)."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def wiki(members: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(community, article): markdown of each community of members (id, name, community): its size, first names and edges to others."""
+    a, b = members.select(F.col("id").alias("src"), F.col("community")), members.select(F.col("id").alias("dst"), F.col("community").alias("other"))
+    out = edges.join(a, "src").join(b, "dst").where("community <> other").groupBy("community").agg(F.count(F.lit(1)).alias("outward"))
+    names = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("names"))
+    rows = names.join(out, "community", "left")
+    article = F.concat(F.format_string("# Community %d\n\n%d members, %d edges to others\n\n", "community", "n", F.coalesce("outward", F.lit(0))), F.array_join(F.transform("names", lambda x: F.concat(F.lit("- "), x)), "\n"))
+    return rows.select("community", article.alias("article"))

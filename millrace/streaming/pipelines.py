@@ -107,3 +107,30 @@ def invalid_transitions(log: DataFrame) -> DataFrame:
 def since(conversations: DataFrame, mark, newest: int = 5) -> DataFrame:
     """Conversations updated after a high-water mark, the newest first."""
     return conversations.where(F.col("updated_at") > mark).orderBy(F.desc("updated_at")).limit(newest)
+
+
+def published(events: DataFrame, path: str, checkpoint: str | None = None):
+    """Append events (topic, payload as a struct or map) to a folder of topics, as JSON; a stream needs a checkpoint."""
+    rows = events.select("topic", F.to_json("payload").alias("payload"))
+    if events.isStreaming:
+        return rows.writeStream.format("parquet").partitionBy("topic").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.write.mode("append").partitionBy("topic").parquet(path)
+
+
+def subscribed(spark, path: str, topic: str) -> DataFrame:
+    """The stream of a topic's events, the payload decoded to a map."""
+    rows = spark.readStream.schema("topic string, payload string").parquet(path).where(F.col("topic") == topic)
+    return rows.select("topic", F.from_json("payload", "map<string,string>").alias("payload"))
+
+
+def watched(spark, path: str) -> DataFrame:
+    """(path, hash, ts) of files as they appear or change below a folder; removals come from ``incremental.changed`` over a scan."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(path)
+    return rows.select("path", F.sha2("content", 256).alias("hash"), F.col("modificationTime").alias("ts"))
+
+
+def pending(changes: DataFrame, seconds: int = 5, late: str = "1 minute") -> DataFrame:
+    """(index, start, files): files of each index that changed in a window, each once; a table or a stream."""
+    rows = changes.withWatermark("ts", late) if changes.isStreaming else changes
+    w = F.window("ts", f"{seconds} seconds").alias("w")
+    return rows.groupBy("index", w).agg(F.size(F.collect_set("path")).cast("long").alias("files")).select("index", F.col("w.start").alias("start"), "files")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import chunking, scalars, text, vectors
-from millrace.operators import ann, bm25, chunks, conversations, graph, incremental, memory, search
+from millrace.operators import ann, bm25, chunks, conversations, diskann, graph, incremental, memory, recall, search
 from millrace.operators.filters import Filter, condition, filter_rows, parse_filters
 from millrace.sources import readers, sinks
 from millrace.streaming import pipelines
@@ -68,13 +68,21 @@ def test_exact_search(spark, vec_table):
             assert one == [r.id for r in batch.where(F.col("qid") == i).orderBy("rank").collect()]
 
 
-def test_approximate_recall(spark, vec_table):
+def test_approximate_recall(spark, vec_table, tmp_path):
     x = clustered()
     asked = spark.createDataFrame([(i, x[i].tolist()) for i in range(40)], "qid long, vec array<float>")
     exact = search.knn_batch(vec_table, asked, 10)
     mean = lambda found: search.recall(found, exact, 10).agg(F.avg("recall")).first()[0]
     assert mean(ann.Ivf.build(vec_table, 12).search(asked, 10, 4)) >= 0.95
-    assert mean(ann.hnsw_search(vec_table, [(i, x[i].tolist()) for i in range(40)], 10, 2)) >= 0.95
+    stored = ann.StoredHnsw.build(vec_table, f"{tmp_path}/hnsw", part_rows=300)
+    assert stored.parts().count() > 1 and mean(stored.search(asked, 10)) >= 0.95
+    pruned = ann.StoredHnsw.build(vec_table, f"{tmp_path}/pruned", part_rows=300, keep=0.2)
+    assert mean(pruned.search(asked, 10, fetch=lambda i: x[i])) >= 0.95
+    built = diskann.DiskAnn.build(vec_table, f"{tmp_path}/diskann", diskann.Config(r=16, l_build=40), part_rows=300)
+    assert mean(built.search_exact(asked, 10)) >= 0.95 and mean(built.search(asked, 10)) >= 0.9
+    fewer = built.remove(vec_table.where("id < 50").select("id"), f"{tmp_path}/fewer")
+    assert fewer.search_exact(asked, 10).where("id < 50").count() == 0
+    assert mean(fewer.add(vec_table.where("id < 50"), f"{tmp_path}/again").search_exact(asked, 10)) >= 0.95
     pq = ann.Pq.train(vec_table, 8, 32)
     found = [r.id for r in pq.search(pq.encode(vec_table), vec_table, x[0].tolist(), 10, 100).collect()]
     assert len(set(found) & {r.id for r in exact.where("qid = 0").collect()}) >= 8
@@ -124,6 +132,53 @@ def test_walks(spark):
     assert graph.blast_radius(e, 2, ranks, 1).first().nodes == 2 and graph.blast_radius(e, 5, ranks).first().nodes == 0
 
 
+def test_hnsw_csr():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 8))
+    g = ann.Hnsw(8)
+    for i, v in enumerate(x):
+        g.add(1000 + i, v)
+    back = ann.Hnsw.from_csr(g.to_csr())
+    assert back.ids == g.ids and [[list(a) for a in v] for v in back.links] == g.links
+    for q in x[:20]:
+        assert [i for _, i in back.search(q, 5, 50)] == [i for _, i in g.search(q, 5, 50)]
+    assert ann.Hnsw.from_csr(ann.Hnsw(8).to_csr()).search(x[0], 5, 50) == []
+
+
+def test_robust_prune():
+    x = np.array([[0.0, 0], [1, 0], [2, 0], [0, 3], [0, 0]])
+    g = diskann.Vamana(x, 3)
+    at = np.array([0, 1, 2, 3, 1])
+    assert g.prune(4, at, g.far(x[4], at), 1.0).tolist() == [0]
+    assert diskann.Vamana(x[:4], 3).prune(0, np.array([1, 2, 3]), np.array([1.0, 4, 9]), 1.0).tolist() == [1, 3]
+
+
+def test_large_graph_paths(spark):
+    """Beyond LOCAL_EDGES, joins give what arrays give."""
+    rng = np.random.default_rng(5)
+    e = edge_table(spark, *{(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2)) if a != b})
+    n = node_table(spark, 40)
+    one, two = (sorted((r.id, round(r["rank"], 9)) for r in graph.pagerank(n, e, rounds=6, local_edges=b).collect()) for b in (10**6, 0))
+    assert one == two
+    ranks = graph.pagerank(n, e)
+    one, two = (sorted((r.id, round(r.blast, 9)) for r in graph.blast_shares(e, ranks, 2, local_edges=b).collect()) for b in (10**6, 0))
+    assert one == two
+
+
+def test_reach_plan_is_bounded(spark):
+    e = edge_table(spark, *((i, i + 1) for i in range(12)))
+    found = graph.reach(e, spark.createDataFrame([(0,)], "id long"), 10)
+    assert found.count() == 11 and found._jdf.queryExecution().executedPlan().toString().count("Scan") <= 2
+
+
+def test_louvain(spark):
+    e = edge_table(spark, (0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)).union(spark.createDataFrame([(2, 3, 0.1)], "src long, dst long, weight double"))
+    found = graph.louvain(node_table(spark, 7), e)
+    by = {r.id: r.community for r in found.collect()}
+    assert by == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6} and graph.improvable(e, found).count() == 0
+    assert graph.improvable(e, found.withColumn("community", F.col("id"))).count() > 0
+
+
 def test_communities(spark):
     e = edge_table(spark, (0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)).union(spark.createDataFrame([(2, 3, 0.1)], "src long, dst long, weight double"))
     found = graph.communities(node_table(spark, 6), e)
@@ -139,7 +194,7 @@ def test_validity(spark):
     assert v(0, 0, 0.0, 0) == 0.5 and v(10, 0, 0.0, 0) >= 0.8 and v(0, 10, 0.0, 0) <= 0.2 and v(0, 0, 365.0, 0) < 0.1
 
 
-@pytest.mark.parametrize("old,new,expected", [("should use Docker here", "should not use Docker", True), ("Enable logging always", "Disable logging", True), ("likes green tea", "likes green coffee", False), ("can use it", "cannot use it", False)])
+@pytest.mark.parametrize("old,new,expected", [("should use Docker here", "should not use Docker", True), ("Enable logging always", "Disable logging", True), ("likes green tea", "likes green coffee", False), ("can use it", "cannot use it", False), ("deprecated library", "recommended library", True), ("I do like coffee", "I don't like coffee", True)])
 def test_contradictions(spark, old, new, expected):
     assert value(spark, memory.contradicts(F.lit(old), F.lit(new))) is expected
 
@@ -288,3 +343,45 @@ def test_streaming_windows(spark, tmp_path):
     q = pipelines.change_windows(changes).writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.n for r in spark.table("windows").collect()) == [1, 2]
+
+
+def test_unified_recall(spark):
+    assert recall.layers(None) == {"blocks", "graph", "vector"} and recall.layers(["graph", "x"]) == {"graph"}
+    at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    facts = recall.ingested_facts(spark.createDataFrame([("pref", "likes tea", ["t"])], "label string, content string, tags array<string>"), at, "p")
+    ends, ties = recall.ingested_relations(spark.createDataFrame([("a", "b", "KNOWS", 0.0), ("a", "b", "KNOWS", None)], "src string, dst string, type string, weight double"))
+    assert sorted(r.id for r in ends.collect()) == ["a", "b"] and [(r.src, r.weight) for r in ties.collect()] == [("a", 1.0)]
+    hits = spark.createDataFrame([("doc.md", "some text", 0.5)], "source string, content string, score double")
+    text = recall.render(recall.recall(facts, ties, hits))
+    assert text.split("\n") == ["<memory_context>", "<facts>", "- [long] (2024-01-02) likes tea", "</facts>", "<relationships>", "- a -[KNOWS]-> b", "</relationships>", "<relevant_documents>", "--- Document 1 (score: 0.50, source: doc.md) ---", "some text", "</relevant_documents>", "</memory_context>"]
+    assert recall.recall(facts, ties, hits, ["vector"]).count() == 1
+
+
+def test_memory_upkeep(spark):
+    at = F.to_timestamp(F.lit("2024-01-02 03:04:05"))
+    summaries = spark.createDataFrame([("k", "c0", "old")], "key string, conv_id string, text string").withColumn("created_at", F.to_timestamp(F.lit("2023-01-01 00:00:00")))
+    more = memory.with_summary(summaries, "c1", "new", at)
+    assert sorted(r.key for r in more.collect()) == ["20240102_030405_c1", "k"]
+    assert [r.conv_id for r in memory.older_gone(more, at, 30).collect()] == ["c1"]
+    blocks = spark.createDataFrame([("1", "long", "b"), ("1", "short", "a"), ("2", "long", "c")], "id string, tier string, content string")
+    assert memory.lookup(blocks, "1").first().content == "a" and memory.clear_tier(blocks).count() == 0 and memory.lookup(blocks, "9").count() == 0
+
+
+def test_event_stream(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y")], "topic string, v string").select("topic", F.struct("v").alias("payload"))
+    pipelines.published(rows, f"{tmp_path}/topics")
+    out = []
+    q = pipelines.subscribed(spark, f"{tmp_path}/topics", "a").writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.payload for r in out] == [{"v": "x"}]
+
+
+def test_watched_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes(b"one")
+    out = []
+    q = pipelines.watched(spark, f"{tmp_path}/in").writeStream.foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [r.hash for r in out] == [hashlib.sha256(b"one").hexdigest()]
