@@ -57,7 +57,7 @@ def conversation_id(indexes: Column, title: Column, messages: Column, at: Column
 
 def indexes_of_model(model: Column) -> Column:
     """The index names in a model string of the form prefix/a,b."""
-    return F.transform(F.split(F.regexp_extract(model, r"^[^/]*/(.*)$", 1), ","), F.trim)
+    return F.transform(F.split(F.regexp_extract(model, r"^[^/]*/(.*)$", 1), ","), lambda x: F.trim(x))
 
 
 def saved(turns: DataFrame, indexes: DataFrame, at: Column) -> DataFrame:
