@@ -31,10 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut and the rows survive lost executors."""
+    """Write df to the shared folder and read it back: lineage is cut and the rows survive lost executors.
+
+    The table is removed when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 

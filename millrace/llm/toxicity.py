@@ -28,6 +28,8 @@ MODULUS, HELD_OUT, THRESHOLD, BOUND = 3, 1, 0.7, 20_000
 #: Least log-likelihood ratio (nats) of a term, fewest effective toxic documents.
 LEAST_LLR, LEAST_DOCS = 12.0, 4.0
 WINDOW = 6
+#: States of the automaton that are held before it is started anew.
+MOST_STATES = 200_000
 TOKEN = re.compile(r"[^\W_]+")
 QUOTES = re.compile(r"[\"“”«»„]")
 #: Verbs of reporting, in the languages of the corpus.
@@ -63,6 +65,10 @@ class FuzzyLexicon:
                 node = self.children[node][c]
                 self.most[node] = max(self.most[node], terms[term])
             self.allowed[node], self.ends[node] = terms[term], term
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the automaton anew; it grows again as texts need it."""
         self.ids: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.next: list[dict[str, int]] = []
@@ -99,6 +105,8 @@ class FuzzyLexicon:
 
     def near(self, token: str) -> list[str]:
         """The terms that the token may be a misspelling of."""
+        if len(self.states) > MOST_STATES:
+            self.forget()
         state, tables = self.start, self.next
         for c in token if state >= 0 else "":
             following = tables[state].get(c)

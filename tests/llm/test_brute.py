@@ -479,6 +479,50 @@ def test_masks_meet_every_stretch():
             assert any(bits >> p & m == m for m in (int(x[::-1], 2) for x in decontam.MASKS) for p in range(n)), (n, gone)
 
 
+def components_by_brute_force(texts, words, percent):
+    sets = {}
+    for d, t in texts.items():
+        w = t.encode().lower().split()
+        sets[d] = {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} or ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        small, large = sorted((len(sets[a]), len(sets[b])))
+        if small and 100 * small >= percent * large:
+            n = len(sets[a] & sets[b])
+            if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in sets}
+
+
+def test_pipeline_by_brute_force(spark):
+    corpus = pytest.importorskip("corpus_pipeline")
+    from millrace.llm.common import written
+
+    docs, at = spark.read.parquet(f"{SMALL}/documents.parquet"), []
+    for i, (_, stage) in enumerate(corpus.STAGES):
+        docs = written(stage(spark, docs, SMALL), f"test-{i}")
+        at.append([r.asDict() for r in docs.collect()])
+    good, single, clean, mix, dealt = at
+    scores = quality.scored(spark.read.parquet(f"{SMALL}/documents.parquet"), quality.fit(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")))
+    assert {r["doc_id"] for r in good} == {r.doc_id for r in scores.where(f"score >= {quality.THRESHOLD}").collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in good}
+    assert {r["doc_id"] for r in single} == {d for d, c in components_by_brute_force(texts, 5, 80).items() if d == c}
+    items = [x for x in (decontam.TOKEN.findall((r.text or "").lower()) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()) if x]
+    tokens = {r["doc_id"]: decontam.TOKEN.findall((r["text"] or "").lower()) for r in single}
+    assert {r["doc_id"] for r in clean} == {d for d, t in tokens.items() if not any(overlaps_by_brute_force(t, x) for x in items)}
+    assert {r["doc_id"] for r in mix} <= {r["doc_id"] for r in clean} and max(sum(m["doc_id"] == d for m in mix) for d in {m["doc_id"] for m in mix}) <= 3
+    assert sorted(r["doc_id"] for r in dealt) == sorted(r["doc_id"] for r in mix)
+    counts = [sum(r["shard"] == k for r in dealt) for k in range(8)]
+    assert max(counts) - min(counts) <= 1 and all(sorted(r["slot"] for r in dealt if r["shard"] == k) == list(range(n)) for k, n in enumerate(counts))
+
+
 def test_oracles_name_queries():
     assert registered.oracle_sql().keys() <= registered.queries().keys()
     assert {k.split("_")[0] for k in registered.queries()} == {f"op{i}" for i in range(1, 11)}
