@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import cut
 from millrace.functions.vectors import cosine_similarity, metric
+from millrace.operators.ann import query_blocks
 from millrace.operators.bm25 import top_k
 from pyspark.sql.window import Window
 
-#: Queries that one pass holds in memory; a larger set is searched in blocks.
-MAX_QUERIES = 4096
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, name: str = "l2") -> DataFrame:
@@ -27,13 +26,11 @@ def knn(vectors: DataFrame, query: list[float], k: int, name: str = "l2") -> Dat
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, name: str = "l2") -> DataFrame:
     """(qid, id, dist, rank) of each query's exact k nearest.
 
-    The queries are sent to the tasks in blocks of at most MAX_QUERIES; every task keeps k candidates for each query, so
+    The queries are sent to the tasks in blocks of bounded size, one read after another; every task keeps k candidates for each query, so
     no pair of vector and query is ever shuffled. queries: (qid, vec).
     """
-    asked = [(r.qid, r.vec) for r in queries.select("qid", "vec").orderBy("qid").toLocalIterator()]
     out = None
-    for at in range(0, max(1, len(asked)), MAX_QUERIES):
-        block = asked[at : at + MAX_QUERIES]
+    for block in query_blocks(queries):
         part = vectors.select("id", "vec").mapInPandas(_nearest(block, k, name), "qid long, id long, dist double")
         out = part if out is None else out.unionByName(part)
     return top_k(out, k, "dist", ascending=True)
@@ -123,6 +120,11 @@ def resolve(refs: DataFrame, passages: DataFrame) -> DataFrame:
     return parsed.join(passages, "id")
 
 
+def lookup(passages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The passages of the given ids (id); missing ones have no row."""
+    return passages.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def multi_get(passages: DataFrame, ids: list[int]) -> DataFrame:
     """Passages in the order of ids. Fails if one is missing."""
     asked = passages.sparkSession.createDataFrame(list(enumerate(ids)), "pos int, id long")

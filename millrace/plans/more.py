@@ -262,7 +262,7 @@ def memory_promote(spark, t):
 
 @query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 5 = 0")
 def passage_point_lookup(spark, t):
-    return nodes(t).where("id % 5 = 0").select("id", "name")
+    return search.lookup(nodes(t), t("customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"))).select("id", "name")
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(DISTINCT source) FROM documents) AS sources")

@@ -42,7 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and the rows survive lost executors."""
+    """Write df to the shared folder and read it back: lineage is cut, and the rows survive lost executors.
+
+    The table is removed when the driver ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/millrace-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     return df.sparkSession.read.schema(df.schema).parquet(path)
