@@ -69,7 +69,7 @@ class Index:
     MAX_TERMS = 100_000
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._buckets = spark, path, 0
 
     @staticmethod
     def build(passages: DataFrame, path: str, buckets: int = 16) -> Index:
@@ -93,7 +93,8 @@ class Index:
         return self.spark.read.schema("id long, len int").parquet(f"{self.path}/lengths")
 
     def buckets(self) -> int:
-        return self.spark.read.parquet(f"{self.path}/meta").first().buckets
+        self._buckets = self._buckets or self.spark.read.parquet(f"{self.path}/meta").first().buckets
+        return self._buckets
 
     def append(self, passages: DataFrame) -> None:
         """Add the passages whose id the index doesn't have yet."""
