@@ -128,7 +128,12 @@ class Benchmark:
                 found = self._stretch(ids, begin, int(ends[t]), k, p - at, at, len(mask))
                 if found and found[3] > best.get((t, k), (0, 0, 0, 0))[3]:
                     best[t, k] = found
-        return [(t, self.items[k][0], *v) for (t, k), v in sorted(best.items())]
+        named: dict[tuple[int, int | None], tuple[int, int, int, int]] = {}
+        for (t, k), v in sorted(best.items()):
+            key = (t, self.items[k][0])
+            if v[3] > named.get(key, (0, 0, 0, 0))[3]:
+                named[key] = v
+        return [(*key, *v) for key, v in named.items()]
 
     def _stretch(self, ids, begin, end, k, shift, at, span):
         """Item k lies over the tokens from ``shift`` on: the best stretch that meets the thresholds, or None."""
@@ -154,13 +159,15 @@ class Benchmark:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's rows, in blocks of a bounded number of tokens; rows without text are left out."""
-    rows, size = [], 0
+    """The benchmark's rows, in blocks of about BLOCK_TOKENS tokens; rows without text are left out. Rows of one item_id share a block
+    unless they alone are beyond that size."""
+    rows, size, own = [], 0, 0
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         n = len(r.text) // 2 + 1
-        if rows and size + n > BLOCK_TOKENS:
+        if rows and size + n > BLOCK_TOKENS and (r.item_id != rows[-1][0] or own + n > BLOCK_TOKENS):
             yield rows
             rows, size = [], 0
+        own = n + (own if rows and r.item_id == rows[-1][0] else 0)
         rows.append((r.item_id, r.text))
         size += n
     if rows:
@@ -171,7 +178,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id"
     """One row for each document and item that overlap: key, item_id, doc_start, item_start, n_tokens, n_equal (token places).
 
     A null or empty text overlaps with nothing; neither does an item without tokens. Items of fewer than 13 tokens must
-    occur whole. Rows with one key are searched one by one. An item_id that repeats is reported for its best text.
+    occur whole. Rows with one key are searched one by one. An item_id that repeats, a null one too, is
+    reported once, for the text with most equal tokens; only where an item_id's texts exceed a whole block, once for each block.
     """
     kind = dict(documents.dtypes)[key]
     schema = f"`{key}` {kind}, item_id long, doc_start long, item_start long, n_tokens long, n_equal long"

@@ -481,9 +481,8 @@ def store(documents: DataFrame, tensors: bool = False) -> DataFrame:
     extra = ", height int, width int, rgb binary" if tensors else ""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary" + extra
 
-    def run(ids: list, texts: list) -> pd.DataFrame:
-        sized = [padded(t) for t in texts]
-        if len(sized) == 1 and len(sized[0][1]) > BATCH_BYTES:  # part by part, so memory doesn't grow with the text
+    def run(ids: list, sized: list[tuple[int, bytes]]) -> pd.DataFrame:
+        if len(sized[0][1]) > BATCH_BYTES:  # alone; part by part, so memory doesn't grow with the text
             f = b"".join(encode([p])[0] for p in parts_of(sized[0][1]))
             payload, features, planes = read_back(f, tensors)
             done = [(f, payload, features, planes)]
@@ -501,17 +500,18 @@ def store(documents: DataFrame, tensors: bool = False) -> DataFrame:
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            ids, texts, size = [], [], 0
+            ids, sized, size = [], [], 0
             for i, t in zip(frame.doc_id, frame.text):
-                n = len(t or "") + UNIT
-                if ids and size + n > BATCH_BYTES:
-                    yield run(ids, texts)
-                    ids, texts, size = [], [], 0
+                one = padded(t)
+                n = len(one[1])
+                if ids and size + n > BATCH_BYTES:  # so a payload beyond BATCH_BYTES is always alone, and its files depend on nothing else
+                    yield run(ids, sized)
+                    ids, sized, size = [], [], 0
                 ids.append(None if pd.isna(i) else int(i))
-                texts.append(t)
+                sized.append(one)
                 size += n
             if ids:
-                yield run(ids, texts)
+                yield run(ids, sized)
 
     return documents.select("doc_id", "text").mapInPandas(batches, schema)
 

@@ -101,13 +101,22 @@ def mix(documents: DataFrame, seed: int = 29, limit: int = 3) -> DataFrame:
     """documents' columns with _size, _source_size, _target and _copies (how often the mix takes the row).
 
     A null source is a source of its own; a null or blank text has size 0 and is in all whole copies but none of the
-    words. Rows with one doc_id share a draw and are taken together. Tables without any word have targets 0. Columns of
+    words. Each row has a draw of its own: from its doc_id, or, in a table where a doc_id (null included) repeats, from its number in
+    the table, which is written once more with it. Tables without any word have targets 0. Columns of
     documents that begin with ``_`` and clash are replaced.
     """
-    documents = documents.drop("_size", "_source_size", "_target", "_copies")
-    sized = written(documents.select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sizes")
+    documents = documents.drop("_size", "_source_size", "_target", "_copies", "_mix_row")
+    row, key = F.struct(*documents.columns).alias("_row"), "doc_id"
+
+    def sizes() -> DataFrame:
+        return written(documents.select(F.col(key).alias("doc_id"), "source", words(F.col("text")).alias("size")), "mix-sizes")
+
+    sized = sizes()
+    if sized.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        documents, key = written(documents.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows"), "_mix_row"
+        sized = sizes()
     plan, small = plan_mix(sized, seed, limit)
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "doc_id", "source", words(F.col("text")).alias("size"))
+    rows = documents.select(row, F.col(key).alias("doc_id"), "source", words(F.col("text")).alias("size"))
     placed = ordered(rows, plan, seed, small)
     upto = F.struct("v", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d")) <= F.col("cut")
     in_cell = F.when(F.col("cell2") < F.col("cell2_cut"), True).when(F.col("cell2") > F.col("cell2_cut"), False).otherwise(F.coalesce(upto, F.lit(False)))
