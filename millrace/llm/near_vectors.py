@@ -1,14 +1,15 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one representative for each group.
 
-Equal unit vectors of a label are one vector with a weight. Labels of more than CELL_ROWS distinct vectors are cut into cells by
+Equal vectors of a label are one vector with a weight. Labels of more than CELL_ROWS distinct vectors are cut into cells by
 spherical k-means, fitted on at most SAMPLE vectors that a hash chooses; all vectors are assigned. A vector goes to its home
-cell and, as a guest, to each cell whose border (the plane half way between both centroids) it lies near enough to: two
-unit vectors with a cosine of c differ by sqrt(2 - 2c) at most, so a partner beyond the border can't be farther from it
-than that. Every vector thus meets all its partners in its home cell, and no link is lost.
-
-A cell is cut into blocks of about BLOCK vectors by hash, however large it is, and each pair of blocks is a task's matrix product.
-A pair of blocks gives one row for each linked vector: the weight of its partners, and the least vector that it reaches
-there. Pairs of vectors are never listed. The work grows with the square of a cell's distinct vectors.
+cell and, as a guest, to each cell of a smaller number whose border (the plane half way between both centroids) it lies near
+enough to: two unit vectors with a cosine of c differ by sqrt(2 - 2c) at most, so a partner beyond the border can't be
+farther from it than that. Two partners thus meet in the home cell of one of them, and no link is lost.
+
+A cell's residents and its guests are cut into blocks of about BLOCK vectors by hash, however many they are. A block of residents
+is compared with the other blocks, a pair of blocks a task: one matrix product in double precision. It gives one row for
+each linked vector: the weight of its partners, and the least vector that it reaches there. Pairs of vectors are
+never listed. The work grows with the square of a cell's distinct vectors.
 """
 
 from __future__ import annotations
@@ -22,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ball_kmeans import binaries
 from .common import table, written
 from .jaccard import components
 
 LEAST_COSINE = 0.98
 #: Distinct vectors of a label from which it is cut, and about as many for a cell; vectors of a block.
-CELL_ROWS, BLOCK = 512, 512
+CELL_ROWS, BLOCK = 1024, 512
 #: Vectors that the cells are fitted on, and labels that can be cut (the largest). At least SAMPLE_CELL sampled vectors for a cell.
 SAMPLE, CUT_LABELS, SAMPLE_CELL = 20_000, 2_000, 8
 ROUNDS = 8
@@ -37,22 +37,30 @@ MAX_BROADCAST_CELLS = 100_000
 NO_ID = 2**63 - 1
 
 
-def unit_vectors(embeddings: DataFrame) -> DataFrame:
-    """(vec_id, label, u, digest): unit vectors in double precision; u is null for vectors that can't link."""
+def raw_vectors(embeddings: DataFrame) -> tuple[DataFrame, str]:
+    """(vec_id, label, v, digest): the bytes of each vector as it is stored (4 or 8 a component); v is null for vectors that can't link.
+
+    And numpy's name of a component's type.
+    """
     kinds = dict(embeddings.dtypes)
+    kind = "float" if kinds["embedding"] == "array<float>" else "double"
+    c = F.col("embedding")
+    good = F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(c, lambda x: x != 0)
+    rows = embeddings.select("vec_id", "label", F.when(good, c).cast(f"array<{kind}>").alias("embedding"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column(2).to_pandas():
-                x = np.array([] if v is None else v, np.float64)  # null components become NaN
-                top = np.abs(x).max(initial=0.0)
-                good = len(x) and np.isfinite(top) and top > 0
-                out.append((x / top / np.linalg.norm(x / top)).tobytes() if good else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "u"])
+            out = [None if v is None else v.tobytes() for v in b.column(2).to_pandas()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["vec_id", "label", "v"])
 
-    rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, u binary").withColumn("digest", F.md5("u"))
+    return rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, v binary").withColumn("digest", F.md5("v")), "<f4" if kind == "float" else "<f8"
+
+
+def units(v: bytes, n: int, dtype: str) -> np.ndarray:
+    """n vectors of equal length from their bytes, scaled to length 1 in double precision."""
+    x = np.frombuffer(v, dtype).astype(np.float64).reshape(n, -1)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def spherical_kmeans(x: np.ndarray, k: int, least_cosine: float, seed: int = 5) -> np.ndarray:
@@ -81,40 +89,40 @@ def spherical_kmeans(x: np.ndarray, k: int, least_cosine: float, seed: int = 5)
     return c[kept]
 
 
-def fit_cells(distinct: DataFrame, least_cosine: float) -> dict:
+def fit_cells(distinct: DataFrame, least_cosine: float, dtype: str) -> dict:
     """{label: centroids} of the labels that are cut: at most SAMPLE / SAMPLE_CELL centroids together."""
-    sizes = distinct.groupBy("label", F.octet_length("u").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = distinct.groupBy("label", F.octet_length("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     big = {(r.label, r["size"]): r.n for r in sizes.where(F.col("n") > CELL_ROWS).orderBy(F.desc("n"), "label", "size").limit(CUT_LABELS).collect()}
     if not big:
         return {}
     spark = distinct.sparkSession
     wanted = spark.createDataFrame([(label, size) for label, size in big], f"label {dict(distinct.dtypes)['label']}, size int")
-    sample = distinct.withColumn("size", F.octet_length("u")).join(F.broadcast(wanted), ["label", "size"]).orderBy("digest").limit(SAMPLE).select("label", "size", "u").collect()
+    sample = distinct.withColumn("size", F.octet_length("v")).join(F.broadcast(wanted), ["label", "size"]).orderBy("digest").limit(SAMPLE).select("label", "size", "v").collect()
     by: dict = {}
     for r in sample:
-        by.setdefault((r.label, r["size"]), []).append(np.frombuffer(r.u))
+        by.setdefault((r.label, r["size"]), []).append(r.v)
     cells = {}
     for key, own in by.items():
         k = min(math.ceil(big[key] / CELL_ROWS), len(own) // SAMPLE_CELL)
         if k > 1:
-            cells[key] = spherical_kmeans(np.stack(own), k, least_cosine)
+            cells[key] = spherical_kmeans(units(b"".join(own), len(own), dtype), k, least_cosine)
     return cells
 
 
-def to_cells(distinct: DataFrame, cells: dict, least_cosine: float) -> DataFrame:
-    """(label, size, cell, home, rid, weight, u): each vector in its home cell and, as a guest, in those whose border is near."""
+def to_cells(distinct: DataFrame, cells: dict, least_cosine: float, dtype: str) -> DataFrame:
+    """(label, size, cell, home, rid, weight, v): each vector in its home cell and, as a guest, in those of smaller number whose border is near."""
     reach = math.sqrt(2 - 2 * least_cosine)
     between = {key: np.linalg.norm(c[:, None] - c[None], axis=2) * reach + 1e-9 for key, c in cells.items()}
     kind = dict(distinct.dtypes)["label"]
-    schema = f"label {kind}, size int, cell int, home boolean, rid long, weight long, u binary"
+    schema = f"label {kind}, size int, cell int, home boolean, rid long, weight long, v binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             by: dict = {}
-            u = b.column(3).to_pylist()
+            v = b.column(3).to_pylist()
             for i, label in enumerate(b.column(0).to_pylist()):
-                by.setdefault((label, len(u[i])), []).append(i)
+                by.setdefault((label, len(v[i])), []).append(i)
             at, cell, home = [], [], []
             for key, own in by.items():
                 own = np.array(own)
@@ -123,33 +131,38 @@ def to_cells(distinct: DataFrame, cells: dict, least_cosine: float) -> DataFrame
                     cell.append(np.zeros(len(own), np.int32))
                     home.append(np.ones(len(own), bool))
                     continue
-                s = np.frombuffer(b"".join(u[i] for i in own)).reshape(len(own), -1) @ cells[key].T
+                s = units(b"".join(v[i] for i in own), len(own), dtype) @ cells[key].T
                 best = s.argmax(1)
-                i, j = np.nonzero(s[np.arange(len(own)), best][:, None] - s <= between[key][best])
+                there = s[np.arange(len(own)), best][:, None] - s <= between[key][best]
+                there &= np.arange(s.shape[1]) <= best[:, None]
+                i, j = np.nonzero(there)
                 at.append(own[i])
                 cell.append(j.astype(np.int32))
                 home.append(best[i] == j)
             if at:
                 at = pa.array(np.concatenate(at))
-                columns = [b.column(0).take(at), pa.array([len(u[i]) for i in at.to_pylist()], pa.int32()), pa.array(np.concatenate(cell)), pa.array(np.concatenate(home)), b.column(1).take(at), b.column(2).take(at), b.column(3).take(at)]
+                columns = [b.column(0).take(at), pa.array([len(v[i]) for i in at.to_pylist()], pa.int32()), pa.array(np.concatenate(cell)), pa.array(np.concatenate(home)), b.column(1).take(at), b.column(2).take(at), b.column(3).take(at)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return written(distinct.select("label", "rid", "weight", "u").mapInArrow(run, schema), "near-cells")
+    return written(distinct.select("label", "rid", "weight", "v").mapInArrow(run, schema), "near-cells")
 
 
 def in_blocks(placed: DataFrame) -> DataFrame:
-    """(label, size, cell, block, blocks, rids, weights, homes, u): each cell's vectors, packed by block."""
+    """(label, size, cell, block, residents, blocks, rids, weights, v): each cell's vectors, packed by block; blocks of residents come first."""
     key = ["label", "size", "cell"]
-    counts = placed.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count_if("home").alias("homes")).where("homes > 0").drop("homes")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    counts = placed.groupBy(key).agg(blocks(F.count_if("home")).alias("residents"), blocks(F.count_if(~F.col("home"))).alias("guests")).where("residents > 0")
     counts = written(counts, "near-counts")
     sizes = F.broadcast(counts) if counts.count() <= MAX_BROADCAST_CELLS else counts
-    dealt = placed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    schema = f"label {dict(placed.dtypes)['label']}, size int, cell int, block int, blocks int, rids binary, weights binary, homes binary, u binary"
+    h = F.xxhash64("rid")
+    block = F.when(F.col("home"), F.pmod(h, "residents")).otherwise(F.col("residents") + F.pmod(h, F.greatest("guests", F.lit(1))))
+    dealt = placed.join(sizes, key).withColumns({"block": block.cast("int"), "blocks": F.col("residents") + F.col("guests")})
+    schema = f"label {dict(placed.dtypes)['label']}, size int, cell int, block int, residents int, blocks int, rids binary, weights binary, v binary"
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("rid")
         first = f.iloc[0]
-        return pd.DataFrame([(first.label, first["size"], first.cell, first.block, first.blocks, f.rid.to_numpy(np.int64).tobytes(), f.weight.to_numpy(np.int64).tobytes(), f.home.to_numpy(bool).tobytes(), b"".join(f.u))], columns=[x.split()[0] for x in schema.split(", ")])
+        return pd.DataFrame([(first.label, first["size"], first.cell, first.block, first.residents, first.blocks, f.rid.to_numpy(np.int64).tobytes(), f.weight.to_numpy(np.int64).tobytes(), b"".join(f.v))], columns=[x.split()[0] for x in schema.split(", ")])
 
     return written(dealt.groupBy(*key, "block").applyInPandas(pack, schema), "near-blocks")
 
@@ -167,18 +180,19 @@ def joined_parts(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = new
 
 
-def compare(blocks: DataFrame, least_cosine: float) -> DataFrame:
-    """(rid, links, to): for each pair of blocks and linked vector the weight of its partners (if it is at home), and a vector it reaches."""
+def compare(blocks: DataFrame, least_cosine: float, dtype: str) -> DataFrame:
+    """(rid, links, to): for each pair of blocks and linked vector the weight of its partners, and a vector it reaches."""
     key = ["label", "size", "cell"]
-    left = blocks.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "one")
-    right = blocks.withColumn("one", F.explode(F.sequence(F.lit(0), "block"))).withColumnRenamed("block", "other")
+    left = blocks.where("block < residents").withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1))).withColumnRenamed("block", "one")
+    right = blocks.withColumn("one", F.explode(F.sequence(F.lit(0), F.least("block", F.col("residents") - 1)))).withColumnRenamed("block", "other")
 
     def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if not len(l) or not len(r):  # a block that is empty by the hash
+            return pd.DataFrame({"rid": [], "links": [], "to": []})
         one, two = l.iloc[0], r.iloc[0]
-        dim = int(one["size"]) // 8
-        (ids, w, home, x), (ids2, w2, home2, y) = ((np.frombuffer(p.rids, np.int64), np.frombuffer(p.weights, np.int64), np.frombuffer(p.homes, bool), np.frombuffer(p.u).reshape(-1, dim)) for p in (one, two))
+        (ids, w), (ids2, w2) = ((np.frombuffer(p.rids, np.int64), np.frombuffer(p.weights, np.int64)) for p in (one, two))
         same = one.one == one.other
-        linked = x @ y.T >= least_cosine
+        linked = units(one.v, len(ids), dtype) @ units(two.v, len(ids2), dtype).T >= least_cosine
         if same:
             np.fill_diagonal(linked, False)
         if not linked.any():
@@ -187,7 +201,7 @@ def compare(blocks: DataFrame, least_cosine: float) -> DataFrame:
         least = np.full(len(ids), NO_ID)
         np.minimum.at(least, a[a >= 0], ids[a >= 0])
         np.minimum.at(least, b[b >= 0], ids2[b >= 0])
-        out = [(ids, np.where(home, linked @ w2, 0), a)] + ([] if same else [(ids2, np.where(home2, w @ linked, 0), b)])
+        out = [(ids, linked @ w2, a)] + ([] if same else [(ids2, w @ linked, b)])
         return pd.concat(pd.DataFrame({"rid": i[p >= 0], "links": n[p >= 0], "to": least[p[p >= 0]]}) for i, n, p in out)
 
     return written(left.groupBy(*key, "one", "other").cogroup(right.groupBy(*key, "one", "other")).applyInPandas(run, "rid long, links long, to long"), "near-links")
@@ -201,11 +215,12 @@ def near_vectors(embeddings: DataFrame, least_cosine: float = LEAST_COSINE) -> D
     linked, and share an id as class id. A null vec_id counts as larger than all others; a class of such rows only has a null
     component_id, and all its rows are kept. Other columns are ignored. An empty table gives no rows.
     """
-    rows = written(unit_vectors(embeddings), "near-rows")
-    one = rows.where("u is not null and label is not null").groupBy("label", "digest", "u").agg(F.count(F.lit(1)).alias("weight"), F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("least"))
+    raw, dtype = raw_vectors(embeddings)
+    rows = written(raw, "near-rows")
+    one = rows.where("v is not null and label is not null").groupBy("label", "digest", "v").agg(F.count(F.lit(1)).alias("weight"), F.min(F.coalesce("vec_id", F.lit(NO_ID))).alias("least"))
     distinct = written(one.withColumn("rid", F.monotonically_increasing_id()), "near-distinct")
-    cells = fit_cells(distinct, least_cosine)
-    found = compare(in_blocks(to_cells(distinct, cells, least_cosine)), least_cosine)
+    cells = fit_cells(distinct, least_cosine, dtype)
+    found = compare(in_blocks(to_cells(distinct, cells, least_cosine, dtype)), least_cosine, dtype)
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     parts = written(components(found.where("rid <> to").select(F.col("rid").alias("a"), F.col("to").alias("b")).distinct()).withColumnRenamed("rep", "rid"), "near-parts")
     named = distinct.select("rid", "label", "digest", "weight", "least")

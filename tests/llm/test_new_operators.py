@@ -161,18 +161,18 @@ def test_near_vectors(spark, monkeypatch, cell):
 
 
 def test_cells_meet_all_partners(spark, monkeypatch):
-    """Each linked pair meets in the home cell of both, also where a border runs between them."""
+    """Each linked pair meets in the home cell of one, also where a border runs between them."""
     monkeypatch.setattr(near_vectors, "CELL_ROWS", 40)
     v = np.array(vectors(8, 100, 4, 9, 0.5))
     u = v / np.linalg.norm(v, axis=1)[:, None]
-    distinct = spark.createDataFrame([(1, i, 1, bytearray(x.tobytes())) for i, x in enumerate(u)], "label int, rid long, weight long, u binary").withColumn("digest", F.md5("u"))
-    cells = near_vectors.fit_cells(distinct, 0.98)
-    placed = near_vectors.to_cells(distinct, cells, 0.98).collect()
+    distinct = spark.createDataFrame([(1, i, 1, bytearray(x.tobytes())) for i, x in enumerate(u)], "label int, rid long, weight long, v binary").withColumn("digest", F.md5("v"))
+    cells = near_vectors.fit_cells(distinct, 0.98, "<f8")
+    placed = near_vectors.to_cells(distinct, cells, 0.98, "<f8").collect()
     home, there = {r.rid: r.cell for r in placed if r.home}, {(r.rid, r.cell) for r in placed}
     assert len(home) == len(u) and len(set(home.values())) > 3 and len(placed) > len(u)
     a, b = np.nonzero(u @ u.T >= 0.98)
     assert any(home[i] != home[j] for i, j in zip(a.tolist(), b.tolist()))
-    assert all((i, home[j]) in there for i, j in zip(a.tolist(), b.tolist()))
+    assert all((i, home[j]) in there or (j, home[i]) in there for i, j in zip(a.tolist(), b.tolist()))
 
 
 def test_near_vectors_edges(spark):
