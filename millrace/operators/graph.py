@@ -1,57 +1,29 @@
 """Property-graph operators over edges (src, dst[, weight, type]) and nodes (id, ...).
 
 Walks are frontier joins with a bounded number of rounds. Each round is written to the shared folder, so a plan never holds more
-than one round, whatever the depth. Iterations over a graph that a count shows to be small (LOCAL_EDGES) run
-in one task on arrays; larger graphs are joined round by round.
+than one round, whatever the depth. PageRank, blast radius and Louvain push values along edges that are stored once in
+buckets of their source (``Links``); a round shuffles values, never edges, and every size of graph takes the same path.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalars import risk_level
 from millrace.operators.incremental import with_ids
+from millrace.operators.links import Links
 from millrace.session import written
 
-#: Edges (and nodes) up to which a graph is held in one task: 24 bytes an edge.
-LOCAL_EDGES = 2_000_000
+#: Sources whose walks go on at once: a node holds at most an eighth of this in bytes of masks.
+SOURCES = 65_536
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     return written(df, "graph")
 
 
-def is_local(nodes: DataFrame, edges: DataFrame, bound: int = LOCAL_EDGES) -> bool:
-    return edges.limit(bound + 1).count() <= bound and nodes.limit(bound + 1).count() <= bound
-
-
-def in_one_task(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
-    """run(ids, src, dst, weight) on arrays; ids ascend, src and dst are places in them or -1. The caller has checked the size."""
-    weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
-    rows = nodes.select(F.col("id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("weight")).unionByName(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight")))
-
-    def hold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f = pd.concat(frames) if (frames := list(frames)) else pd.DataFrame({"src": [], "dst": [], "weight": []})
-        plain = f.dst.isna()
-        ids = np.unique(f.src[plain].to_numpy(np.int64))
-        src, dst, w = f.src[~plain].to_numpy(np.int64), f.dst[~plain].to_numpy(np.int64), f.weight[~plain].to_numpy(np.float64)
-        order = np.lexsort((dst, src))
-
-        def place(x: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
-            return np.where(ids[at] == x, at, -1) if len(ids) else np.full(len(x), -1)
-
-        yield run(ids, place(src[order]), place(dst[order]), w[order])
-
-    return rows.repartition(1).mapInPandas(hold, schema)
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, out_degree, in_degree, degree)."""
     both = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
@@ -136,33 +108,28 @@ def shortest_path(edges: DataFrame, start: int, goal: int, limit: int = 10, both
     return front.where("false").select("path", (F.size("path") - 1).alias("steps"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, rank) after a fixed number of rounds; the rank of nodes without out-edges is shared by all."""
-
-    def ranks_of(ids, src, dst, _) -> pd.DataFrame:
-        n = len(ids)
-        rank, outs = np.full(n, 1.0 / max(n, 1)), np.bincount(src[src >= 0], minlength=n).astype(float)
-        inner = (src >= 0) & (dst >= 0)
-        a, b = src[inner], dst[inner]
-        for _ in range(rounds if n else 0):
-            given = np.bincount(b, weights=rank[a] / outs[a], minlength=n)
-            rank = (1 - damping) / n + damping * (given + rank[outs == 0].sum() / n)
-        return pd.DataFrame({"id": ids, "rank": rank})
-
-    if is_local(nodes, edges, local_edges):
-        return in_one_task(nodes, edges.select("src", "dst"), ranks_of, "id long, rank double")
-    n = nodes.count()
-    out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("outs"))
-    links = cut_lineage(edges.select("src", "dst").join(out, "src"))
-    ranks = cut_lineage(nodes.select("id").distinct().join(out.withColumnRenamed("src", "id"), "id", "left").withColumn("rank", F.lit(1.0 / max(n, 1))))
-    for _ in range(rounds):
-        loose = ranks.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")).first().loose
-        given = links.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
-        new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.lit(loose / n))
-        ranks = cut_lineage(ranks.drop("rank").join(given, "id", "left").select("id", "outs", new.alias("rank")))
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 30) -> DataFrame:
+    """(id, rank) after a fixed number of rounds; the rank of nodes without out-edges is shared by all.
+
+    Edges are bucketed once. A round joins the ranks to them, adds up by target (in part before the shuffle) and writes the ranks.
+    """
+    n = max(nodes.select("id").distinct().count(), 1)
+    with Links(edges.select("src", "dst")) as links:
+        out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("outs"))
+        ranks = cut_lineage(nodes.select("id").distinct().join(out, "id", "left").withColumn("rank", F.lit(1.0 / n)))
+        for _ in range(rounds):
+            ranks = cut_lineage(pagerank_round(links, ranks, damping, n))
     return ranks.select("id", "rank")
 
 
+def pagerank_round(links: Links, ranks: DataFrame, damping: float, n: int) -> DataFrame:
+    """The next (id, outs, rank) of all nodes."""
+    loose = F.broadcast(ranks.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")))  # one row
+    given = links.meet(ranks.where("outs is not null").select("id", (F.col("rank") / F.col("outs")).alias("share"))).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
+    new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
+    return ranks.drop("rank").join(given, "id", "left").join(loose).select("id", "outs", new.alias("rank"))
+
+
 def blast_radius(edges: DataFrame, start: int, ranks: DataFrame, depth: int = 3) -> DataFrame:
     """One row: nodes within depth steps either way (without start) and their share of all rank."""
     near = reach(edges, edges.sparkSession.createDataFrame([(start,)], "id long"), depth, both_ways=True).where("depth > 0")
@@ -170,48 +137,45 @@ def blast_radius(edges: DataFrame, start: int, ranks: DataFrame, depth: int = 3)
     return near.join(ranks, "id").agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass")).join(F.broadcast(total)).select("nodes", (F.col("mass") / F.col("total")).alias("share"))
 
 
-def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, blast) for all nodes of ranks: the share of all rank within depth steps either way.
+def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, sources: int = SOURCES) -> DataFrame:
+    """(id, blast) for all nodes of ranks: the share of all rank within depth steps either way, the node itself left out.
 
-    A small graph is sent to the tasks, which walk from their nodes. In a larger one, each round joins every node's set with
-    its neighbours; such sets grow with the depth, so ask for few nodes there (blast_radius) or a small depth.
+    All nodes walk at once, 64 of them in a word: a row (id, block, seen, front) says which sources of a block have reached
+    id, and which in the last round. A round pushes the fronts along the edges and ORs them by (id, block). ``sources`` walks
+    go on together, so a node never has more than sources / 64 rows of a fixed width; further sources take further passes.
     """
-    if is_local(ranks, edges, local_edges):
-        held = edges.select("src", "dst").where("src <> dst").toPandas()
-        by = ranks.select("id", "rank").toPandas()
-        ids = np.unique(np.concatenate([by.id, held.src, held.dst]).astype(np.int64))  # a walk may pass ends that have no rank
-        rank = np.zeros(len(ids))
-        rank[np.searchsorted(ids, by.id)] = by["rank"]
-        a, b = np.searchsorted(ids, held.src), np.searchsorted(ids, held.dst)
-        pairs = np.unique(np.concatenate([np.stack([a, b], 1), np.stack([b, a], 1)]), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        begin, to, total = np.searchsorted(pairs[:, 0], np.arange(len(ids) + 1)), pairs[:, 1], rank.sum()
-
-        def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                out = []
-                for i in np.searchsorted(ids, f.id.to_numpy(np.int64)).tolist():
-                    seen = np.zeros(len(ids), bool)
-                    seen[i] = True
-                    front = np.array([i])
-                    for _ in range(depth):
-                        sizes = begin[front + 1] - begin[front]
-                        near = to[np.repeat(begin[front + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())] if sizes.sum() else np.zeros(0, np.int64)
-                        front = np.unique(near[~seen[near]])
-                        seen[front] = True
-                    seen[i] = False
-                    out.append(rank[seen].sum() / total if total else 0.0)
-                yield pd.DataFrame({"id": f.id, "blast": out})
-
-        return ranks.select(F.col("id").cast("long").alias("id")).repartition(max(1, min(64, len(ids) // 256))).mapInPandas(walk, "id long, blast double")
-    step = edges.select("src", "dst").where("src <> dst")
-    step = cut_lineage(step.unionByName(step.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    pairs = step
-    for _ in range(depth - 1):
-        further = pairs.join(step.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst"))
-        pairs = cut_lineage(pairs.unionByName(further).where("src <> dst").distinct())
-    total = ranks.agg(F.sum("rank").alias("total"))
-    mass = pairs.join(ranks.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum("rank").alias("mass"))
-    return ranks.select("id").join(mass, "id", "left").join(F.broadcast(total)).select("id", (F.coalesce("mass", F.lit(0.0)) / F.col("total")).alias("blast"))
+    both = edges.select("src", "dst").where("src <> dst")
+    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    known = cut_lineage(ranks.select(F.col("id").alias("node"), "rank"))
+    known = cut_lineage(with_ids(known, ["node"]).select(F.col("node").alias("id"), F.col("id").alias("number"), "rank"))
+    n = known.count()
+    block, bit = F.floor(F.col("number") / 64), F.expr("shiftleft(1L, cast(number % 64 as int))")
+    masses = []
+    with Links(both) as links:
+        for low in range(0, n, sources):
+            own = known.where(F.col("number").between(low, low + sources - 1))
+            state = own.select("id", block.alias("block"), bit.alias("seen"), bit.alias("front"))
+            for _ in range(depth):
+                pushed = links.meet(state.where("front <> 0").select("id", "block", "front")).select(F.col("dst").alias("id"), "block", F.lit(0).cast("long").alias("seen"), "front")
+                state = pushed.unionByName(state.select("id", "block", "seen", F.lit(0).cast("long").alias("front")))
+                state = state.groupBy("id", "block").agg(F.bit_or("seen").alias("old"), F.bit_or("front").alias("came"))
+                state = cut_lineage(state.select("id", "block", F.expr("old | came").alias("seen"), F.expr("came & ~old").alias("front")))
+            others = F.when(block == F.col("block"), F.col("seen").bitwiseAND(F.bitwise_not(bit))).otherwise(F.col("seen"))
+            reached = state.join(known, "id").select("block", "rank", others.alias("mask"))
+            sums = F.array(*(F.sum(F.when(F.expr(f"mask & shiftleft(1L, {k})") != 0, F.col("rank"))) for k in range(64)))
+            by_block = reached.groupBy("block").agg(sums.alias("masses"))
+            masses.append(cut_lineage(by_block.select("block", F.posexplode("masses").alias("k", "mass")).select((F.col("block") * 64 + F.col("k")).alias("number"), "mass")))
+    total = F.broadcast(known.agg(F.sum("rank").alias("total")))  # one row
+    found = known
+    if masses:
+        mass = masses[0]
+        for more in masses[1:]:
+            mass = mass.unionByName(more)
+        found = known.join(mass, "number", "left")
+    else:
+        found = known.withColumn("mass", F.lit(0.0))
+    share = F.when(F.col("total") > 0, F.coalesce("mass", F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    return found.join(total).select("id", share.alias("blast"))
 
 
 def risk(ranks: DataFrame, edges: DataFrame, blast: DataFrame) -> DataFrame:
@@ -231,48 +195,70 @@ def god_nodes(edges: DataFrame, threshold: int = 5, k: int = 20) -> DataFrame:
     return degrees(edges).where(F.col("degree") >= threshold).orderBy(F.desc("degree"), "id").limit(k)
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 50, least: float = 1e-10, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(id, community) by local moving: nodes in order of id join the neighbouring community of largest modularity gain, pass
-    after pass, till none moves. Ties go to the smaller community; communities are numbered by their smallest member.
+def louvain(nodes: DataFrame, edges: DataFrame, passes: int = 500, least: float = 1e-10) -> DataFrame:
+    """(id, community) by local moving: nodes join the neighbouring community of largest modularity gain, round after round,
+    till none gains more than ``least``. Ties go to the smaller community; communities are numbered by their smallest member.
 
-    One node's move changes the next one's choice, so this runs in one task and only up to ``local_edges``; larger graphs
-    take label propagation (``communities``), as a sequential pass over them isn't distributed.
+    Many nodes move in a round. Think of them as moving one after another, in an order that a hash gives anew in each round.
+    A node moves if its gain outlasts the worst that moves before it can do: neighbours who leave its new community or come to
+    its old one, and strength that gathers in the one or leaves the other (added up by powers of two of the order, not by
+    node). So each move raises the modularity, whatever others do, no move is undone by another of its round, and the rounds
+    end where no node gains. ``passes`` rounds that didn't suffice raise an error.
     """
-    if not is_local(nodes, edges, local_edges):
-        return communities(nodes, edges)
-
-    def moved(ids, src, dst, weight) -> pd.DataFrame:
-        inner = (src >= 0) & (dst >= 0)
-        a, b, w = np.concatenate([src[inner], dst[inner]]), np.concatenate([dst[inner], src[inner]]), np.concatenate([weight[inner]] * 2)
-        order = np.argsort(a, kind="stable")
-        begin, to, w = np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist(), b[order].tolist(), w[order].tolist()
-        strength = np.bincount(a[order], weights=w, minlength=len(ids)).tolist() if len(a) else [0.0] * len(ids)
-        comm, total, m2 = list(range(len(ids))), list(strength), sum(strength)
-        for _ in range(passes if m2 else 0):
-            quiet = True
-            for i in range(len(ids)):
-                near: dict[int, float] = {}
-                for j in range(begin[i], begin[i + 1]):
-                    near[comm[to[j]]] = near.get(comm[to[j]], 0.0) + w[j]
-                own, k = comm[i], strength[i]
-                stay = near.get(own, 0.0) - (total[own] - k) * k / m2
-                best, gain = own, 0.0
-                for c in sorted(near):
-                    delta = 2.0 * (near[c] - total[c] * k / m2 - stay) / m2
-                    if c != own and delta > gain:
-                        best, gain = c, delta
-                if best != own and gain > least:
-                    total[own] -= k
-                    total[best] += k
-                    comm[i], quiet = best, False
-            if quiet:
+    ids = nodes.select("id").distinct()
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    both = cut_lineage(undirected(inner).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("weight").cast("double").alias("weight")))
+    m2 = both.agg(F.sum("weight").alias("m2")).first().m2
+    strength = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    labels = cut_lineage(ids.join(strength, "id", "left").select("id", F.col("id").alias("community"), F.coalesce("k", F.lit(0.0)).alias("k")))
+    with Links(both) as links:
+        for i in range(passes if m2 else 0):
+            wish = cut_lineage(wishes(links, labels, m2, least, i))
+            if not wish.limit(1).count():
                 break
-        first: dict[int, int] = {}
-        for i, c in enumerate(comm):
-            first.setdefault(c, int(ids[i]))
-        return pd.DataFrame({"id": ids, "community": [first[c] for c in comm]})
-
-    return in_one_task(nodes, edges, moved, "id long, community long")
+            moved = allowed(links, wish, m2).select("id", "to")
+            labels = cut_lineage(labels.join(moved, "id", "left").select("id", F.coalesce("to", "community").alias("community"), "k"))
+        else:
+            if m2:
+                raise RuntimeError(f"nodes still move after {passes} rounds")
+    names = labels.groupBy("community").agg(F.min("id").alias("first"))
+    return cut_lineage(labels.join(names, "community").select("id", F.col("first").alias("community")))
+
+
+def wishes(links: Links, labels: DataFrame, m2: float, least: float, turn: int) -> DataFrame:
+    """(id, own, to, k, gain, place, level): nodes that gain by moving. gain is in units of weight; the smaller place moves first."""
+    totals = labels.groupBy("community").agg(F.sum("k").alias("total"))
+    known = labels.join(totals, "community")
+    near = links.meet(known.select("id", F.col("community").alias("to"), "total")).groupBy(F.col("dst").alias("id"), "to").agg(F.sum("weight").alias("w"), F.first("total").alias("to_total"))
+    mine = near.join(known, "id")
+    worth = F.round(F.col("w") - F.col("to_total") * F.col("k") / m2, 12)
+    best = mine.groupBy("id").agg(
+        F.max(F.when(F.col("to") != F.col("community"), F.struct(worth.alias("worth"), (-F.col("to")).alias("less")))).alias("best"),
+        F.coalesce(F.max(F.when(F.col("to") == F.col("community"), F.col("w"))), F.lit(0.0)).alias("kept"),
+        F.first("community").alias("own"), F.first("k").alias("k"), F.first("total").alias("total"))
+    stay = F.col("kept") - (F.col("total") - F.col("k")) * F.col("k") / m2
+    rows = best.where("best is not null").select("id", "own", (-F.col("best.less")).alias("to"), "k", (F.col("best.worth") - stay).alias("gain"))
+    place = F.shiftrightunsigned(F.xxhash64("id", F.lit(turn)), 1)
+    level = F.floor(F.log2(F.greatest(place, F.lit(1)).cast("double"))).cast("int")
+    return rows.where(2 * F.col("gain") / m2 > least).withColumn("place", place).withColumn("level", level)
+
+
+def allowed(links: Links, wish: DataFrame, m2: float) -> DataFrame:
+    """The wishes whose gain outlasts all wishes before them (see ``louvain``)."""
+    before = links.meet(wish.select("id", F.col("own").alias("p_own"), F.col("to").alias("p_to"), F.col("place").alias("p_place"))).where("src <> dst")
+    first = F.struct("p_place", "src") < F.struct("place", "id")
+    leaves, comes = (F.col("p_own") == F.col("to")).cast("int"), (F.col("p_to") == F.col("own")).cast("int")
+    harm = before.join(wish.select("id", "own", "to", "place"), before.dst == F.col("id")).where(first & (leaves + comes > 0))
+    harm = harm.groupBy("id").agg(F.sum(F.col("weight") * (leaves + comes)).alias("harm"))
+    touched = wish.select(F.explode(F.array("own", "to")).alias("community"), "level", "k").groupBy("community", "level").agg(F.sum("k").alias("k"))
+    # at most 63 levels a community
+    w = Window.partitionBy("community").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    drift = touched.select("community", "level", F.sum("k").over(w).alias("sum"))
+    rows = wish.join(harm, "id", "left")
+    for end in ("own", "to"):
+        rows = rows.join(drift.select(F.col("community").alias(end), "level", F.col("sum").alias(f"{end}_sum")), [end, "level"])
+    lost = F.coalesce("harm", F.lit(0.0)) + F.col("k") * F.greatest(F.col("own_sum") + F.col("to_sum") - 2 * F.col("k"), F.lit(0.0)) / m2
+    return rows.where(F.col("gain") > lost)
 
 
 def improvable(edges: DataFrame, labels: DataFrame, least: float = 1e-9) -> DataFrame:

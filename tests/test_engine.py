@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import chunking, scalars, text, vectors
 from millrace.operators import ann, bm25, chunks, conversations, diskann, graph, incremental, memory, recall, search
 from millrace.operators.filters import Filter, condition, filter_rows, parse_filters
+from millrace.operators.links import Links
 from millrace.sources import readers, sinks
 from millrace.streaming import pipelines
 
@@ -153,16 +154,65 @@ def test_robust_prune():
     assert diskann.Vamana(x[:4], 3).prune(0, np.array([1, 2, 3]), np.array([1.0, 4, 9]), 1.0).tolist() == [1, 3]
 
 
-def test_large_graph_paths(spark):
-    """Beyond LOCAL_EDGES, joins give what arrays give."""
-    rng = np.random.default_rng(5)
-    e = edge_table(spark, *{(int(a), int(b)) for a, b in rng.integers(0, 40, (90, 2)) if a != b})
-    n = node_table(spark, 40)
-    one, two = (sorted((r.id, round(r["rank"], 9)) for r in graph.pagerank(n, e, rounds=6, local_edges=b).collect()) for b in (10**6, 0))
-    assert one == two
-    ranks = graph.pagerank(n, e)
-    one, two = (sorted((r.id, round(r.blast, 9)) for r in graph.blast_shares(e, ranks, 2, local_edges=b).collect()) for b in (10**6, 0))
-    assert one == two
+def random_graph(seed, n, m):
+    rng = np.random.default_rng(seed)
+    return sorted({(int(a), int(b)) for a, b in rng.integers(0, n, (m, 2)) if a != b})
+
+
+def test_pagerank_and_blast_by_brute_force(spark):
+    """Ends that aren't nodes, nodes without edges, several passes of walks and hub edges apart from the buckets."""
+    pairs, n = random_graph(5, 150, 260), 140
+    e, nodes = edge_table(spark, *pairs), node_table(spark, n)
+    rank, outs = np.full(n, 1 / n), np.bincount([a for a, _ in pairs], minlength=200)
+    for _ in range(6):
+        given = np.zeros(n)
+        for a, b in pairs:
+            if a < n and b < n:
+                given[b] += rank[a] / outs[a]
+        rank = 0.15 / n + 0.85 * (given + rank[outs[:n] == 0].sum() / n)
+    ranks = graph.cut_lineage(graph.pagerank(nodes, e, rounds=6))
+    assert [r["rank"] for r in ranks.orderBy("id").collect()] == pytest.approx(rank.tolist(), abs=1e-12)
+    near = {i: set() for i in range(150)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = []
+    for i in range(n):
+        seen = {i}
+        for _ in range(3):
+            seen |= {y for x in seen for y in near[x]}
+        want.append(sum(rank[x] for x in seen - {i} if x < n) / rank.sum())
+    got = [r.blast for r in graph.blast_shares(e, ranks, 3, sources=64).orderBy("id").collect()]
+    assert got == pytest.approx(want, abs=1e-12)
+    assert graph.blast_shares(e.limit(0), ranks.limit(0)).count() == 0 and graph.pagerank(nodes.limit(0), e.limit(0)).count() == 0
+
+
+def test_links_keep_edges_in_place(spark):
+    """A round's plan shuffles no edges; hubs are read apart and lose none."""
+    e = edge_table(spark, *[(0, i) for i in range(1, 60)], *[(i, i + 1) for i in range(1, 60)], (None, 3), (4, None))
+    ranks = graph.cut_lineage(spark.range(61).select("id", F.lit(2).cast("long").alias("outs"), F.lit(0.1).alias("rank")))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Links(e.select("src", "dst"), heavy=10) as links:
+            assert links.has_hubs and {r.id for r in links.hubs.collect()} == {0}
+            got = sorted((r.src, r.dst) for r in links.meet(ranks).collect())
+            assert got == sorted((r.src, r.dst) for r in e.where("src is not null and dst is not null").collect())
+        with Links(e.select("src", "dst")) as links:
+            plan = graph.pagerank_round(links, ranks, 0.85, 61)._jdf.queryExecution().executedPlan().toString()
+            lines = plan.splitlines()
+            at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+            depth = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+            above = lines[at]
+            for line in reversed(lines[:at]):
+                if depth(line) < depth(above):
+                    above = line
+                    if "Join" in line:
+                        break
+                    assert "Exchange" not in line
+            assert "SortMergeJoin" in above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
 
 
 def test_reach_plan_is_bounded(spark):
@@ -179,6 +229,39 @@ def test_louvain(spark):
     assert graph.improvable(e, found.withColumn("community", F.col("id"))).count() > 0
 
 
+def sequential_modularity(pairs, n):
+    """Local moving one node after another, in order of id."""
+    near = [[] for _ in range(n)]
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    comm, total, m2 = list(range(n)), [len(x) for x in near], 2 * len(pairs)
+    moved = True
+    while moved:
+        moved = False
+        for i in range(n):
+            k, own = len(near[i]), comm[i]
+            total[own] -= k
+            gain = {c: sum(comm[j] == c for j in near[i]) - total[c] * k / m2 for c in {own} | {comm[j] for j in near[i]}}
+            best = min(gain, key=lambda c: (-gain[c], c))
+            if gain[best] > gain[own] + 1e-9:
+                comm[i], moved = best, True
+            total[comm[i]] += k
+    return sum((comm[a] == comm[b]) for a, b in pairs) / len(pairs) - sum((t / m2) ** 2 for t in total)
+
+
+def test_louvain_against_sequential_moving(spark):
+    rng = np.random.default_rng(11)
+    pairs = {(min(a, b), max(a, b)) for g in range(8) for a, b in (rng.integers(0, 25, (110, 2)) + 25 * g).tolist() if a != b}
+    pairs |= {(min(a, b), max(a, b)) for a, b in rng.integers(0, 200, (150, 2)).tolist() if a != b}
+    e, nodes = edge_table(spark, *sorted(pairs)), node_table(spark, 200)
+    found = graph.louvain(nodes, e)
+    assert found.count() == 200 and graph.improvable(e, found).count() == 0
+    assert graph.modularity(e, found).first().modularity >= sequential_modularity(pairs, 200) - 0.01
+    assert found.groupBy("community").agg(F.min("id").alias("m")).where("m <> community").count() == 0
+    assert graph.louvain(nodes, e.limit(0)).where("id <> community").count() == 0
+
+
 def test_communities(spark):
     e = edge_table(spark, (0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)).union(spark.createDataFrame([(2, 3, 0.1)], "src long, dst long, weight double"))
     found = graph.communities(node_table(spark, 6), e)
