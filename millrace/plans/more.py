@@ -56,7 +56,7 @@ def sq8_codes(spark, t):
 
 
 def hnsw(spark, t) -> ann.StoredHnsw:
-    return stored(spark, t, "hnsw", lambda path: ann.StoredHnsw.build(vecs(t), path))
+    return stored(spark, t, "hnsw", lambda path: ann.StoredHnsw.build(vecs(t), path), ("embeddings",))
 
 
 @query()
@@ -81,7 +81,7 @@ def csr_round_trip(spark, t):
 
 
 def vamana(spark, t) -> diskann.DiskAnn:
-    return stored(spark, t, "diskann", lambda path: diskann.DiskAnn.build(vecs(t), path))
+    return stored(spark, t, "diskann", lambda path: diskann.DiskAnn.build(vecs(t), path), ("embeddings",))
 
 
 @query("SELECT count(*) AS nodes, 0::BIGINT AS wrong FROM embeddings")
