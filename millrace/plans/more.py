@@ -36,7 +36,7 @@ def _good(found, t, k=10, least=0.9):
 
 @query()
 def ivf_probe(spark, t):
-    return ann.Ivf.build(vecs(t), 16).search(asked(t), 10, 8)
+    return ann.Ivf.build(vecs(t), 16).search(asked(t), 10, 12)
 
 
 @query(ASKED)
