@@ -200,6 +200,28 @@ def test_passages_in_pieces_elsewhere(spark, size):
     assert any((r.start, r.end, r.n_equal) == (20, 20 + size, size) for r in rows)
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1])
+def test_fuzzy_passages_of_frequent_pieces(spark, rate):
+    """Two documents share a passage with words replaced; each 30-word piece of it lies in 40 others, before and between them."""
+    rng = np.random.default_rng(12)
+    pick = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
+    rows, wanted = [], []
+    for i in range(40):
+        one = pick(90)
+        two = [w if rng.random() >= rate else "x" + w for w in one]
+        rows += [(10_000 + i, pick(40) + one + pick(40)), (30_000 + i, pick(30) + two + pick(50))]
+        for k in range(120):
+            at = 30 * (k % 3)
+            rows.append(((0, 20_000)[k // 3 % 2] + 120 * i + k, pick(20) + one[at : at + 30] + pick(20)))
+        if sum(a == b for a, b in zip(one, two)) >= 0.83 * 90:
+            wanted.append(i)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(8)
+    found = {(r.doc_id, r.other_id) for r in chaining.shared_passages(docs).collect()}
+    hit = sum((30_000 + i, 10_000 + i) in found for i in wanted)
+    print(f"rate {rate}: {hit} of {len(wanted)}")
+    assert len(wanted) >= 35 and hit >= 0.9 * len(wanted)
+
+
 def test_fuzzy_passages_recall(spark):
     rng = np.random.default_rng(9)
     pick = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
