@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from .common import table
 
 COARSE = 1024
+#: Rows of a group of equal rows that one task numbers at a time.
+PIECE = 4096
 
 
 def fisher_yates(n: Column, seed: int, salt: Column) -> Column:
@@ -66,16 +68,31 @@ def two_pass_shuffle(df: DataFrame, n_shards: int = 8, seed: int = 17, key: list
     return dealt.select("row.*", F.pmod("place", F.lit(n_shards)).cast("int").alias("shard"), F.floor(F.col("place") / n_shards).cast("long").alias("slot"))
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df's rows with their number among equal rows, from 0, as a long column ``name``.
+
+    Equal rows are counted before the shuffle and made again from the count, in pieces that are dealt out, so no task meets a
+    whole group. Nulls are equal here. Meant for narrow rows: they are the key of an aggregation.
+    """
+    count, first, step = f"{name}_count", f"{name}_first", F.lit(PIECE).cast("long")
+    pieces = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(count)).withColumn(first, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1, step)))
+    dealt = pieces.repartition(*df.columns, first)
+    return dealt.select(*df.columns, F.explode(F.sequence(F.col(first), F.least(F.col(first) + step, F.col(count)) - 1)).alias(name))
+
+
 def write_shards(sharded: DataFrame, path: str, n_files: int) -> None:
     """Write each shard's rows in slot order, to a folder for each shard."""
     sharded.repartitionByRange(n_files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_documents(documents: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
-    """The digest of op4: where each document goes. A null text has 1 byte of size and the crc32 of no bytes, 0."""
+    """The digest of op4: where each document goes. A null text has 1 byte of size and the crc32 of no bytes, 0.
+
+    Rows that repeat a doc_id, or have none, scatter by their text and their number among equal ones, so they fill no bucket.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = two_pass_shuffle(digest, n_shards, seed, key=["doc_id"])
+    placed = two_pass_shuffle(numbered(digest, "nth"), n_shards, seed)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

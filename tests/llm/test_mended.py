@@ -1,8 +1,9 @@
 """Repeated and null ids, and texts beside others: cases that once gave wrong results."""
 
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm import decontam, media, mixing
+from millrace.llm import decontam, media, mixing, sharding
 
 
 @pytest.mark.parametrize("ids", [lambda i: None, lambda i: 7, lambda i: i % 40])
@@ -42,3 +43,12 @@ def test_blocks_keep_an_item_together(spark, monkeypatch):
     found = list(decontam.blocks(spark.createDataFrame(rows, "item_id long, text string")))
     assert sum(map(len, found)) == len(rows) and len(found) > 3
     assert all(sum(i in {r[0] for r in b} for b in found) == 1 for i in range(4))
+
+
+def test_shards_of_equal_rows_fill_no_bucket(spark):
+    docs = spark.range(30_000).select(F.when(F.col("id") >= 20_000, F.col("id") % 10_100).alias("doc_id"), F.lit("same").alias("text"))
+    counted = sharding.numbered(docs, "nth").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("nth").alias("last"), F.countDistinct("nth").alias("d"))
+    assert counted.where("n != d or n != last + 1").count() == 0 and counted.agg(F.sum("n")).first()[0] == 30_000
+    rows = sharding.shard_documents(docs).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("d"), F.count("doc_id").alias("known")).collect()
+    assert [(r.n, r.last, r.d) for r in rows] == [(3750, 3749, 3750)] * 8
+    assert all(1000 < r.known < 1500 for r in rows)
