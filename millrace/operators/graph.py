@@ -360,9 +360,9 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def symbol_search(nodes: DataFrame, part: str, limit: int = 50) -> DataFrame:
-    """Nodes whose fqn or name holds the part, in any case."""
+    """Nodes whose fqn or name holds the part, in any case; equal fqns by id."""
     p = part.lower()
-    return nodes.where(F.lower("fqn").contains(p) | F.lower("name").contains(p)).orderBy("fqn").limit(limit)
+    return nodes.where(F.lower("fqn").contains(p) | F.lower("name").contains(p)).orderBy("fqn", "id").limit(limit)
 
 
 def enclosing(sites: DataFrame, symbols: DataFrame) -> DataFrame:
