@@ -7,6 +7,10 @@ buckets of their source (``Links``); a round shuffles values, never edges, and e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,8 +20,12 @@ from millrace.operators.incremental import with_ids
 from millrace.operators.links import Links
 from millrace.session import written
 
-#: Sources whose walks go on at once: a node holds at most an eighth of this in bytes of masks.
+#: Sources whose walks go on at once: a node holds an eighth of this in bytes of masks at most.
 SOURCES = 65_536
+#: Sources in a row of their masks (a multiple of 64), and blocks whose sums a task holds.
+BLOCK, HELD = 1024, 4096
+#: Nodes at most whose rows are broadcast in a round, and the edges that such a node has at least.
+HUBS, HUB_EDGES = 2048, 64
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -140,44 +148,71 @@ def blast_radius(edges: DataFrame, start: int, ranks: DataFrame, depth: int = 3)
 def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, sources: int = SOURCES) -> DataFrame:
     """(id, blast) for all nodes of ranks: the share of all rank within depth steps either way, the node itself left out.
 
-    All nodes walk at once, 64 of them in a word: a row (id, block, seen, front) says which sources of a block have reached
-    id, and which in the last round. A round pushes the fronts along the edges and ORs them by (id, block). ``sources`` walks
-    go on together, so a node never has more than sources / 64 rows of a fixed width; further sources take further passes.
+    All nodes walk at once, BLOCK of them in a row: a row (id, block, b0, b1, ...) says which sources of a block have reached id.
+    A round pushes the rows along the edges and ORs them by (id, block); every node has an edge to itself, so it keeps its own.
+    Rows of the nodes with most edges (few) are broadcast to their edges, which lie in buckets of the target, so what goes
+    from hubs to many nodes isn't shuffled. ``sources`` walks go on together, so a node never has more than
+    sources / BLOCK rows of a fixed width; further sources take further passes.
     """
-    both = edges.select("src", "dst").where("src <> dst")
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+    both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     known = cut_lineage(ranks.select(F.col("id").alias("node"), "rank"))
     known = cut_lineage(with_ids(known, ["node"]).select(F.col("node").alias("id"), F.col("id").alias("number"), "rank"))
     n = known.count()
-    block, bit = F.floor(F.col("number") / 64), F.expr("shiftleft(1L, cast(number % 64 as int))")
-    masses = []
-    with Links(both) as links:
-        for low in range(0, n, sources):
-            own = known.where(F.col("number").between(low, low + sources - 1))
-            state = own.select("id", block.alias("block"), bit.alias("seen"), bit.alias("front"))
+    block, bit = F.floor(F.col("number") / BLOCK), F.expr("shiftleft(1L, cast(number % 64 as int))")
+    bits = [f"b{i}" for i in range(BLOCK // 64)]
+    ends = both.select("src").unionByName(known.select(F.col("id").alias("src"))).distinct()
+    spark = both.sparkSession
+    hubs = cut_lineage(both.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB_EDGES).orderBy(F.desc("n"), "src").limit(HUBS).select("src"))
+    few = F.broadcast(hubs)  # HUBS rows at most
+    sums = []
+    with Links(both.join(few, "src", "left_anti").unionByName(ends.select("src", F.col("src").alias("dst")))) as even, Links(both.join(few, "src", "left_semi"), by="dst") as wide:
+        for low in range(0, n, max(BLOCK, sources)):
+            own = known.where(F.col("number").between(low, low + max(BLOCK, sources) - 1))
+            state = own.select("id", block.alias("block"), *(F.when(F.floor(F.col("number") / 64) % (BLOCK // 64) == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits)))
+            ors = [F.bit_or(b).alias(b) for b in bits]
             for _ in range(depth):
-                pushed = links.meet(state.where("front <> 0").select("id", "block", "front")).select(F.col("dst").alias("id"), "block", F.lit(0).cast("long").alias("seen"), "front")
-                state = pushed.unionByName(state.select("id", "block", "seen", F.lit(0).cast("long").alias("front")))
-                state = state.groupBy("id", "block").agg(F.bit_or("seen").alias("old"), F.bit_or("front").alias("came"))
-                state = cut_lineage(state.select("id", "block", F.expr("old | came").alias("seen"), F.expr("came & ~old").alias("front")))
-            others = F.when(block == F.col("block"), F.col("seen").bitwiseAND(F.bitwise_not(bit))).otherwise(F.col("seen"))
-            reached = state.join(known, "id").select("block", "rank", others.alias("mask"))
-            sums = F.array(*(F.sum(F.when(F.expr(f"mask & shiftleft(1L, {k})") != 0, F.col("rank"))) for k in range(64)))
-            by_block = reached.groupBy("block").agg(sums.alias("masses"))
-            masses.append(cut_lineage(by_block.select("block", F.posexplode("masses").alias("k", "mass")).select((F.col("block") * 64 + F.col("k")).alias("number"), "mass")))
+                near = even.meet(state.hint("merge")).groupBy("dst", "block").agg(*ors)
+                sent = F.broadcast(state.withColumnRenamed("id", "src").join(few, "src", "left_semi"))  # HUBS * sources / BLOCK rows at most
+                far = wide.even.join(sent, "src").groupBy("dst", "block").agg(*ors)
+                state = cut_lineage(near.unionByName(far).groupBy(F.col("dst").alias("id"), "block").agg(*ors))
+            reached = state.join(known.select("id", "rank"), "id").select("block", "rank", *bits)
+            part = reached.mapInPandas(_masses, "block long, masses array<double>").select("block", F.posexplode("masses").alias("k", "mass")).where("mass > 0")
+            sums.append(cut_lineage(part.groupBy((F.col("block") * BLOCK + F.col("k")).alias("number")).agg(F.sum("mass").alias("mass"))))
+    mass = sums[0] if sums else spark.createDataFrame([], "number long, mass double")
+    for more in sums[1:]:
+        mass = mass.unionByName(more)
     total = F.broadcast(known.agg(F.sum("rank").alias("total")))  # one row
-    found = known
-    if masses:
-        mass = masses[0]
-        for more in masses[1:]:
-            mass = mass.unionByName(more)
-        found = known.join(mass, "number", "left")
-    else:
-        found = known.withColumn("mass", F.lit(0.0))
-    share = F.when(F.col("total") > 0, F.coalesce("mass", F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    found = known.join(mass, "number", "left")
+    share = F.when(F.col("total") > 0, F.greatest(F.coalesce("mass", F.lit(0.0)) - F.col("rank"), F.lit(0.0)) / F.col("total")).otherwise(0.0)
     return found.join(total).select("id", share.alias("blast"))
 
 
+def _masses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(block, masses): for each source of a block, the rank of this task's rows that it has reached; at most HELD blocks are held."""
+    held: dict[int, np.ndarray] = {}
+
+    def emit() -> pd.DataFrame:
+        out = pd.DataFrame({"block": list(held), "masses": list(held.values())})
+        held.clear()
+        return out
+
+    for f in frames:
+        words = np.ascontiguousarray(f.iloc[:, 2:].to_numpy(np.int64)).astype("<i8", copy=False)
+        blocks, rank = f.block.to_numpy(np.int64), f["rank"].to_numpy(np.float64)
+        order = np.argsort(blocks, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(blocks[order]) != 0, [True]]))
+        for a, b in zip(cut[:-1], cut[1:]):
+            at = order[a:b]
+            set_ = np.unpackbits(np.ascontiguousarray(words[at]).view(np.uint8), axis=1, bitorder="little")
+            own = int(blocks[at[0]])
+            held[own] = held.get(own, 0.0) + rank[at] @ set_.astype(np.float64)
+        if len(held) >= HELD:
+            yield emit()
+    if held:
+        yield emit()
+
+
 def risk(ranks: DataFrame, edges: DataFrame, blast: DataFrame) -> DataFrame:
     """(id, score, level): .35 of rank and .30 of in * out degree, each over its largest, and .35 of blast; at most 1."""
     rows = ranks.join(degrees(edges), "id", "left").fillna(0, ["in_degree", "out_degree"]).join(blast, "id", "left").fillna(0.0, ["blast"])

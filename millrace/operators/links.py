@@ -18,14 +18,19 @@ class Links:
 
     A source with more edges than an average bucket (and than HEAVY) would fill a task. There are fewer such sources than
     buckets, so their edges are stored without an order, and the rows pushed from them are broadcast. Null ends are left out.
+    With by="dst", the buckets are those of the target, for rows that are broadcast to ``even``; hubs aren't kept apart then.
     Use it in a ``with``: the tables go when it ends, so what is read from it must have been written by then.
     """
 
-    def __init__(self, edges: DataFrame, heavy: int = HEAVY):
+    def __init__(self, edges: DataFrame, heavy: int = HEAVY, by: str = "src"):
         self.spark = edges.sparkSession
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.name, self.path = f"millrace_links_{uuid.uuid4().hex}", f"{shared_dir(self.spark)}/millrace-links-{uuid.uuid4().hex}"
         edges = edges.where("src is not null and dst is not null")
+        if by != "src":
+            self.has_hubs = False
+            self._store(edges, by)
+            return
         sizes = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
         mean = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n / self.buckets
         hubs = sizes.where(F.col("n") > max(mean, heavy)).select("src")
@@ -38,7 +43,10 @@ class Links:
             edges.join(marked, "src", "left_semi").repartition(self.buckets, "src", "dst").write.parquet(f"{self.path}/heavy")
             self.heavy = self.spark.read.parquet(f"{self.path}/heavy")
             even = edges.join(marked, "src", "left_anti")
-        even.repartition(self.buckets, "src").write.bucketBy(self.buckets, "src").sortBy("src").option("path", f"{self.path}/even").saveAsTable(self.name)
+        self._store(even, "src")
+
+    def _store(self, edges: DataFrame, by: str) -> None:
+        edges.repartition(self.buckets, by).write.bucketBy(self.buckets, by).sortBy(by).option("path", f"{self.path}/even").saveAsTable(self.name)
         self.even = self.spark.table(self.name)
 
     def meet(self, rows: DataFrame) -> DataFrame:
