@@ -77,6 +77,74 @@ def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 25) -> np.ndarra
     return c
 
 
+class Nearest:
+    """The k nearest of each query among all rows shown so far, by (dist, id). Memory: CHUNK rows times the queries, and k rows a query.
+
+    Squared distances are screened by a matrix product, with a margin for its rounding, and computed exactly where they may count.
+    """
+
+    CHUNK, PAIRS = 1024, 1 << 17
+
+    def __init__(self, qids: np.ndarray, wanted: np.ndarray, k: int, name: str = "l2") -> None:
+        self.qids, self.wanted, self.k, self.name = qids, wanted, k, name
+        self.squares = (wanted * wanted).sum(1)
+        self.worst = np.full(len(qids), np.inf)
+        self.q, self.d, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def show(self, x: np.ndarray, ids: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """asked: the places of the queries that these rows are for; all by default."""
+        asked = np.arange(len(self.qids)) if asked is None else asked
+        if not len(asked) or not self.k:
+            return
+        for at in range(0, len(x), self.CHUNK):
+            self._chunk(x[at : at + self.CHUNK], ids[at : at + self.CHUNK], asked)
+
+    def _chunk(self, x: np.ndarray, ids: np.ndarray, asked: np.ndarray) -> None:
+        wanted, limit, screened = self.wanted[asked], self.worst[asked], False
+        d = wanted @ x.T
+        if self.name in ("ip", "inner_product"):
+            d = -d
+        elif self.name == "cosine":
+            norm = np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
+            d = np.where(norm > 0, 1 - d / np.where(norm > 0, norm, 1), 3.4028234663852886e38)
+        else:
+            screened, squares = True, (x * x).sum(1)
+            d *= -2
+            d += squares[None]
+            d += self.squares[asked][:, None]
+            margin = 1e-12 * x.shape[1] * (self.squares[asked] + (squares.max() if len(squares) else 0.0))
+            limit = limit + margin
+        if len(x) > self.k and np.isinf(limit).any():
+            near = np.partition(d, self.k - 1, axis=1)[:, self.k - 1]
+            limit = np.fmin(limit, near + 2 * margin if screened else near)
+        q, row = np.nonzero(~(d > limit[:, None]))
+        dist = d[q, row]
+        if screened:
+            dist = np.concatenate([((x[row[i : i + self.PAIRS]] - wanted[q[i : i + self.PAIRS]]) ** 2).sum(1) for i in range(0, len(q), self.PAIRS)] or [dist])
+        if not len(q):
+            return
+        q, dist, own = np.concatenate([self.q, asked[q]]), np.concatenate([self.d, dist]), np.concatenate([self.ids, ids[row]])
+        order = np.lexsort((own, dist, q))
+        q, dist, own = q[order], dist[order], own[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k
+        self.q, self.d, self.ids = q[keep], dist[keep], own[keep]
+        full = rank == self.k - 1
+        self.worst[q[full]] = dist[full]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"qid": self.qids[self.q], "id": self.ids, "dist": self.d})
+
+
+def matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in vectors])
+
+
+def arrays(block: list[tuple[int, list[float]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(qids, vectors) of a block of queries."""
+    return np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)
+
+
 def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (((c * c).sum(1)[None] - 2 * x @ c.T)).argmin(1)
 
@@ -101,21 +169,29 @@ class Ivf:
         return Ivf(centers, vectors.select("id", "vec").mapInPandas(assign, "id long, vec array<float>, cell int"))
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        """(qid, id, dist, rank): the k nearest in the probed cells. Queries meet vectors by cell, a shuffle of vectors once."""
-        centers = self.centers
+        """(qid, id, dist, rank): the k nearest in the probed cells.
 
-        def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if len(f):
-                    q = np.stack(f.vec).astype(np.float64)
-                    near = np.argsort((centers * centers).sum(1)[None] - 2 * q @ centers.T, axis=1, kind="stable")[:, :probes]
-                    for qid, vec, cells in zip(f.qid, f.vec, near):
-                        yield pd.DataFrame({"qid": qid, "q": [vec] * len(cells), "cell": cells})
+        Queries go to the tasks in bounded blocks, each with its cells; a task keeps k candidates for each, so vectors are never shuffled.
+        """
+        centers, found = self.centers, None
+        for block in query_blocks(queries):
 
-        asked = queries.select("qid", "vec").mapInPandas(probe, "qid long, q array<float>, cell int")
-        met = asked.join(self.cells, "cell").select("qid", "id", squared_l2(F.col("vec"), F.col("q")).alias("dist"))
-        w = Window.partitionBy("qid").orderBy("dist", "id")
-        return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+                qids, q = arrays(block)
+                if not len(qids):
+                    return
+                near = np.argsort((centers * centers).sum(1)[None] - 2 * q @ centers.T, axis=1, kind="stable")[:, :probes]
+                best = Nearest(qids, q, k)
+                for f in frames:
+                    if len(f):
+                        x, ids, cells = matrix(f.vec), f.id.to_numpy(np.int64), f.cell.to_numpy()
+                        for cell in np.unique(cells):
+                            best.show(x[cells == cell], ids[cells == cell], np.flatnonzero((near == cell).any(1)))
+                yield best.frame()
+
+            part = self.cells.mapInPandas(run, "qid long, id long, dist double")
+            found = part if found is None else found.unionByName(part)
+        return nearest(found, k)
 
 
 @dataclass
@@ -149,22 +225,19 @@ class Pq:
 
         Queries go to the tasks in bounded blocks; a task keeps ``rerank`` candidates for each, so codes are never shuffled.
         """
-        books = np.stack([np.pad(b, ((0, 0), (0, 0))) for b in self.books])
+        books = self.books
         rough = None
         for block in query_blocks(queries):
-            qids, q = np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)
-            tables = ((books[None] - q.reshape(len(q), len(books), 1, -1)) ** 2).sum(-1)
 
-            def run(frames: Iterator[pd.DataFrame], qids=qids, tables=tables) -> Iterator[pd.DataFrame]:
-                ids, best = np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0))
+            def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+                qids, q = arrays(block)
+                best = Nearest(qids, q, rerank)
                 for f in frames:
-                    if len(f):
+                    if len(f) and len(qids):
                         codes = np.stack(f.codes)
-                        d = np.stack([t[np.arange(codes.shape[1]), codes].sum(1) for t in tables])
-                        d, own = np.hstack([best, d]), np.hstack([ids, np.broadcast_to(f.id.to_numpy(), d.shape)])
-                        order = np.lexsort((own, d), axis=1)[:, :rerank]
-                        best, ids = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
-                yield pd.DataFrame({"qid": np.repeat(qids, ids.shape[1]), "id": ids.ravel(), "rough": best.ravel()})
+                        # the sum of a code's table distances is the distance to what it stands for
+                        best.show(np.hstack([book[codes[:, i]] for i, book in enumerate(books)]), f.id.to_numpy(np.int64))
+                yield best.frame().rename(columns={"dist": "rough"})
 
             part = encoded.select("id", "codes").mapInPandas(run, "qid long, id long, rough double")
             rough = part if rough is None else rough.unionByName(part)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import cut
 from millrace.functions.vectors import cosine_similarity, metric
-from millrace.operators.ann import query_blocks
+from millrace.operators.ann import Nearest, arrays, matrix, query_blocks
 from millrace.operators.bm25 import top_k
 from pyspark.sql.window import Window
 
@@ -37,29 +37,13 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, name: str = "l2")
 
 
 def _nearest(block: list[tuple[int, list[float]]], k: int, name: str):
-    qids = np.array([q for q, _ in block], np.int64)
-    wanted = np.array([v for _, v in block], np.float64)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, dists = None, None
+        qids, wanted = arrays(block)
+        best = Nearest(qids, wanted, k, name)
         for f in frames:
-            if not len(f) or not len(qids):
-                continue
-            x = np.stack([np.asarray(v, np.float64) for v in f.vec])
-            if name in ("ip", "inner_product"):
-                d = -(wanted @ x.T)
-            elif name == "cosine":
-                norm = np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                d = np.where(norm > 0, 1 - (wanted @ x.T) / np.where(norm > 0, norm, 1), 3.4028234663852886e38)
-            else:
-                d = np.stack([((x - q) ** 2).sum(1) for q in wanted])
-            own = np.broadcast_to(f.id.to_numpy(), d.shape)
-            if ids is not None:
-                d, own = np.hstack([dists, d]), np.hstack([ids, own])
-            order = np.lexsort((own, d), axis=1)[:, :k]
-            dists, ids = np.take_along_axis(d, order, 1), np.take_along_axis(own, order, 1)
-        if ids is not None:
-            yield pd.DataFrame({"qid": np.repeat(qids, ids.shape[1]), "id": ids.ravel(), "dist": dists.ravel()})
+            if len(f) and len(qids):
+                best.show(matrix(f.vec), f.id.to_numpy(np.int64))
+        yield best.frame()
 
     return run
 
