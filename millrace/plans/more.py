@@ -46,7 +46,7 @@ def ivf_recall(spark, t):
 
 @query(ASKED)
 def pq_adc_rerank(spark, t):
-    pq = ann.Pq.train(vecs(t), 16, 64)
+    pq = ann.Pq.train(vecs(t), 32, 256)
     return _good(pq.search_batch(pq.encode(vecs(t)), vecs(t), asked(t), 10, 100), t)
 
 
