@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +32,20 @@ def postings(tokenized: DataFrame) -> DataFrame:
     return tokenized.select("id", "len", F.explode("tokens").alias("term")).groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def counted_terms(passages: DataFrame) -> DataFrame:
+    """(id, term, tf) of each passage's words, stop words and short ones among them."""
+    key = dict(passages.dtypes)["id"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 200):
+                own = [Counter(words) for words in f.words.iloc[at : at + 200]]
+                ids = f.id.iloc[at : at + 200].repeat([len(c) for c in own])
+                yield pd.DataFrame({"id": ids.array, "term": [w for c in own for w in c], "tf": [n for c in own for n in c.values()]})
+
+    return passages.select("id", term_rows(F.col("text")).alias("words")).mapInPandas(run, f"id {key}, term string, tf int")
+
+
 def statistics(tokenized: DataFrame) -> DataFrame:
     """One row: n passages and their mean length."""
     return tokenized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
@@ -49,10 +67,13 @@ def asked_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def weighed(found: DataFrame, asked: DataFrame, stats: DataFrame, params: Bm25) -> DataFrame:
-    """(qid, id, score) from all postings (term, id, len, tf) of the asked terms and one row (n, avgdl)."""
+def weighed(found: DataFrame, asked: DataFrame, stats: DataFrame, params: Bm25, few: bool = False) -> DataFrame:
+    """(qid, id, score) from all postings (term, id, len, tf) of the asked terms and one row (n, avgdl).
+
+    few: the asked terms are few, so their frequencies are broadcast, and the postings of a frequent term don't fill one task.
+    """
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = found.join(df, "term").join(asked, "term").join(F.broadcast(stats))
+    rows = found.join(F.broadcast(df) if few else df, "term").join(asked, "term").join(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * F.col("len") / F.col("avgdl")))
     return rows.groupBy("qid", "id").agg(F.sum(part * F.col("times")).alias("score")).where("score > 0")
@@ -62,7 +83,7 @@ class Index:
     """Postings in a folder: (term, id, tf) by bucket of the term and sorted in it, and (id, len) of the passages.
 
     A search reads the buckets of its terms, and in them the row groups whose range of terms fits; passages aren't read. Appending
-    writes further files. Document frequencies come from the postings that are read, so they need no upkeep.
+    writes further files. A bucket's postings lie in several files by passage. Document frequencies come from the postings that are read, so they need no upkeep.
     """
 
     #: Terms of one search up to which they are sent to the tasks to prune buckets; more are joined by shuffle.
@@ -80,9 +101,13 @@ class Index:
         return index
 
     def _write(self, passages: DataFrame, mode: str, buckets: int) -> None:
-        words = passages.select("id", F.explode(term_rows(F.col("text"))).alias("term")).where(is_term(F.col("term")))
-        counted = words.groupBy("id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        spread = counted.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id")
+        # one shuffle: terms are counted where their passage is read, and meet the rows of the same id in their part
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        salts = max(1, math.ceil(2 * tasks / buckets))
+        counted = counted_terms(passages).where(is_term(F.col("term")))
+        part = F.pmod(F.xxhash64("term"), F.lit(buckets)) * salts + F.pmod(F.xxhash64("id"), F.lit(salts))
+        spread = counted.withColumn("part", part.cast("int")).repartition(tasks, "part").groupBy("part", "id", "term").agg(F.sum("tf").cast("int").alias("tf"))
+        spread = spread.select("id", "term", "tf", F.floor(F.col("part") / salts).cast("int").alias("bucket")).sortWithinPartitions("bucket", "term", "id")
         spread.write.mode(mode).partitionBy("bucket").parquet(f"{self.path}/postings")
         passages.select("id", F.size(tokens(F.col("text"))).alias("len")).write.mode(mode).parquet(f"{self.path}/lengths")
 
@@ -110,7 +135,7 @@ class Index:
         wanted = asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets())).cast("int"))
         few = wanted.limit(self.MAX_TERMS + 1).count() <= self.MAX_TERMS
         found = self.postings().join(F.broadcast(wanted) if few else wanted, ["bucket", "term"]).join(self.lengths(), "id").select("term", "id", "len", "tf")
-        return weighed(found, asked, self.statistics(), params)
+        return weighed(found, asked, self.statistics(), params, few)
 
 
 def top_k(scores: DataFrame, k: int, order: str = "score", ascending: bool = False) -> DataFrame:

@@ -4,9 +4,10 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from millrace.operators import ann, graph
+from millrace.operators import ann, bm25, graph
 
 
 def test_symbol_search_breaks_ties_by_id(spark):
@@ -56,3 +57,16 @@ def test_blast_in_wide_rows_with_hubs(spark, monkeypatch):
     ranks = spark.createDataFrame([(i, float(r)) for i, r in enumerate(rank)], "id long, rank double")
     got = [r.blast for r in graph.blast_shares(e, ranks, 3, sources=256).orderBy("id").collect()]
     assert got == pytest.approx(want.tolist(), abs=1e-12)
+
+
+def test_index_build_shuffles_once(spark, tmp_path, monkeypatch):
+    """Postings of repeated ids add up, and a build's plan has one exchange; before, words were shuffled by passage and again by bucket."""
+    plans = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())), real(self, path, *a, **k))[1])
+    rows = [(1, "red Red blue the x"), (1, "red"), (2, None), (None, "blue blue"), (3, "green red " * 300)]
+    index = bm25.Index.build(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "i"), 4)
+    plan = next(p for path, p in plans if path.endswith("postings"))
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.id, r.term): r.tf for r in index.postings().collect()}
+    assert got == {(1, "red"): 3, (1, "blue"): 1, (None, "blue"): 2, (3, "green"): 300, (3, "red"): 300}
