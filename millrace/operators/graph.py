@@ -135,7 +135,7 @@ def pagerank_round(links: Links, ranks: DataFrame, damping: float, n: int) -> Da
     loose = F.broadcast(ranks.where("outs is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("loose")))  # one row
     given = links.meet(ranks.where("outs is not null").select("id", (F.col("rank") / F.col("outs")).alias("share"))).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
     new = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / n)
-    return ranks.drop("rank").join(given, "id", "left").join(loose).select("id", "outs", new.alias("rank"))
+    return ranks.drop("rank").join(given.hint("merge"), "id", "left").join(loose).select("id", "outs", new.alias("rank"))
 
 
 def blast_radius(edges: DataFrame, start: int, ranks: DataFrame, depth: int = 3) -> DataFrame:
@@ -172,7 +172,7 @@ def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, sources: in
             state = own.select("id", block.alias("block"), *(F.when(F.floor(F.col("number") / 64) % (BLOCK // 64) == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits)))
             ors = [F.bit_or(b).alias(b) for b in bits]
             for _ in range(depth):
-                near = even.meet(state.hint("merge")).groupBy("dst", "block").agg(*ors)
+                near = even.meet(state).groupBy("dst", "block").agg(*ors)
                 sent = F.broadcast(state.withColumnRenamed("id", "src").join(few, "src", "left_semi"))  # HUBS * sources / BLOCK rows at most
                 far = wide.even.join(sent, "src").groupBy("dst", "block").agg(*ors)
                 state = cut_lineage(near.unionByName(far).groupBy(F.col("dst").alias("id"), "block").agg(*ors))

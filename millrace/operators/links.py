@@ -52,7 +52,7 @@ class Links:
     def meet(self, rows: DataFrame) -> DataFrame:
         """rows (id, ...) joined to the edges that leave id; id is dropped, src stays."""
         rows = rows.withColumnRenamed("id", "src")
-        met = self.even.join(rows, "src")
+        met = self.even.join(rows.hint("merge"), "src")  # never collected to be broadcast
         if not self.has_hubs:
             return met
         few = rows.join(F.broadcast(self.hubs.withColumnRenamed("id", "src")), "src", "left_semi")

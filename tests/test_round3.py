@@ -8,6 +8,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from millrace.operators import ann, bm25, graph
+from millrace.operators.links import Links
 
 
 def test_symbol_search_breaks_ties_by_id(spark):
@@ -70,3 +71,12 @@ def test_index_build_shuffles_once(spark, tmp_path, monkeypatch):
     assert plan.count("Exchange hashpartitioning") == 1
     got = {(r.id, r.term): r.tf for r in index.postings().collect()}
     assert got == {(1, "red"): 3, (1, "blue"): 1, (None, "blue"): 2, (3, "green"): 300, (3, "red"): 300}
+
+
+def test_pagerank_round_collects_no_table(spark):
+    """Small or large, ranks and sums meet by sorted buckets; only the one row of loose rank is broadcast."""
+    e = spark.createDataFrame([(i, i * 7 % 50) for i in range(60)], "src long, dst long")
+    ranks = graph.cut_lineage(spark.range(60).select("id", F.lit(1).cast("long").alias("outs"), F.lit(1 / 60).alias("rank")))
+    with Links(e) as links:
+        plan = graph.pagerank_round(links, ranks, 0.85, 60)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("BroadcastExchange") == 1
