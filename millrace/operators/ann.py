@@ -22,8 +22,8 @@ from millrace.functions.vectors import squared_l2
 SAMPLE = 20_000
 
 
-#: Queries that one pass holds, and vectors of a graph that one task builds and holds.
-MAX_QUERIES, PART_ROWS = 4096, 10_000
+#: Queries that one pass holds, vectors of a graph that one task builds and holds, graphs that every query walks, and vectors of a graph where those are too few.
+MAX_QUERIES, PART_ROWS, PARTS, MOST_ROWS = 4096, 10_000, 32, 100_000
 
 
 def query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, list[float]]]]:
@@ -45,8 +45,9 @@ def nearest(rows: DataFrame, k: int) -> DataFrame:
 
 
 def parts_of(vectors: DataFrame, part_rows: int) -> DataFrame:
-    """vectors (id, vec) with their part; a part has about part_rows vectors."""
-    n = max(1, math.ceil(vectors.count() / part_rows))
+    """vectors (id, vec) with their part. A part has about part_rows vectors, and more where there would be over PARTS of them, so that a query's work stays as it is."""
+    n = vectors.count()
+    n = max(1, min(PARTS, math.ceil(n / part_rows)), math.ceil(n / MOST_ROWS))
     return vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("part"))
 
 
@@ -216,9 +217,12 @@ class Pq:
 
         return vectors.select("id", "vec").mapInPandas(run, "id long, codes array<short>")
 
-    def tables(self, q: np.ndarray) -> list[list[float]]:
-        """Squared distances of the query's parts to all centroids."""
-        return [((book - part) ** 2).sum(1).tolist() for part, book in zip(np.split(q, len(self.books)), self.books)]
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """(queries, parts, centroids): squared distances of the queries' parts to all centroids; a smaller book is padded with infinity."""
+        out = np.full((len(q), len(self.books), max(map(len, self.books))), np.inf)
+        for i, (part, book) in enumerate(zip(np.split(q, len(self.books), axis=1), self.books)):
+            out[:, i, : len(book)] = ((book[None] - part[:, None]) ** 2).sum(2)
+        return out
 
     def search_batch(self, encoded: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
         """(qid, id, dist, rank): each query's best ``rerank`` by table distance, then the k nearest of them by exact distance.
@@ -248,7 +252,7 @@ class Pq:
 
     def search(self, encoded: DataFrame, vectors: DataFrame, query: list[float], k: int, rerank: int) -> DataFrame:
         """(id, dist): the best ``rerank`` by table distance, then the k nearest of them by exact distance."""
-        tables = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.tables(np.asarray(query, np.float64))])
+        tables = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in self.tables(np.asarray([query], np.float64))[0]])
         coded = encoded.crossJoin(F.broadcast(encoded.sparkSession.range(1).select(tables.alias("tables"))))
         rough = F.aggregate(F.transform("codes", lambda c, i: F.get(F.get("tables", i), c.cast("int"))), F.lit(0.0), lambda s, v: s + v)
         best = coded.select("id", rough.alias("rough")).orderBy("rough", "id").limit(rerank)

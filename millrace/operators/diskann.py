@@ -1,7 +1,7 @@
 """Vamana graphs with product-quantized search, stored part by part.
 
-Each part of the vectors is a graph of its own, built in one task in two passes (alpha 1, then alpha above 1) and stored as one
-blob of adjacency, codes and vectors. A search walks the graphs by the codes' table distances and ranks the best
+Each part of the vectors is a graph of its own, built in one task in two passes (alpha 1, then alpha above 1) in batches of nodes, and
+stored as one blob of adjacency, codes and vectors; equal vectors of a part are one node. A search walks the graphs by the codes' table distances and ranks the best
 candidates again by exact distance; queries go to the blobs in bounded blocks, and the blobs stay where they are.
 """
 
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.ann import PART_ROWS, Pq, nearest, parts_of, query_blocks
+from millrace.operators import walks
+from millrace.operators.ann import PART_ROWS, Pq, arrays, nearest, parts_of, query_blocks
 
 
 @dataclass(frozen=True)
@@ -32,78 +33,52 @@ class Config:
 
 
 class Vamana:
-    """A graph over the rows of x."""
+    """A graph over the rows of x, a row of links for each."""
 
     def __init__(self, x: np.ndarray, r: int, seed: int = 42) -> None:
         self.x, self.r, self.rng = x, r, np.random.default_rng(seed)
-        self.links: list[np.ndarray] = [np.zeros(0, np.int32) for _ in range(len(x))]
+        self.links = np.full((len(x), r), -1, np.int32)
         self.medoid = int(((x - x.mean(0)) ** 2).sum(1).argmin()) if len(x) else -1
 
     def far(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         d = self.x[at] - q
         return np.einsum("ij,ij->i", d, d)
 
-    def walk(self, distance, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of the ``size`` nearest nodes that a best-first walk from the medoid meets; distance(places) gives them."""
-        if self.medoid < 0:
-            return np.zeros(0, np.int64), np.zeros(0)
-        seen = np.zeros(len(self.links), bool)
-        seen[self.medoid] = True
-        at, dist, open_ = np.array([self.medoid]), distance(np.array([self.medoid])), np.array([True])
-        while open_.any():
-            i = int(np.flatnonzero(open_)[0])
-            open_[i] = False
-            near = self.links[at[i]]
-            near = near[~seen[near]]
-            if len(near):
-                seen[near] = True
-                at, dist, open_ = np.concatenate([at, near]), np.concatenate([dist, distance(near)]), np.concatenate([open_, np.ones(len(near), bool)])
-                order = np.lexsort((at, dist))[:size]
-                at, dist, open_ = at[order], dist[order], open_[order]
-        return at, dist
+    def walk(self, n: int, distance, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, distances) of the ``size`` nearest nodes that the best-first walks of n queries from the medoid meet; distance(queries, places) gives them."""
+        return walks.walk(self.links, np.full((n if self.medoid >= 0 else 0, 1), self.medoid), distance, size)
 
     def prune(self, node: int, at: np.ndarray, dist: np.ndarray, alpha: float) -> np.ndarray:
         """At most r of the candidates, nearest first; one goes if alpha times its distance to one kept isn't above that to the node."""
-        at, first = np.unique(at, return_index=True)
-        dist = dist[first]
-        order = np.lexsort((at, dist))
-        order = order[at[order] != node]
-        at, dist, out = at[order], dist[order], []
-        while len(at) and len(out) < self.r:
-            out.append(at[0])
-            stays = alpha * self.far(self.x[at[0]], at) > dist
-            stays[0] = False
-            at, dist = at[stays], dist[stays]
-        return np.array(out, np.int32)
-
-    def insert(self, node: int, size: int, alpha: float) -> None:
-        q = self.x[node]
-        at, dist = self.walk(lambda places: self.far(q, places), size)
-        own = self.links[node]
-        self.links[node] = self.prune(node, np.concatenate([at, own]).astype(np.int64), np.concatenate([dist, self.far(q, own)]), alpha)
-        for j in self.links[node].tolist():
-            back = self.links[j]
-            if node not in back:
-                back = np.append(back, np.int32(node))
-                self.links[j] = self.prune(j, back.astype(np.int64), self.far(self.x[j], back), alpha) if len(back) > self.r else back
+        out = walks.prune(self.x, np.array([node]), at[None], self.r, alpha)[0]
+        return out[out >= 0]
+
+    def insert(self, nodes: np.ndarray, size: int, alpha: float) -> None:
+        """Link the nodes to what their walks meet, and back. They don't see each other's new links."""
+        at, _ = self.walk(len(nodes), walks.exact(self.x, self.x[nodes]), size)
+        self.links[nodes] = walks.prune(self.x, nodes, np.concatenate([at, self.links[nodes]], 1), self.r, alpha)
+        walks.link_back(self.x, self.links, nodes, lambda own, near: walks.prune(self.x, own, near, self.r, alpha))
 
     def build(self, size: int, alpha: float) -> Vamana:
-        for a in (1.0, alpha) if alpha > 1 else (1.0,):
-            for node in self.rng.permutation(len(self.x)).tolist():
-                self.insert(node, size, a)
+        """Both passes insert batches of nodes, which in the first pass are never more than the graph already has."""
+        for i, a in enumerate((1.0, alpha) if alpha > 1 else (1.0,)):
+            order = self.rng.permutation(len(self.x))
+            for start, end in walks.batches(len(order), len(order), 1 if i == 0 else walks.BATCH):
+                self.insert(order[start:end], size, a)
         return self
 
 
-def to_blob(ids: np.ndarray, g: Vamana, codes: np.ndarray) -> bytes:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in g.links])]).astype(np.int64)
-    targets = np.concatenate([*g.links, np.zeros(0, np.int32)]).astype(np.int32)
-    head = np.array([len(ids), len(targets), g.x.shape[1], codes.shape[1], g.medoid, g.r], np.int64)
-    return b"".join(p.tobytes() for p in (head, ids.astype(np.int64), offsets, targets, codes.astype(np.uint8), g.x.astype(np.float32)))
+def to_blob(ids: np.ndarray, first: np.ndarray, g: Vamana, codes: np.ndarray) -> bytes:
+    """ids: those of each node one after another, from first[i] to first[i + 1]."""
+    held = g.links >= 0
+    offsets = np.concatenate([[0], np.cumsum(held.sum(1))]).astype(np.int64)
+    head = np.array([len(g.x), int(offsets[-1]), g.x.shape[1], codes.shape[1], g.medoid, g.r, len(ids)], np.int64)
+    return b"".join(p.tobytes() for p in (head, ids.astype(np.int64), first.astype(np.int64), offsets, g.links[held], codes.astype(np.uint8), g.x.astype(np.float32)))
 
 
-def from_blob(blob: bytes) -> tuple[np.ndarray, Vamana, np.ndarray]:
-    n, n_targets, width, m, medoid, r = np.frombuffer(blob, np.int64, 6).tolist()
-    at = 48
+def from_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray, Vamana, np.ndarray]:
+    n, n_targets, width, m, medoid, r, n_ids = np.frombuffer(blob, np.int64, 7).tolist()
+    at = 56
 
     def take(kind, count: int) -> np.ndarray:
         nonlocal at
@@ -111,11 +86,22 @@ def from_blob(blob: bytes) -> tuple[np.ndarray, Vamana, np.ndarray]:
         at += out.nbytes
         return out
 
-    ids, offsets, targets, codes = take(np.int64, n), take(np.int64, n + 1), take(np.int32, n_targets), take(np.uint8, n * m).reshape(n, m)
+    ids, first, offsets, targets, codes = take(np.int64, n_ids), take(np.int64, n + 1), take(np.int64, n + 1), take(np.int32, n_targets), take(np.uint8, n * m).reshape(n, m)
     g = Vamana(np.zeros((0, width)), r)
     g.x, g.medoid = take(np.float32, n * width).reshape(n, width), medoid
-    g.links = [targets[a:b] for a, b in zip(offsets, offsets[1:])]
-    return ids, g, codes
+    g.links = np.full((n, r), -1, np.int32)
+    g.links[np.arange(r)[None] < np.diff(offsets)[:, None]] = targets
+    return ids, first, g, codes
+
+
+def by_tables(tables: np.ndarray, codes: np.ndarray):
+    """distance(queries, places) from the queries' tables: the sum of what a place's codes look up."""
+    flat, own = tables.reshape(len(tables), -1), np.arange(codes.shape[1]) * tables.shape[2]
+
+    def distance(row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return flat[row[:, None], codes[place] + own].sum(1)
+
+    return distance
 
 
 class DiskAnn:
@@ -138,10 +124,9 @@ class DiskAnn:
         config = self.config
 
         def run(f: pd.DataFrame) -> pd.DataFrame:
-            f = f.sort_values("id")
-            x = np.stack(f.vec).astype(np.float32)
-            g = Vamana(x.astype(np.float64), config.r, config.seed).build(config.l_build, config.alpha)
-            return pd.DataFrame({"part": f.part.iloc[:1], "blob": [to_blob(f.id.to_numpy(), g, pq.codes(x.astype(np.float64)))]})
+            x, ids, first = walks.distinct(np.stack(f.vec).astype(np.float32), f.id.to_numpy())
+            g = Vamana(x, config.r, config.seed).build(config.l_build, config.alpha)
+            return pd.DataFrame({"part": f.part.iloc[:1], "blob": [to_blob(ids, first, g, pq.codes(x.astype(np.float64)))]})
 
         return parted.groupBy("part").applyInPandas(run, "part int, blob binary")
 
@@ -155,13 +140,15 @@ class DiskAnn:
         return Pq([np.array(by[i]) for i in sorted(by)])
 
     def graph(self) -> DataFrame:
-        """(part, id, vec, neighbors)."""
+        """(part, id, vec, neighbors). Equal vectors of a part are one node: they have the same neighbors, and of equal neighbors the smallest id stands."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
                 for part, blob in zip(f.part, f.blob):
-                    ids, g, _ = from_blob(blob)
-                    yield pd.DataFrame({"part": part, "id": ids, "vec": list(g.x), "neighbors": [ids[v] for v in g.links]})
+                    ids, first, g, _ = from_blob(blob)
+                    for a in range(0, len(ids), walks.BATCH):
+                        own = np.searchsorted(first, np.arange(a, min(len(ids), a + walks.BATCH)), side="right") - 1
+                        yield pd.DataFrame({"part": part, "id": ids[a : a + walks.BATCH], "vec": list(g.x[own]), "neighbors": [ids[first[v[v >= 0]]] for v in g.links[own]]})
 
         return self.parts().mapInPandas(run, "part int, id long, vec array<float>, neighbors array<long>")
 
@@ -178,21 +165,17 @@ class DiskAnn:
         for block in query_blocks(queries):
 
             def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+                qids, asked = arrays(block)
                 for f in frames:
                     for blob in f.blob:
-                        ids, g, codes = from_blob(blob)
-                        out = []
-                        for qid, q in block:
-                            q = np.asarray(q, np.float64)
-                            distance = lambda at, q=q: g.far(q, at)
-                            if books is not None:
-                                table, own = np.array(Pq(books).tables(q)), np.arange(len(books))
-                                distance = lambda at, table=table, own=own: table[own, codes[at]].sum(1)
-                            at = g.walk(distance, size)[0][:rerank]
-                            d = g.far(q, at)
-                            order = np.lexsort((ids[at], d))[:k]
-                            out += [(qid, int(ids[at[i]]), float(d[i])) for i in order]
-                        yield pd.DataFrame(out, columns=["qid", "id", "dist"])
+                        ids, first, g, codes = from_blob(blob)
+                        for a, b in walks.batches(len(qids), len(g.x)):
+                            q = asked[a:b]
+                            distance = walks.exact(g.x, q.astype(np.float32)) if books is None else by_tables(Pq(books).tables(q), codes)
+                            at = g.walk(len(q), distance, size)[0][:, :rerank]
+                            d = np.stack([g.far(one, own) for one, own in zip(q, at)]) if len(at) else np.zeros((0, 0))
+                            qid, key, dist = walks.found_rows(qids[a:b], at, d, ids, first, k)
+                            yield pd.DataFrame({"qid": qid, "id": key, "dist": dist})
 
             part = self.parts().mapInPandas(run, "qid long, id long, dist double")
             found = part if found is None else found.unionByName(part)
