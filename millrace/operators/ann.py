@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.vectors import squared_l2
+from millrace.operators import walks
 
 SAMPLE = 20_000
 
@@ -358,6 +359,58 @@ class Hnsw:
         if level > top:
             self.entry = me
 
+    @staticmethod
+    def built(ids: np.ndarray, x: np.ndarray, m: int = 16, ef: int = 100, seed: int = 42) -> Hnsw:
+        """A graph of the rows of x, added in batches that are never larger than the graph; those of a batch don't see each other."""
+        g = Hnsw(m, ef, seed)
+        level = (-np.log(1 - g.rng.random(len(x))) / math.log(m)).astype(np.int64)
+        rows = [np.full((len(x), 2 * m if lev == 0 else m), -1, np.int32) for lev in range(int(level.max(initial=-1)) + 1)]
+        x = x.astype(np.float32)
+        for a, b in walks.batches(len(x), len(x), 1):
+            own = np.arange(a, b)
+            if a:
+                distance, starts = walks.exact(x, x[own]), np.full((b - a, 1), g.entry)
+                for lev in range(int(level[g.entry]), -1, -1):
+                    adds = level[own] >= lev
+                    near = np.full((b - a, ef), -1)
+                    for some, size in ((np.flatnonzero(~adds), 1), (np.flatnonzero(adds), ef)):
+                        if len(some):
+                            near[some, :size] = walks.walk(rows[lev], starts[some], lambda row, place, some=some: distance(some[row], place), size)[0]
+                    if adds.any():
+                        new = own[adds]
+                        rows[lev][new, :m] = walks.prune(x, new, near[adds], m, 1.0, fill=True)
+                        walks.link_back(x, rows[lev], new, lambda nodes, at, r=rows[lev].shape[1]: walks.nearest_places(x, nodes, at, r))
+                    starts = near
+            top = a + int(level[a:b].argmax())
+            if g.entry < 0 or level[top] > level[g.entry]:
+                g.entry = top
+        g.ids, g.x = ids.tolist(), list(x.astype(np.float64))
+        g.links = [[[j for j in rows[lev][i].tolist() if j >= 0] for lev in range(n + 1)] for i, n in enumerate(level.tolist())]
+        return g
+
+    def search_batch(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, squared distances), each a row for each query of q, padded with -1; no vector may be pruned."""
+        size = max(ef, k)
+        if self.entry < 0:
+            return np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        exact = np.array(self.x)
+        x, top = exact.astype(np.float32), len(self.links[self.entry]) - 1
+        rows = []
+        for lev in range(top + 1):
+            own = [(i, levels[lev]) for i, levels in enumerate(self.links) if len(levels) > lev]
+            table = np.full((len(x), max(1, max(len(v) for _, v in own))), -1, np.int32)
+            for i, v in own:
+                table[i, : len(v)] = v
+            rows.append(table)
+        places, dists = [], []
+        for a, b in walks.batches(len(q), len(x)):
+            distance, starts = walks.exact(x, q[a:b].astype(np.float32)), np.full((b - a, 1), self.entry)
+            for lev in range(top, 0, -1):
+                starts = walks.walk(rows[lev], starts, distance, 1)[0]
+            places.append(walks.walk(rows[0], starts, distance, size)[0])
+            dists.append(np.stack([np.where(at >= 0, ((exact[at] - one) ** 2).sum(1), np.inf) for at, one in zip(places[-1], q[a:b])]))
+        return np.concatenate(places), np.concatenate(dists)
+
     def search(self, q: np.ndarray, k: int, ef: int, fetch=None) -> list[tuple[float, int]]:
         """fetch(id) gives a pruned vector; what a query fetches is kept till it ends."""
         self.fetch, self.fetched = fetch, {}
@@ -407,26 +460,30 @@ class Hnsw:
 class StoredHnsw:
     """Small-world graphs in a folder, one for each part of the vectors, each a compressed-sparse-row blob.
 
-    They are built once; a search reads the blobs where they lie and sends the queries to them in bounded blocks.
+    They are built once; a search reads the blobs where they lie and sends the queries to them in bounded blocks. Equal vectors of a part
+    are one node, of the smallest id; ids has those of each node one after another, from first[i] to first[i + 1].
     """
 
+    SCHEMA = "part int, csr binary, ids binary, first binary"
+
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
     @staticmethod
     def build(vectors: DataFrame, path: str, m: int = 16, ef: int = 100, part_rows: int = PART_ROWS, keep: float = 1.0) -> StoredHnsw:
         def run(f: pd.DataFrame) -> pd.DataFrame:
-            g = Hnsw(m, ef)
-            f = f.sort_values("id")
-            for key, vec in zip(f.id, f.vec):
-                g.add(int(key), np.asarray(vec, np.float64))
-            return pd.DataFrame({"part": f.part.iloc[:1], "csr": [g.to_csr(keep)]})
-
-        parts_of(vectors, part_rows).groupBy("part").applyInPandas(run, "part int, csr binary").write.mode("overwrite").parquet(path)
+            x, ids, first = walks.distinct(np.stack(f.vec).astype(np.float32), f.id.to_numpy())
+            mixed = np.random.default_rng(len(x)).permutation(len(x))  # distinct rows are sorted, and neighbours shouldn't be added together
+            g = Hnsw.built(ids[first[:-1]][mixed], x[mixed], m, ef)
+            n = np.diff(first)[mixed]
+            own = np.repeat(first[:-1][mixed], n) + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+            return pd.DataFrame({"part": f.part.iloc[:1], "csr": [g.to_csr(keep)], "ids": [ids[own].tobytes()], "first": [np.concatenate([[0], np.cumsum(n)]).astype(np.int64).tobytes()]})
+
+        parts_of(vectors, part_rows).groupBy("part").applyInPandas(run, StoredHnsw.SCHEMA).write.mode("overwrite").parquet(path)
         return StoredHnsw(vectors.sparkSession, path)
 
     def parts(self) -> DataFrame:
-        return self.spark.read.schema("part int, csr binary").parquet(self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def search(self, queries: DataFrame, k: int, ef: int = 128, fetch=None) -> DataFrame:
         """(qid, id, dist, rank). fetch(id): the vector of a pruned node, a function that the tasks can run."""
@@ -434,23 +491,37 @@ class StoredHnsw:
         for block in query_blocks(queries):
 
             def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
+                qids, asked = arrays(block)
                 for f in frames:
-                    for blob in f.csr:
-                        g = Hnsw.from_csr(blob)
-                        yield pd.DataFrame([(qid, i, d) for qid, q in block for d, i in g.search(np.asarray(q, np.float64), k, ef, fetch)], columns=["qid", "id", "dist"])
+                    for blob, ids, first in zip(f.csr, f.ids, f["first"]):
+                        if not len(qids):
+                            continue
+                        g, ids, first = Hnsw.from_csr(blob), np.frombuffer(ids, np.int64), np.frombuffer(first, np.int64)
+                        if any(v is None for v in g.x):  # vectors that are fetched come one by one
+                            place = {key: i for i, key in enumerate(g.ids)}
+                            met = [g.search(q, k, ef, fetch) for q in asked]
+                            at, d = np.full((len(met), k), -1), np.full((len(met), k), np.inf)
+                            for i, one in enumerate(met):
+                                at[i, : len(one)], d[i, : len(one)] = [place[key] for _, key in one], [dist for dist, _ in one]
+                        else:
+                            at, d = g.search_batch(asked, k, ef)
+                        qid, key, dist = walks.found_rows(qids, at, d, ids, first, k)
+                        yield pd.DataFrame({"qid": qid, "id": key, "dist": dist})
 
             part = self.parts().mapInPandas(run, "qid long, id long, dist double")
             found = part if found is None else found.unionByName(part)
         return nearest(found, k)
 
     def links(self) -> DataFrame:
-        """(part, id, level, neighbors)."""
+        """(part, id, level, neighbors). Equal vectors of a part have the same lists, and of equal neighbors the smallest id stands."""
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                for part, blob in zip(f.part, f.csr):
-                    g = Hnsw.from_csr(blob)
-                    yield pd.DataFrame([(part, i, level, [g.ids[j] for j in own]) for i, levels in zip(g.ids, g.links) for level, own in enumerate(levels)], columns=["part", "id", "level", "neighbors"])
+                for part, blob, ids, first in zip(f.part, f.csr, f.ids, f["first"]):
+                    g, ids, first = Hnsw.from_csr(blob), np.frombuffer(ids, np.int64), np.frombuffer(first, np.int64)
+                    for a in range(0, len(g.ids), walks.BATCH):
+                        rows = [(part, int(i), level, [g.ids[j] for j in own]) for at in range(a, min(len(g.ids), a + walks.BATCH)) for i in ids[first[at] : first[at + 1]] for level, own in enumerate(g.links[at])]
+                        yield pd.DataFrame(rows, columns=["part", "id", "level", "neighbors"])
 
         return self.parts().mapInPandas(run, "part int, id long, level int, neighbors array<long>")
 

@@ -123,6 +123,14 @@ def prune(x: np.ndarray, nodes: np.ndarray, at: np.ndarray, r: int, alpha: float
     return out
 
 
+def nearest_places(x: np.ndarray, nodes: np.ndarray, at: np.ndarray, r: int) -> np.ndarray:
+    """The r nearest of each node's candidates ``at`` (padded with -1, each once), ties by place."""
+    near = np.sort(at.astype(np.int64), axis=1)
+    v = x[near] - x[nodes][:, None]
+    dist = np.where(near >= 0, np.einsum("bcd,bcd->bc", v, v), np.inf)
+    return np.take_along_axis(near, np.argsort(dist, axis=1, kind="stable")[:, :r], 1).astype(np.int32)
+
+
 def link_back(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
     """Add each node to the rows of those that it links to. choose(nodes, candidates) gives the rows that get too long."""
     r = links.shape[1]
