@@ -80,12 +80,12 @@ def kmeans(x: np.ndarray, k: int, seed: int = 42, rounds: int = 25) -> np.ndarra
 
 
 class Nearest:
-    """The k nearest of each query among all rows shown so far, by (dist, id). Memory: CHUNK rows times the queries, and k rows a query.
+    """The k nearest of each query among all rows shown so far, by (dist, id). Memory: CHUNK rows times WIDTH queries, and k rows a query.
 
     Squared distances are screened by a matrix product, with a margin for its rounding, and computed exactly where they may count.
     """
 
-    CHUNK, PAIRS = 1024, 1 << 17
+    CHUNK, WIDTH, PAIRS = 1024, 512, 1 << 14
 
     def __init__(self, qids: np.ndarray, wanted: np.ndarray, k: int, name: str = "l2") -> None:
         self.qids, self.wanted, self.k, self.name = qids, wanted, k, name
@@ -102,6 +102,21 @@ class Nearest:
             self._chunk(x[at : at + self.CHUNK], ids[at : at + self.CHUNK], asked)
 
     def _chunk(self, x: np.ndarray, ids: np.ndarray, asked: np.ndarray) -> None:
+        found = [self._screened(x, asked[at : at + self.WIDTH]) for at in range(0, len(asked), self.WIDTH)]
+        q, row, dist = (np.concatenate(part) for part in zip(*found))
+        if not len(q):
+            return
+        q, dist, own = np.concatenate([self.q, q]), np.concatenate([self.d, dist]), np.concatenate([self.ids, ids[row]])
+        order = np.lexsort((own, dist, q))
+        q, dist, own = q[order], dist[order], own[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = rank < self.k
+        self.q, self.d, self.ids = q[keep], dist[keep], own[keep]
+        full = rank == self.k - 1
+        self.worst[q[full]] = dist[full]
+
+    def _screened(self, x: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row of x, distance) of the pairs that may count."""
         wanted, limit, screened = self.wanted[asked], self.worst[asked], False
         d = wanted @ x.T
         if self.name in ("ip", "inner_product"):
@@ -123,16 +138,7 @@ class Nearest:
         dist = d[q, row]
         if screened:
             dist = np.concatenate([((x[row[i : i + self.PAIRS]] - wanted[q[i : i + self.PAIRS]]) ** 2).sum(1) for i in range(0, len(q), self.PAIRS)] or [dist])
-        if not len(q):
-            return
-        q, dist, own = np.concatenate([self.q, asked[q]]), np.concatenate([self.d, dist]), np.concatenate([self.ids, ids[row]])
-        order = np.lexsort((own, dist, q))
-        q, dist, own = q[order], dist[order], own[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        keep = rank < self.k
-        self.q, self.d, self.ids = q[keep], dist[keep], own[keep]
-        full = rank == self.k - 1
-        self.worst[q[full]] = dist[full]
+        return asked[q], row, dist
 
     def frame(self) -> pd.DataFrame:
         return pd.DataFrame({"qid": self.qids[self.q], "id": self.ids, "dist": self.d})

@@ -7,13 +7,15 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.text import is_term, term_rows, tokens
 from millrace.session import written
+from millrace.sources.slices import slices
 
 
 @dataclass(frozen=True)
@@ -36,14 +38,14 @@ def counted_terms(passages: DataFrame) -> DataFrame:
     """(id, term, tf) of each passage's words, stop words and short ones among them."""
     key = dict(passages.dtypes)["id"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 200):
-                own = [Counter(words) for words in f.words.iloc[at : at + 200]]
-                ids = f.id.iloc[at : at + 200].repeat([len(c) for c in own])
-                yield pd.DataFrame({"id": ids.array, "term": [w for c in own for w in c], "tf": [n for c in own for n in c.values()]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # words become Python strings one slice at a time; a whole batch of them takes hundreds of MB
+        for b in slices(batches):
+            own = [Counter(words) for words in b.column("words").to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(own)), [len(c) for c in own]))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array([w for c in own for w in c], pa.string()), pa.array([n for c in own for n in c.values()], pa.int32())], ["id", "term", "tf"])
 
-    return passages.select("id", term_rows(F.col("text")).alias("words")).mapInPandas(run, f"id {key}, term string, tf int")
+    return passages.select("id", term_rows(F.col("text")).alias("words")).mapInArrow(run, f"id {key}, term string, tf int")
 
 
 def statistics(tokenized: DataFrame) -> DataFrame:
