@@ -149,8 +149,9 @@ def matrix(vectors: pd.Series) -> np.ndarray:
 
 
 def arrays(block: list[tuple[int, list[float]]]) -> tuple[np.ndarray, np.ndarray]:
-    """(qids, vectors) of a block of queries."""
-    return np.array([i for i, _ in block], np.int64), np.array([v for _, v in block], np.float64)
+    """(qids, vectors) of a block of queries; no queries are a matrix without rows."""
+    wanted = np.array([v for _, v in block], np.float64) if block else np.zeros((0, 0))
+    return np.array([i for i, _ in block], np.int64), wanted
 
 
 def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
