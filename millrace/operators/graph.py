@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.functions.scalars import risk_level
+from millrace.operators import cover
 from millrace.operators.incremental import with_ids
 from millrace.operators.links import Links
-from millrace.session import written
+from millrace.session import dropped, written
 
 #: Sources whose walks go on at once: a node holds an eighth of this in bytes of masks at most.
 SOURCES = 65_536
 #: Sources in a row of their masks (a multiple of 64), and blocks whose sums a task holds.
 BLOCK, HELD = 1024, 4096
-#: Nodes at most whose rows are broadcast in a round, and the edges that such a node has at least.
+#: Nodes at most whose rows are broadcast in a round, or that are a cover, and the edges that a node of the first kind has at least.
 HUBS, HUB_EDGES = 2048, 64
 
 
@@ -32,6 +33,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return written(df, "graph")
 
 
+def next_state(new: DataFrame, *old: DataFrame) -> DataFrame:
+    """new, written; the tables that it came from and that no later round reads are removed."""
+    new = cut_lineage(new)
+    for df in old:
+        dropped(df)
+    return new
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, out_degree, in_degree, degree)."""
     both = edges.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))
@@ -126,7 +135,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         out = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("outs"))
         ranks = cut_lineage(nodes.select("id").distinct().join(out, "id", "left").withColumn("rank", F.lit(1.0 / n)))
         for _ in range(rounds):
-            ranks = cut_lineage(pagerank_round(links, ranks, damping, n))
+            ranks = next_state(pagerank_round(links, ranks, damping, n), ranks)
     return ranks.select("id", "rank")
 
 
@@ -148,16 +157,34 @@ def blast_radius(edges: DataFrame, start: int, ranks: DataFrame, depth: int = 3)
 def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, sources: int = SOURCES) -> DataFrame:
     """(id, blast) for all nodes of ranks: the share of all rank within depth steps either way, the node itself left out.
 
+    Where at most HUBS nodes are an end of every edge, the ranks are added up over those (``cover.masses``); else all nodes walk at once (``walked``).
+    Both are exact.
+    """
+    both = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
+    both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    known = cut_lineage(ranks.select("id", "rank"))
+    hubs = cover.hub_cover(both, HUBS) if depth > 1 else None
+    if hubs:
+        mass = cover.masses(both, known, hubs, depth)
+    else:
+        mass = walked(both, known, depth, sources)
+    dropped(both)
+    total = F.broadcast(known.agg(F.sum("rank").alias("total")))  # one row
+    found = known.join(mass, "id", "left")
+    share = F.when(F.col("total") > 0, F.greatest(F.coalesce("mass", F.lit(0.0)) - F.col("rank"), F.lit(0.0)) / F.col("total")).otherwise(0.0)
+    return next_state(found.join(total).select("id", share.alias("blast")), known, mass)
+
+
+def walked(both: DataFrame, ranks: DataFrame, depth: int, sources: int) -> DataFrame:
+    """(id, mass): the rank of all nodes within depth steps, the node itself too.
+
     All nodes walk at once, BLOCK of them in a row: a row (id, block, b0, b1, ...) says which sources of a block have reached id.
     A round pushes the rows along the edges and ORs them by (id, block); every node has an edge to itself, so it keeps its own.
     Rows of the nodes with most edges (few) are broadcast to their edges, which lie in buckets of the target, so what goes
     from hubs to many nodes isn't shuffled. ``sources`` walks go on together, so a node never has more than
     sources / BLOCK rows of a fixed width; further sources take further passes.
     """
-    both = edges.select("src", "dst").where("src is not null and dst is not null and src <> dst")
-    both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    known = cut_lineage(ranks.select(F.col("id").alias("node"), "rank"))
-    known = cut_lineage(with_ids(known, ["node"]).select(F.col("node").alias("id"), F.col("id").alias("number"), "rank"))
+    known = next_state(with_ids(ranks.select(F.col("id").alias("node"), "rank"), ["node"]).select(F.col("node").alias("id"), F.col("id").alias("number"), "rank"))
     n = known.count()
     block, bit = F.floor(F.col("number") / BLOCK), F.expr("shiftleft(1L, cast(number % 64 as int))")
     bits = [f"b{i}" for i in range(BLOCK // 64)]
@@ -169,23 +196,21 @@ def blast_shares(edges: DataFrame, ranks: DataFrame, depth: int = 3, sources: in
     with Links(both.join(few, "src", "left_anti").unionByName(ends.select("src", F.col("src").alias("dst")))) as even, Links(both.join(few, "src", "left_semi"), by="dst") as wide:
         for low in range(0, n, max(BLOCK, sources)):
             own = known.where(F.col("number").between(low, low + max(BLOCK, sources) - 1))
-            state = own.select("id", block.alias("block"), *(F.when(F.floor(F.col("number") / 64) % (BLOCK // 64) == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits)))
+            state, old = own.select("id", block.alias("block"), *(F.when(F.floor(F.col("number") / 64) % (BLOCK // 64) == i, bit).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(bits))), ()
             ors = [F.bit_or(b).alias(b) for b in bits]
             for _ in range(depth):
                 near = even.meet(state).groupBy("dst", "block").agg(*ors)
                 sent = F.broadcast(state.withColumnRenamed("id", "src").join(few, "src", "left_semi"))  # HUBS * sources / BLOCK rows at most
                 far = wide.even.join(sent, "src").groupBy("dst", "block").agg(*ors)
-                state = cut_lineage(near.unionByName(far).groupBy(F.col("dst").alias("id"), "block").agg(*ors))
+                state = next_state(near.unionByName(far).groupBy(F.col("dst").alias("id"), "block").agg(*ors), *old)
+                old = (state,)
             reached = state.join(known.select("id", "rank"), "id").select("block", "rank", *bits)
             part = reached.mapInPandas(_masses, "block long, masses array<double>").select("block", F.posexplode("masses").alias("k", "mass")).where("mass > 0")
-            sums.append(cut_lineage(part.groupBy((F.col("block") * BLOCK + F.col("k")).alias("number")).agg(F.sum("mass").alias("mass"))))
+            sums.append(next_state(part.groupBy((F.col("block") * BLOCK + F.col("k")).alias("number")).agg(F.sum("mass").alias("mass")), *old))
     mass = sums[0] if sums else spark.createDataFrame([], "number long, mass double")
     for more in sums[1:]:
         mass = mass.unionByName(more)
-    total = F.broadcast(known.agg(F.sum("rank").alias("total")))  # one row
-    found = known.join(mass, "number", "left")
-    share = F.when(F.col("total") > 0, F.greatest(F.coalesce("mass", F.lit(0.0)) - F.col("rank"), F.lit(0.0)) / F.col("total")).otherwise(0.0)
-    return found.join(total).select("id", share.alias("blast"))
+    return next_state(known.join(mass, "number").select("id", "mass"), known, hubs, *sums)
 
 
 def _masses(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -51,3 +51,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(target)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table that ``written`` wrote, once nothing reads it any more. Other tables stay."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("millrace-"):
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
